@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfield.llm import chat, sharding, warc
+from starfield.llm import chat, licenses, packing, sharding, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,19 +16,34 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 documents, pages, conversations = _table("documents"), _table("pages"), _table("conversations")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(conversations(spark, sf_dir))
 
 
+def op4_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
 
+def op8_license_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir)).drop("matches")
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op7_feistel_shards, op9_warc_salvage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op4_concat_cut, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": """
