@@ -1,0 +1,28 @@
+"""Connected components by joins and minima, with no graph in one task or on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from starfield.plans.materialize import checkpoint
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (the smallest node reachable) of every node that has an edge.
+
+    Each round a node takes the smallest component of its neighbours, then that node's own component, so paths
+    shorten by powers of two. Ends when a round changes nothing. Nulls link nothing; no edges, no rows.
+    """
+    both = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("other"))
+    both = checkpoint(both.union(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    state = checkpoint(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+    while True:
+        offered = both.join(state.select(F.col("node").alias("other"), F.col("component").alias("offer")), "other").groupBy("node").agg(F.min("offer").alias("offer"))
+        nearer = state.join(offered, "node").select("node", F.least("component", "offer").alias("next"), F.col("component").alias("was"))
+        roots = state.select(F.col("node").alias("next"), F.col("component").alias("root"))
+        after = checkpoint(nearer.join(roots, "next", "left").select("node", F.least("next", F.coalesce("root", "next")).alias("component"), "was"))
+        changed = not after.filter("component <> was").isEmpty()
+        state = after.select("node", "component")
+        if not changed:
+            return state

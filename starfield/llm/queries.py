@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfield.llm import chat, licenses, packing, sharding, warc
+from starfield.llm import chat, licenses, packing, sharding, simhash, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +31,10 @@ def op4_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op4_concat_cut, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op4_concat_cut, op5_simhash_pivots, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": """
