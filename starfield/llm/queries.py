@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfield.llm import chat, licenses, packing, sharding, simhash, warc
+from starfield.llm import chat, licenses, packing, sharding, simhash, substrings, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,10 @@ def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(conversations(spark, sf_dir))
 
 
+def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(documents(spark, sf_dir))
+
+
 def op4_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -47,7 +51,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op4_concat_cut, op5_simhash_pivots, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": """
