@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfield.llm import chat, licenses, packing, sharding, simhash, substrings, warc
+from starfield.llm import chat, contamination, licenses, packing, sharding, simhash, substrings, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, pages, conversations = _table("documents"), _table("pages"), _table("conversations")
+documents, pages, conversations, benchmark = map(_table, ("documents", "pages", "conversations", "benchmark"))
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(conversations(spark, sf_dir))
 
 
+def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op2_positional_index, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": """
