@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfield.llm import chat, contamination, licenses, packing, sharding, simhash, substrings, warc
+from starfield.llm import chat, classifier, contamination, licenses, packing, quality_rules, sharding, simhash, substrings, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, pages, conversations, benchmark = map(_table, ("documents", "pages", "conversations", "benchmark"))
+documents, pages, conversations, benchmark, labels = map(_table, ("documents", "pages", "conversations", "benchmark", "labels"))
 
 
 def tokenizer(name: str) -> str:
@@ -43,6 +43,10 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
@@ -55,7 +59,11 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op2_positional_index, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op7_feistel_shards, op8_license_seeds, op9_warc_salvage)}
+def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classified(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op2_positional_index, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op6_crf_lines, op7_feistel_shards, op8_license_seeds, op9_warc_salvage, op10_co_training)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": """
