@@ -184,6 +184,28 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled
     return found
 
 
+def _judged(model: Model, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views' scores and the probability of every document of a block."""
+    r, c, v = text_view(data, offsets)
+    text = np.bincount(r, v * model.text[c], rows.num_rows)
+    known = {f.name: k for k, f in enumerate(rows.schema)}
+    lang, source, n_chars = (rows.column(known[k]) for k in ("lang", "source", "n_chars"))
+    r, c, v = meta_view(lang.cast(pa.string()).to_pylist(), source.cast(pa.string()).to_pylist(), n_chars.cast(pa.int64()).to_pylist())
+    meta = np.bincount(r, v * model.meta[c], rows.num_rows)
+    odds = np.clip(text, -15, 15) * model.mix[0] + np.clip(meta, -15, 15) * model.mix[1] + model.mix[2]
+    return text, meta, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model keeps, unchanged, in one pass without a shuffle."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in blocks(batches):
+            yield rows.filter(pa.array(_judged(model, rows, data, offsets)[2] >= model.threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Every row's probability of being good: doc_id, score, kept (a score of the model's threshold or more).
 
@@ -194,12 +216,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            r, c, v = text_view(data, offsets)
-            text = np.bincount(r, v * model.text[c], rows.num_rows)
-            r, c, v = meta_view(*(rows.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
-            meta = np.bincount(r, v * model.meta[c], rows.num_rows)
-            odds = np.clip(text, -15, 15) * model.mix[0] + np.clip(meta, -15, 15) * model.mix[1] + model.mix[2]
-            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            text, meta, p = _judged(model, rows, data, offsets)
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_score": text, "meta_score": meta, "score": p, "kept": p >= model.threshold})
 
     wanted = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
