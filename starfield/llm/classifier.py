@@ -28,8 +28,8 @@ ROUNDS = 3
 CONFIDENT = 0.97
 PER_ROUND = 300
 WORD_BITS, META_BITS = 15, 10
-#: Share of the held-out good documents that the threshold must keep; it is 0.5 at most.
-KEPT_GOOD = 0.995
+#: Share of the held-out good documents that the threshold keeps, and the least threshold; it is 0.5 at most.
+KEPT_GOOD, LOWEST = 0.995, 0.2
 #: Hashed words in fewer sampled documents have no weight.
 LEAST_DOCUMENTS = 12
 SHAPE = ["bias", "log_words", "short", "word_length", "symbols", "upper", "digits", "shouts", "doubled", "distinct", "hashed"]
@@ -96,10 +96,12 @@ class View:
 def _calibrated(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (one for each view's score, and a constant) that make the combined score a log-odds."""
     x = np.column_stack([np.clip(scores, -15, 15), np.ones(len(y))])
-    w = np.array([1.0, 0.0, 0.0])
-    for _ in range(30):
+    prior = np.array([1.0, 0.0, 0.0])
+    w = prior
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (y - p) - 1e-2 * (w - np.array([1.0, 0.0, 0.0])))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(3), x.T @ (y - p) - (w - prior))
+        w = w + step / max(1, 2 * np.abs(step).max())
     return w
 
 
@@ -180,7 +182,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled
     found = Model(fitted["text"].w, fitted["meta"].w, weights)
     if truth.any():
         odds = np.clip(scores[truth == 1], -15, 15) @ weights[:2] + weights[2]
-        found.threshold = min(0.5, float(np.quantile(1 / (1 + np.exp(-odds)), 1 - KEPT_GOOD)))
+        found.threshold = float(np.clip(np.quantile(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 1 - KEPT_GOOD), LOWEST, 0.5))
     return found
 
 
