@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from starfield.plans.materialize import written
 LENGTH = 1024
 END = 0
 #: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 
 
 class Encoder:
@@ -44,25 +45,35 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.memory: dict[bytes, np.ndarray] = {}
+        self.forget()
         self.open = np.ones(256, bool)
         self.open[:0x21] = False
         self.open[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
+    def forget(self) -> None:
+        self.memory: dict[bytes, int] = {}
+        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.memory) + len(chunks) > REMEMBERED:
-            self.memory.clear()
-        encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        encode = lambda x: self.tokenizer.encode(x.decode(), add_special_tokens=False).ids
         joined = [c for c in chunks if c[:1] == b" " and 1 < len(c) < 256 and self.open[c[1]] and b"<" not in c]
+        ids, lengths, order = [self.ids], [self.lengths], list(joined)
         for at in range(0, len(joined), 2000):
             part = joined[at : at + 2000]
-            ids = np.array(encode(b"".join(part).decode()), self.kind)
-            ends = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(c) for c in part])) + 1
-            self.memory.update(zip(part, np.split(ids, cuts[:-1]), strict=True))
-        for c in chunks:
-            if c not in self.memory:
-                self.memory[c] = np.array(encode(c.decode()), self.kind)
+            ids.append(np.array(encode(b"".join(part)), self.kind))
+            cuts = np.searchsorted(np.cumsum(self.width[ids[-1]]), np.cumsum([len(c) for c in part])) + 1
+            lengths.append(np.diff(cuts, prepend=0))
+        if len(joined) < len(chunks):
+            alone = set(joined)
+            for c in chunks:
+                if c not in alone:
+                    order.append(c)
+                    ids.append(np.array(encode(c), self.kind))
+                    lengths.append(np.array([len(ids[-1])]))
+        self.memory.update(zip(order, range(len(self.memory), len(self.memory) + len(order)), strict=True))
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.begins = np.cumsum(self.lengths) - self.lengths
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, and how many each text has."""
@@ -81,30 +92,33 @@ class Encoder:
         known = coded.dictionary.to_pylist()
         new = [c for c in known if c not in self.memory]
         if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
+            self.forget()
             new = known
         self._learn(new)
-        ids = [self.memory[c] for c in known]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        begins = np.cumsum(lengths) - lengths
-        flat = np.concatenate(ids)
+        at = np.fromiter(map(self.memory.__getitem__, known), np.int64, len(known))
+        lengths, begins = self.lengths[at], self.begins[at]
         index = coded.indices.to_numpy()
         n = lengths[index]
         ends = np.cumsum(n)
-        out = flat[np.arange(ends[-1]) + np.repeat(begins[index] - (ends - n), n)]
+        out = self.ids[np.arange(ends[-1]) + np.repeat(begins[index] - (ends - n), n)]
         upto = np.concatenate([[0], ends])[np.searchsorted(bounds, offsets)]
         return out, np.diff(upto)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: it outlives the tasks."""
+    return Encoder(path)
+
+
 def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first pass: part, before (tokens before the document in its part), doc_id, doc_tokens, ids (bytes)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = None, TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         for rows, data, offsets in blocks(batches):
-            encoder = encoder or Encoder(tokenizer)
-            ids, counts = encoder.encode(data, offsets)
+            ids, counts = encoder(tokenizer).encode(data, offsets)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, END)
             ends += np.arange(1, len(ends) + 1)
