@@ -210,7 +210,8 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     data = f.read()
                 yield from _rows(path, data, payloads)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORDS + ", payload binary" * payloads)
+    # A given number of partitions is not merged again, however few bytes the paths are.
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS + ", payload binary" * payloads)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
