@@ -38,7 +38,7 @@ def time_parts(df: DataFrame, ts: str = "ts") -> DataFrame:
 def bars(trades: DataFrame, seconds: int = 60) -> DataFrame:
     """open, high, low, close, volume, vwap, transactions for each instrument and bucket. Works on streams too."""
     first, last = F.min_by("price", F.struct("ts", "event_id")), F.max_by("price", F.struct("ts", "event_id"))
-    g = trades.groupBy("key", F.window("ts", f"{seconds} seconds").alias("w")).agg(first.alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), last.alias("close"), F.sum("size").alias("volume"), (F.sum(F.col("price") * F.col("size")) / F.sum("size")).alias("vwap"), F.count("*").alias("transactions"))
+    g = trades.groupBy("key", F.window("ts", f"{seconds} seconds").alias("w")).agg(first.alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), last.alias("close"), F.sum("size").alias("volume"), F.try_divide(F.sum(F.col("price") * F.col("size")), F.sum("size")).alias("vwap"), F.count("*").alias("transactions"))
     return g.select("key", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "vwap", "transactions")
 
 
