@@ -33,7 +33,7 @@ def _running(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
 def turns(conversations: DataFrame) -> DataFrame:
     """Each turn with its place ``n`` from 1 and the prefix hashes ``h1`` and ``h2`` up to it."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    rows = rows.withColumn("_run", F.floor(F.col("turn") / RUN)).withColumn("_conv", F.struct("conv_id"))
+    rows = rows.withColumn("_run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62)))).withColumn("_conv", F.struct("conv_id"))
     rows = rows.withColumn("_order", F.struct("turn", "role", "text"))
     rows = _running(rows, {"n": F.lit(1).cast("long")})
     wide = lambda *c: F.xxhash64(*c).cast("decimal(20,0)")  # noqa: E731  sums of longs overflow
