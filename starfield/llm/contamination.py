@@ -146,9 +146,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> t
     places = found.select("item", "need", "doc", "offset", F.explode(F.sequence("low", "high")).alias("place")).distinct()
     expected = places.join(terms.select("item", "place", "term"), ["item", "place"]).withColumn("position", F.col("offset") + F.col("place"))
     matched = expected.join(full, ["doc", "position", "term"])
-    # A partition is one alignment: the item's length at most.
+    # A partition is one alignment, so as long as the item; repeated rows give equal ranks.
     along = Window.partitionBy("doc", "item", "offset").orderBy("position")
-    runs = matched.withColumn("run", F.col("position") - F.row_number().over(along))
+    runs = matched.withColumn("run", F.col("position") - F.dense_rank().over(along))
     runs = runs.groupBy("doc", "item", "offset", "run").agg(F.first("need").alias("need"), F.min("position").alias("low"), F.max("position").alias("high"))
     return indexed, runs.filter(F.col("high") - F.col("low") + 1 >= F.col("need")).select("doc", "item.item_id", "low", "high")
 
