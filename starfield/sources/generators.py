@@ -126,6 +126,10 @@ def figure_8(spark, n=1000, seed=42, noise=0.0):
     return _points(spark, n, [F.sin(t) + noise * _n(seed, 1), F.sin(t) * F.cos(t) + noise * _n(seed, 2)])
 
 
+def _glow(x: Column, y: Column, r: Column, side: int) -> Callable[[Column], Column]:
+    return lambda k: F.exp(-((F.pmod(k, F.lit(side)) - x) ** 2 + (F.floor(k / side) - y) ** 2) / (2 * r * r))
+
+
 def ball_flight(spark, n=500, seed=42, side=12, radius: tuple[float, float] = (1.5, 1.5), balls: int = 1):
     """Frames of ``side`` squared pixels of balls on an arc; with two radii the size varies too."""
     cells = F.sequence(F.lit(0), F.lit(side * side - 1))
@@ -133,8 +137,8 @@ def ball_flight(spark, n=500, seed=42, side=12, radius: tuple[float, float] = (1
     for b in range(balls):
         t, r = _u(seed, 3 * b), radius[0] + (radius[1] - radius[0]) * _u(seed, 3 * b + 1)
         x, y = 1 + t * (side - 3), 1 + 4 * t * (1 - t) * (side - 3)
-        glow = lambda k, x=x, y=y, r=r: F.exp(-((F.pmod(k, F.lit(side)) - x) ** 2 + (F.floor(k / side) - y) ** 2) / (2 * r * r))
-        images = F.transform(cells, glow) if images is None else F.zip_with(images, F.transform(cells, glow), lambda p, q: p + q)
+        image = F.transform(cells, _glow(x, y, r, side))
+        images = image if images is None else F.zip_with(images, image, lambda p, q: p + q)
     return _points(spark, n, images)
 
 
