@@ -28,6 +28,8 @@ from starfield.plans.materialize import written
 LENGTH = 50
 ANCHOR = 13
 _LOW = np.uint64(0xFFFFFFFF)
+#: Begins the names of columns that are joined to those of the caller.
+_OWN = "_substrings_"
 
 
 def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,7 +121,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tup
     settled = seeds.filter("first < doc_id").select("doc_id", "text_id", "low", (F.col("high") + length).alias("past"))
     spans = F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.struct("low", "high", "anchor")))
     wanted = seeds.groupBy("doc_id", "text_id").agg(spans.alias("spans"))
-    texts = written(with_text_id(docs).join(wanted, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "spans"), "repeating-texts")
+    texts = with_text_id(docs).join(wanted, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"])  # as the join has dealt them
+    texts = written(texts.select("doc_id", "text_id", "text", "spans"), "repeating-texts")
     windows = written(_windows(texts.filter(F.size("spans") > 0), length), "windows")
     held = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_b")).filter("first < _b").drop("_b")
     again = windows.join(held, ["anchor", "window"]).filter("first < doc_id").select("doc_id", "text_id", "low", (F.col("low") + length).alias("past"))
@@ -154,9 +157,9 @@ def _cut(texts: DataFrame, repeats: DataFrame, with_text: bool) -> DataFrame:
                     left.append(b" ".join(raw[x:y] for x, y in runs).decode())
             removed = np.concatenate([[0], np.cumsum(gone)])
             columns = {"doc_id": rows.column("doc_id"), "text_id": rows.column("text_id"), "n_words": words.counts.astype(np.int64), "n_removed": removed[words.first[1:]] - removed[words.first[:-1]], "kept_sha256": digests}
-            yield pa.RecordBatch.from_pydict(columns | ({"text": left} if with_text else {}))
+            yield pa.RecordBatch.from_pydict(columns | ({"text": left, "whole": rows.column("text")} if with_text else {}))
 
-    return texts.join(repeats, ["doc_id", "text_id"]).mapInArrow(cut, f"doc_id {kind}, text_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return texts.join(repeats, ["doc_id", "text_id"]).mapInArrow(cut, f"doc_id {kind}, text_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, whole string" * with_text)
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -184,7 +187,7 @@ def substring_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     empty table gives none.
     """
     texts, repeats = repeated(docs, length, anchor)
-    less = _cut(texts, repeats, False).select("doc_id", "text_id", "n_removed", F.col("kept_sha256").alias("_left")).distinct()
+    less = _cut(texts, repeats, False).select("doc_id", "text_id", "n_removed", F.col("kept_sha256").alias("_left"))
     all_ = _whole(docs).join(less, ["doc_id", "text_id"], "left")
     return all_.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_left", "kept_sha256").alias("kept_sha256"))
 
@@ -193,12 +196,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """``docs`` with the repeats cut out of ``text``. Texts without a repeat stay as they are; rows of which nothing
     is left go."""
     texts, repeats = repeated(docs, length, anchor)
-    less = _cut(texts, repeats, True).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("text").alias("_left")).dropDuplicates(["_doc", "_text"])
+    less = _cut(texts, repeats, True).select(F.col("doc_id").alias(_OWN + "doc"), F.col("whole").alias(_OWN + "text"), F.col("text").alias(_OWN + "left"))
     changed = written(less, "cut-texts")
-    ids = changed.select("_doc").distinct()
-    same = docs.join(ids, docs["doc_id"] == ids["_doc"], "left_anti")
-    touched = docs.join(ids, docs["doc_id"] == ids["_doc"], "left_semi")
-    numbered = touched.join(with_text_id(touched).select(F.col("doc_id").alias("_d"), "text_id", F.col("text").alias("_t")).distinct(), (F.col("doc_id") == F.col("_d")) & F.col("text").eqNullSafe(F.col("_t")))
-    cut = numbered.join(changed, (F.col("_d") == F.col("_doc")) & (F.col("text_id") == F.col("_text")), "left")
-    cut = cut.filter("_left IS NULL OR _left <> ''").withColumn("text", F.coalesce("_left", "text"))
-    return same.unionByName(cut.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    cut = docs.join(changed, (F.col("doc_id") == F.col(_OWN + "doc")) & (F.col("text") == F.col(_OWN + "text")), "left")
+    cut = cut.filter(F.col(_OWN + "left").isNull() | (F.col(_OWN + "left") != ""))
+    cut = cut.withColumn("text", F.coalesce(_OWN + "left", "text"))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
