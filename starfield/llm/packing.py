@@ -26,7 +26,7 @@ from starfield.plans.materialize import written
 LENGTH = 1024
 END = 0
 #: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:
