@@ -150,7 +150,7 @@ def test_op2_odd_rows(spark, odd):
 
 
 def test_op2_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x beta"), (3, "beta then alpha")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x beta"), (3, "beta then alpha"), (4, "x x x x x")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "alpha x beta")], "item_id long, text string")
     found = {(r["doc_id"], r["off"]) for r in contamination.proximity_matches(docs, items, slop=1).collect()}
     assert found == {(1, 1), (2, 0)}
@@ -188,7 +188,7 @@ def test_op3_odd_rows(spark, odd):
     left = substrings.without_repeats(df)
     assert left.columns == df.columns
     texts = {(r["doc_id"], r["text"]) for r in left.collect()}
-    assert (9, "a b") in texts and (11, "end") not in texts and not any(d in (8, 14) for d, _ in texts) and (3, None) in texts and (4, "") in texts
+    assert (9, "a b") in texts and (11, "end") in texts and not any(d in (8, 14) for d, _ in texts) and (3, None) in texts and (4, "") in texts
 
 
 def test_op3_random_repeats(spark):
@@ -487,13 +487,14 @@ def test_op9_salvages_plain_archives(spark, tmp_path):
 
 
 def test_op10_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = queries.documents(spark, sf), queries.labels(spark, sf)
+    sf = "/root/testdata/sf0.1"
+    labels = queries.labels(spark, sf)
+    docs = queries.documents(spark, sf).join(labels.select("doc_id"), "doc_id", "left_semi")
     model = classifier.trained(docs, labels.filter("doc_id % 3 <> 0"))
     held = classifier.scored(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
     clean = [r["kept"] for r in held if r["quality"] == 1 and r["toxic"] == 0]
     bad = [r["kept"] for r in held if r["quality"] == 0]
-    assert np.mean(clean) > 0.95 and np.mean(bad) < 0.5
+    assert np.mean(clean) > 0.98 and np.mean(bad) < 0.3
 
 
 def test_op10_odd_rows(spark, odd):
