@@ -40,7 +40,8 @@ def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def selected(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a block: document, anchor hash and span hash of every selected anchor, with the first and last window that
-    selected it, as words of the block."""
+    selected it, as words of the block. Where a text goes on repeating itself, equal anchors with equal spans that
+    follow each other are one."""
     starts, hashes = words.starts_of_grams(length), words.hashes()
     if not len(starts):
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts, starts)
@@ -60,7 +61,10 @@ def selected(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.nda
     for k in range(int(n.max())):
         more = k < n
         spans[more] = mix(spans[more] * np.uint64(0x9FB21C651E98DF25) + windows[low[more] + k])
-    return words.document()[low], grams[chosen[change]], spans, low, high
+    doc, anchors = words.document()[low], grams[chosen[change]]
+    same = (anchors[1:] == anchors[:-1]) & (spans[1:] == spans[:-1]) & (doc[1:] == doc[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    return doc[head], anchors[head], spans[head], low[head], high[np.concatenate([head[1:] - 1, [len(high) - 1]])]
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -77,7 +81,8 @@ def occurrences(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
 
 
 def _windows(opened: DataFrame, length: int) -> DataFrame:
-    """The windows of opened spans: anchor, window, doc_id, text_id, low. ``opened`` has text_id, text and spans."""
+    """The windows of opened spans: anchor, window, doc_id, text_id, low, past. ``opened`` has text_id, text and spans.
+    Equal windows that follow each other are one."""
     kind = opened.schema["doc_id"].dataType.simpleString()
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +94,19 @@ def _windows(opened: DataFrame, length: int) -> DataFrame:
             flat = listed.flatten()
             low, high, anchors = (np.asarray(flat.field(k)) for k in range(3))
             m = high - low + 1
+            if not m.sum():
+                continue
             doc = np.repeat(np.repeat(np.arange(len(n)), n), m)
             at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
-            for a in range(0, len(at), 1 << 19):
-                d, w = doc[a : a + (1 << 19)], at[a : a + (1 << 19)]
-                yield pa.RecordBatch.from_pydict({"anchor": np.repeat(anchors, m)[a : a + (1 << 19)], "window": signed(windows[words.first[d] + w]), "doc_id": rows.column("doc_id").take(pa.array(d)), "text_id": np.asarray(rows.column("text_id"))[d], "low": w})
+            hashes, keys = signed(windows[words.first[doc] + at]), np.repeat(anchors, m)
+            same = (hashes[1:] == hashes[:-1]) & (keys[1:] == keys[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1)
+            head = np.flatnonzero(np.concatenate([[len(at) > 0], ~same]))
+            past = at[np.concatenate([head[1:], [len(at)]]) - 1] + length
+            for a in range(0, len(head), 1 << 19):
+                h, d = head[a : a + (1 << 19)], doc[head[a : a + (1 << 19)]]
+                yield pa.RecordBatch.from_pydict({"anchor": keys[h], "window": hashes[h], "doc_id": rows.column("doc_id").take(pa.array(d)), "text_id": np.asarray(rows.column("text_id"))[d], "low": at[h], "past": past[a : a + (1 << 19)]})
 
-    return opened.mapInArrow(open_, f"anchor long, window long, doc_id {kind}, text_id long, low long")
+    return opened.mapInArrow(open_, f"anchor long, window long, doc_id {kind}, text_id long, low long, past long")
 
 
 def with_text_id(docs: DataFrame) -> DataFrame:
@@ -114,9 +125,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tup
     text_id, text), a superset, and one of their repeats (doc_id, text_id, repeats: array of low and past, in words)."""
     found = occurrences(docs, length, anchor)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.min("span").alias("_c"), F.max("span").alias("_d"))
-    shared = shared.filter("_a < _b").select("anchor", (F.col("_c") < F.col("_d")).alias("varied"))
+    # Written before it is joined: right above an aggregation Spark does not split a hot key's join.
+    shared = written(shared.filter("_a < _b").select("anchor", (F.col("_c") < F.col("_d")).alias("varied")), "shared-anchors")
     seeds = written(found.join(shared, "anchor"), "seeds")
-    first = seeds.groupBy("anchor", "span").agg(F.min("doc_id").alias("first"))
+    first = written(seeds.groupBy("anchor", "span").agg(F.min("doc_id").alias("first")), "first-spans")
     seeds = written(seeds.join(first, ["anchor", "span"]).filter("first < doc_id OR varied"), "extended")
     settled = seeds.filter("first < doc_id").select("doc_id", "text_id", "low", (F.col("high") + length).alias("past"))
     spans = F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.struct("low", "high", "anchor")))
@@ -125,7 +137,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tup
     texts = written(texts.select("doc_id", "text_id", "text", "spans"), "repeating-texts")
     windows = written(_windows(texts.filter(F.size("spans") > 0), length), "windows")
     held = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_b")).filter("first < _b").drop("_b")
-    again = windows.join(held, ["anchor", "window"]).filter("first < doc_id").select("doc_id", "text_id", "low", (F.col("low") + length).alias("past"))
+    held = written(held, "held-windows")
+    again = windows.join(held, ["anchor", "window"]).filter("first < doc_id").select("doc_id", "text_id", "low", "past")
     repeats = settled.union(again).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("low", "past")).alias("repeats"))
     return texts.select("doc_id", "text_id", "text"), repeats
 

@@ -206,6 +206,18 @@ def test_op3_random_repeats(spark):
     assert sorted(map(tuple, substrings.substring_report(table(spark, rows)).collect()), key=repr) == brute_repeats(rows)
 
 
+def test_op3_texts_that_repeat_themselves(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for d in range(60):
+        period = int(r.integers(1, 8))
+        words = [f"p{x}" for x in range(int(r.integers(0, 3)), 40)][:period] * int(r.integers(8, 120))
+        head, tail = ([f"n{x}" for x in r.integers(0, 50, int(r.integers(0, 30)))] for _ in range(2))
+        rows.append((d, " ".join(head + words[: int(r.integers(30, 400))] + tail)))
+    assert sorted(map(tuple, substrings.substring_report(table(spark, rows)).collect()), key=repr) == brute_repeats(rows)
+    assert len(substrings.occurrences(table(spark, [(1, "a " * 5000)])).collect()) == 1
+
+
 # 4 Packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
