@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -69,16 +70,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SEPARATE).split()
 
 
-def exact(joined: bytes, phrase: bytes) -> list[int]:
+def blanks_of(joined: bytes) -> np.ndarray:
+    """Where the blanks are; the k-th one is right before word k."""
+    return np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+
+
+def exact(joined: bytes, phrase: bytes, blanks: np.ndarray) -> list[int]:
     """The words at which the phrase's words begin; ``joined`` has a blank around every word."""
     found, at = [], joined.find(b" " + phrase + b" ")
     while at >= 0:
-        found.append(joined.count(b" ", 0, at))
+        found.append(at)
         at = joined.find(b" " + phrase + b" ", at + 1)
-    return found
+    return np.searchsorted(blanks, found).tolist()
 
 
-def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, str, int, int, int]]:
+def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...], blanks: np.ndarray) -> list[tuple[str, str, int, int, int]]:
     """Matches with at most the allowed edits: label, notice, first and last word, edits."""
     found = []
     for notice, label, k, parts, pattern in _compiled(notices):
@@ -92,15 +98,18 @@ def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[str
                     found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, notice))
                 at = joined.find(part, at + 1)
     found.sort()
-    kept: list[tuple] = []
+    # Kept matches by stretches of the text no shorter than any match, so only three can hold one that overlaps.
+    kept: dict[int, list[tuple]] = {}
+    stretch = max((m[2] - m[1] for m in found), default=0) + 1
     for m in found:
-        if all(m[2] <= x[1] or x[2] <= m[1] or (x[0] == m[0] and x[3] != m[3]) for x in kept):
-            kept.append(m)
+        place = m[1] // stretch
+        if all(m[2] <= x[1] or x[2] <= m[1] or (x[0] == m[0] and x[3] != m[3]) for k in (place - 1, place, place + 1) for x in kept.get(k, ())):
+            kept.setdefault(place, []).append(m)
     out = []
-    for edits, a, b, label, notice in kept:
+    for edits, a, b, label, notice in (m for own in kept.values() for m in own):
         a += joined[a : a + 1] == b" "
-        first = joined.count(b" ", 0, a + 1) - 1
-        out.append((label, notice, max(first, 0), max(joined.count(b" ", 0, max(b - 1, a + 1)) - 1, 0), edits))
+        first, last = (int(np.searchsorted(blanks, x)) - 1 for x in (a + 1, max(b - 1, a + 1)))
+        out.append((label, notice, max(first, 0), max(last, 0), edits))
     return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 
 
@@ -120,8 +129,9 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[st
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 joined = b" " + b" ".join(words) + b" " if words else b" "
-                base = [(at, label) for p, label in wanted for at in exact(joined, p)]
-                more = fuzzy(joined, known)
+                blanks = blanks_of(joined)
+                base = [(at, label) for p, label in wanted for at in exact(joined, p, blanks)]
+                more = fuzzy(joined, known, blanks)
                 own = sorted({label for _, label in base})
                 score = 1.0 if base else max((round(1 - e / len(n), 6) for _, n, _, _, e in more), default=0.0)
                 rows.append({

@@ -425,6 +425,14 @@ def test_op8_edits(spark):
     assert found[4]["labels"] == "mit"
 
 
+def test_op8_many_notices_in_one_text(spark):
+    """A notice over and over costs its length, and each place is found."""
+    n = 20_000
+    (row,) = licenses.scanned(table(spark, [(1, "so it is released under the mit license and " * n)])).collect()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (9 * n, n, 4, 9 * (n - 1) + 4)
+    assert [(m["first_word"], m["last_word"], m["edits"]) for m in row["matches"]] == [(9 * k + 3, 9 * k + 7, 0) for k in range(n)]
+
+
 def test_op8_seeds_leave_no_match_out():
     for notice in licenses.NOTICES:
         k = licenses.edits_allowed(notice)
