@@ -58,6 +58,13 @@ def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.assemble(t.select("id", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"), "id", "l_returnflag")
 
 
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each nation: mean and deviation of its customers' balances, of whole tables."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").cast("long").alias("id"))
+    own = c.agg(F.array(F.avg("c_acctbal").cast("double"), F.coalesce(F.stddev_pop(F.col("c_acctbal").cast("double")), F.lit(0.0))).alias("features"))
+    return own.withColumn("label", F.lit(0))
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -438,7 +445,7 @@ def procrustes(spark, sf_dir):
 
 @query(f"WITH {V}, {knn_sql(1000000)}, {LOW}, {knn_sql(16, name='h', table='w')}, n AS (SELECT count(*) AS n FROM p) SELECT round(1 - 2.0 / (n * 16 * (2 * n - 49)) * sum(greatest(g.rank - 16, 0)), 6) AS trustworthiness FROM h JOIN g ON g.src = h.src AND g.dst = h.dst, n GROUP BY n")
 def trustworthiness(spark, sf_dir):
-    v = points.fixed_sample(vectors(spark, sf_dir), 500)
+    v = vectors(spark, sf_dir)
     return one_row(spark, trustworthiness=round(quality.trustworthiness(v, flat(v), 16), 6))
 
 
@@ -498,23 +505,23 @@ def betti_curve(spark, sf_dir):
 
 @query()
 def h0_bars(spark, sf_dir):
-    return topology.h0_bars(points.fixed_sample(vectors(spark, sf_dir), 200)).withColumn("death", r6("death"))
+    return topology.h0_bars(vectors(spark, sf_dir)).withColumn("death", r6("death"))
 
 
 @query()
 def significant_bars(spark, sf_dir):
-    bars = checkpoint(topology.rips_bars(points.fixed_sample(vectors(spark, sf_dir), 60)))
+    bars = checkpoint(topology.rips_bars(nations(spark, sf_dir)))
     return topology.significant(bars, 0).unionByName(topology.significant(bars, 1)).select("dim", r6("birth").alias("birth"), r6("death").alias("death"), r6("persistence").alias("persistence"))
 
 
 @query()
 def rips_curve(spark, sf_dir):
-    return topology.rips_curve(checkpoint(topology.rips_bars(points.fixed_sample(vectors(spark, sf_dir), 60))), 20).withColumn("filtration", r6("filtration"))
+    return topology.rips_curve(checkpoint(topology.rips_bars(nations(spark, sf_dir))), 20).withColumn("filtration", r6("filtration"))
 
 
 @query()
 def h0_islands(spark, sf_dir):
-    return topology.islands(checkpoint(topology.h0_bars(points.fixed_sample(vectors(spark, sf_dir), 200)))).select(r6("longest").alias("longest"), r6("top_ratio").alias("top_ratio"))
+    return topology.islands(checkpoint(topology.h0_bars(vectors(spark, sf_dir)))).select(r6("longest").alias("longest"), r6("top_ratio").alias("top_ratio"))
 
 
 @query("SELECT round(sqrt(2.0) + 1, 6) AS distance")
@@ -531,7 +538,7 @@ def matrix_structure(spark, sf_dir):
 
 @query()
 def global_metrics(spark, sf_dir):
-    v = points.fixed_sample(vectors(spark, sf_dir), 120)
+    v = vectors(spark, sf_dir)
     found = topology.global_metrics(v, flat(v), 8, 0.9, 8)
     return spark.createDataFrame([(k, float(x)) for k, x in found.items()], "metric string, value double")
 
@@ -679,14 +686,26 @@ def elbows(spark, sf_dir):
 
 @query()
 def intrinsic_sweep(spark, sf_dir):
-    v = points.fixed_sample(vectors(spark, sf_dir), 300)
+    v = vectors(spark, sf_dir)
     found = intrinsic.sweep(v, range(1, 4), embedding.Parameters(max_iter=32))
     return found.select("dimension", r6("stress").alias("stress"), r6("neighbor").alias("neighbor"))
 
 
+@query()
+def parameter_search(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    found = intrinsic.search(v, {"n_neighbors": (8, 24), "spread": (1.0, 4.0), "init": ["pca", "random"]}, trials=4, base=embedding.Parameters(max_iter=32))
+    return cluster.pareto(found).select("trial", "params", r6("score").alias("score"), r6("error").alias("error"))
+
+
+@query()
+def kernel_pca(spark, sf_dir):
+    return embedding.kernel_pca(vectors(spark, sf_dir), 2).select("id", F.transform("coords", lambda x: F.round(x, 4)).alias("coords"))
+
+
 @query()
 def compare_reducers(spark, sf_dir):
-    v = points.fixed_sample(vectors(spark, sf_dir), 200)
+    v = vectors(spark, sf_dir)
     methods = {k: f for k, f in intrinsic.reducers(max_iter=32).items() if k != "spectral"}
     return intrinsic.compare(spark, v, methods, metrics=("distortion",)).drop("seconds")
 

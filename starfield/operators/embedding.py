@@ -20,6 +20,8 @@ from starfield.plans.materialize import checkpoint
 
 #: Points that one task may lay out, and the dimensions of which a covariance matrix is formed.
 LOCAL, DIMENSIONS = 20_000, 2048
+#: Points that kernel components compare all others with.
+LANDMARKS = 512
 
 
 def kernel_target(min_dist: float, spread: float, points: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +118,34 @@ def explained_variance(points: DataFrame, k: int) -> list[float]:
     return list(np.cumsum(values) / max(values.sum(), 1e-300))
 
 
+def kernel_pca(points: DataFrame, k: int, gamma: float | None = None, landmarks: int = LANDMARKS, seed: int = 42) -> DataFrame:
+    """id and coords: principal components under the kernel exp(-gamma * squared distance); gamma is 1 / dimensions.
+
+    Exact up to ``landmarks`` points. Beyond, kernel values to so many sampled points stand for the others' (Nystroem),
+    so cost and memory grow with the rows and not with their square. An empty table gives none.
+    """
+    rows = fixed_sample(points.select("id", "features"), landmarks, seed).collect()  # ``landmarks`` at most
+    if not rows:
+        return points.sparkSession.createDataFrame([], "id long, coords array<double>")
+    base = np.array([r["features"] for r in rows], float)
+    gamma = gamma or 1 / base.shape[1]
+
+    def kernel_values(x: np.ndarray) -> np.ndarray:
+        square = (x * x).sum(1)[:, None] + (base * base).sum(1) - 2 * x @ base.T
+        return np.exp(-gamma * np.maximum(square, 0))
+
+    values, vectors = np.linalg.eigh(kernel_values(base))
+    firm = values > 1e-10 * values.max()
+    axes = vectors[:, firm] / np.sqrt(values[firm])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "features": list(kernel_values(_matrix(batch.column("features"))) @ axes)})
+
+    return pca(points.select("id", "features").mapInArrow(mapped, "id long, features array<double>"), k)
+
+
 def random_axes(dimensions: int, k: int, seed: int) -> np.ndarray:
     axes = np.random.default_rng(seed).standard_normal((k, dimensions))
     return axes / np.linalg.norm(axes, axis=1, keepdims=True)

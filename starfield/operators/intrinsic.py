@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from starfield.operators.cluster import kneedle, line_elbow, share_elbow
@@ -52,6 +54,34 @@ def reducers(k: int = 2, **params) -> dict:
     return {"force": Reducer(Parameters(n_components=k, **params)).fit_transform, "spectral": Reducer(Parameters(n_components=k, init="spectral", max_iter=0)).fit_transform, "pca": lambda points: pca(points, k), "random": flat}
 
 
+def search(points: DataFrame, space: dict, trials: int = 20, seed: int = 42, base: Parameters | None = None, k: int = 16) -> DataFrame:
+    """A row for each random draw of parameters: trial, params (JSON), score (neighbours kept), error (stress), seconds.
+
+    ``space`` gives for each parameter a list to choose from or a pair (low, high): whole numbers if both are, both ends
+    included. All trials are judged by one table of ``k`` neighbours; ``cluster.pareto`` gives the best ones.
+    """
+    base, draw = base or Parameters(), np.random.default_rng(seed)
+    if unknown := set(space) - set(base.__dataclass_fields__):
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
+    k = min(k, points.count() - 1)
+    high = checkpoint(auto_knn(points, k))
+    rows = []
+    for trial in range(trials):
+        params = {}
+        for name, values in space.items():
+            if isinstance(values, tuple):
+                low, most = values
+                params[name] = int(draw.integers(low, most + 1)) if isinstance(low, int) and isinstance(most, int) else float(draw.uniform(low, most))
+            else:
+                params[name] = values[int(draw.integers(len(values)))]
+        began = time.time()
+        layout = checkpoint(Reducer(replace(base, **params)).fit_transform(points))
+        seconds = time.time() - began
+        score = neighbour_score(high, auto_knn(as_points(layout), k), k).first()[0]
+        rows.append((trial, json.dumps(params, sort_keys=True), score, stress(high, layout).first()[0], seconds))
+    return points.sparkSession.createDataFrame(rows, "trial int, params string, score double, error double, seconds double")
+
+
 METRICS = ("distortion", "context", "topology")
 
 

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from starfield import catalog
 from starfield.functions.vectors import metric_name
-from starfield.operators import cluster, embedding, knn, points, quality, text, timeseries, topology
+from starfield.operators import cluster, embedding, intrinsic, knn, points, quality, text, timeseries, topology
 from starfield.operators.components import components, spanning_forest
 from starfield.runner import ReducerRunner, plot_frame
 from starfield.sources import files, generators
@@ -218,3 +219,43 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_markdown(spark):
     df = spark.createDataFrame([("# T\n\n **b**  \n",)], "t string")
     assert df.select(text.plain(F.col("t")).alias("t")).first()["t"] == "T\nb"
+
+
+def test_kernel_components(spark):
+    """Exact with all points as landmarks: eigenvectors of the centred kernel matrix, up to sign; near with fewer."""
+    p = generators.gaussian(spark, 80, 3)
+    rows = p.orderBy("id").collect()
+    x = np.array([r["features"] for r in rows])
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 3)
+    centre = np.eye(80) - 1 / 80
+    values, vectors = np.linalg.eigh(centre @ kernel @ centre)
+    expected = (vectors * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :2]
+    got = np.array([r["coords"] for r in embedding.kernel_pca(p, 2).orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(expected), atol=1e-6)
+    near = np.array([r["coords"] for r in embedding.kernel_pca(p, 2, landmarks=60).orderBy("id").collect()])
+    assert all(abs(np.corrcoef(near[:, k], expected[:, k])[0, 1]) > 0.98 for k in range(2))
+    assert embedding.kernel_pca(p.limit(0), 2).count() == 0
+
+
+def test_parameter_search(spark):
+    p = generators.blobs(spark, 120, 4)
+    space = {"n_neighbors": (5, 12), "spread": (1.0, 3.0), "init": ["pca", "random"]}
+    one, again = (intrinsic.search(p, space, trials=2, base=embedding.Parameters(max_iter=8)).drop("seconds").collect() for _ in range(2))
+    assert one == again and [r["trial"] for r in one] == [0, 1]
+    assert all(0 <= r["score"] <= 1 and r["error"] >= 0 for r in one)
+    with pytest.raises(ValueError, match="unknown parameters"):
+        intrinsic.search(p, {"no_such": [1]})
+
+
+def test_h0_bars_are_the_spanning_tree(spark, sf_dir):
+    """The query over the whole table against Prim's algorithm."""
+    x = np.array([r["features"] for r in catalog.vectors(spark, sf_dir).collect()], float)
+    far, inside, deaths = np.full(len(x), np.inf), np.zeros(len(x), bool), []
+    now = 0
+    for _ in range(len(x) - 1):
+        inside[now] = True
+        far = np.where(inside, np.inf, np.minimum(far, np.sqrt(((x - x[now]) ** 2).sum(1))))
+        now = int(far.argmin())
+        deaths.append(far[now])
+    found = sorted(r["death"] for r in catalog.h0_bars(spark, sf_dir).collect())
+    assert found[-1] == math.inf and np.allclose(found[:-1], sorted(deaths), atol=1e-5)
