@@ -41,28 +41,56 @@ def exact_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return 1 - (x * y).sum(-1) / (np.sqrt((x * x).sum(-1)) * np.sqrt((y * y).sum(-1)) + EPSILON)
 
 
+def _without_late_copies(others: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows of ``y`` that can be among the ``k`` nearest of a point: of equal rows, those of the ``k + 1``
+    smallest ids (one of them may be the point itself)."""
+    seen: dict[bytes, int] = {}
+    group = np.array([seen.setdefault(row.tobytes(), len(seen)) for row in y], int)
+    if len(seen) == len(y):
+        return np.arange(len(y))
+    order = np.lexsort((others, group))
+    group, ids = group[order], others[order]
+    first = np.r_[True, group[1:] != group[:-1]]
+    number = np.cumsum(first | np.r_[True, ids[1:] != ids[:-1]])
+    return np.sort(order[number - number[first][group] <= k])
+
+
 def best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest of ``y`` for each row of ``x``: a product finds a few more, exact distances order them."""
+    """The ``k`` nearest of ``y`` for each row of ``x``. A product leaves all those that may be among them within the
+    bound of its rounding, however many; exact distances and ids order these."""
     out: list[tuple] = []
-    for at in range(0, len(x), 512):
-        a = x[at : at + 512]
-        g = a @ y.T
-        if metric in ("euclidean", "sqeuclidean"):
-            g = (a * a).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * g
-        elif metric == "inner_product":
-            g = -g
-        else:
-            g = 1 - g / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None] + EPSILON)
-        g[ids[at : at + 512][:, None] == others[None]] = np.inf
-        m = min(k + 8, len(y))
-        near = np.argpartition(g, m - 1, axis=1)[:, :m] if m < len(y) else np.broadcast_to(np.arange(len(y)), g.shape)
-        d = exact_distances(a[:, None], y[near], metric)
-        d[np.isinf(np.take_along_axis(g, near, 1))] = np.inf
-        # A point at the same product distance as the last one found may be nearer by id: take such rows whole.
-        order = np.lexsort((others[near], d), axis=1)[:, :k]
-        rows = np.repeat(ids[at : at + 512], order.shape[1])
-        out.append((rows, others[np.take_along_axis(near, order, 1)].ravel(), np.take_along_axis(d, order, 1).ravel()))
-    src, dst, d = (np.concatenate(c) if out else np.zeros(0) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    keep = _without_late_copies(others, y, k)
+    others, y = others[keep], y[keep]
+    straight = metric in ("euclidean", "sqeuclidean")
+    with np.errstate(invalid="ignore", over="ignore"):
+        # Differences do not depend on the origin; near it the product form cancels least.
+        centre = y.mean(0) if straight and len(y) else 0.0
+        centre = np.where(np.isfinite(centre), centre, 0.0)
+        p, q = x - centre, y - centre
+        unit = 4 * (y.shape[1] + 8) * np.finfo(float).eps
+        s, t = (p * p).sum(1)[:, None], (q * q).sum(1)[None]
+        for at in range(0, len(x), 512):
+            part = slice(at, at + 512)
+            g = p[part] @ q.T
+            if straight:
+                g, slack = s[part] + t - 2 * g, unit * (s[part] + t)
+            elif metric == "inner_product":
+                g, slack = -g, unit * np.sqrt(s[part]) * np.sqrt(t)
+            else:
+                g, slack = 1 - g / (np.sqrt(s[part]) * np.sqrt(t) + EPSILON), unit
+            slack = slack + 1e-300
+            own = ids[part][:, None] == others[None]
+            high = g + slack
+            high[own] = np.inf
+            last = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if k < len(y) else np.inf
+            # Comparisons with values that are not numbers are false, so such pairs stay in.
+            row, col = np.nonzero(~(g - slack > last) & ~own)
+            step = max(1, (1 << 21) // max(1, y.shape[1]))
+            d = np.concatenate([np.zeros(0), *(exact_distances(x[part][row[i : i + step]], y[col[i : i + step]], metric) for i in range(0, len(row), step))])
+            order = np.lexsort((others[col], d, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            out.append((ids[part][row[order]], others[col[order]], d[order]))
+    src, dst, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     ok = np.isfinite(d)
     return src[ok], dst[ok], d[ok]
 

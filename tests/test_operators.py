@@ -47,6 +47,40 @@ def test_fewer_neighbours_than_asked(spark):
     assert knn.knn(cloud(spark, [(0, 0), (1, 1)]), 5).count() == 2
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "inner_product", "cosine"])
+def test_hundreds_of_copies_give_the_smallest_ids(metric):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(1200) + 7
+    x = rng.standard_normal((1200, 6))
+    x[100:600] = x[100]
+    x[600:900] = x[600]
+    src, dst, dist = knn.best(ids, x, ids, x, 5, metric)
+    for i in range(len(x)):
+        d = knn.exact_distances(x[i][None], x, metric)
+        order = [j for j in np.lexsort((ids, d)) if j != i][:5]
+        assert dst[src == ids[i]].tolist() == ids[order].tolist() and dist[src == ids[i]].tolist() == d[order].tolist()
+
+
+def test_copies_give_the_same_neighbours_in_all_blocks(spark):
+    rows = [(1.5, 2.5, -0.5) if i % 3 else (i, -i, 0.5) for i in range(400)]
+    copies = [i for i in range(400) if i % 3]
+    want = {(src, dst) for src in copies for dst in [i for i in copies if i != src][:4]}
+    for block in (4096, 90):
+        found = {(r["src"], r["dst"]) for r in knn.knn(cloud(spark, rows), 4, block=block).collect() if r["src"] % 3}
+        assert found == want
+
+
+def test_neighbours_far_from_the_origin():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((700, 4)) + 1e9
+    x[0] = 0
+    ids = np.arange(700)
+    src, dst, _ = knn.best(ids, x, ids, x, 3, "euclidean")
+    for i in range(700):
+        d = knn.exact_distances(x[i][None], x, "euclidean")
+        assert dst[src == i].tolist() == [j for j in np.lexsort((ids, d)) if j != i][:3]
+
+
 def test_metric_names():
     assert [metric_name(m) for m in (None, " L2 ", "Euclidean", "cosine", "abs(x[0])")] == ["euclidean", "euclidean", "euclidean", "cosine", None]
     with pytest.raises(ValueError):
