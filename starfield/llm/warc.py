@@ -27,6 +27,7 @@ LEAST = 100
 _GZIP = b"\x1f\x8b\x08"
 _MAGIC = b"WARC/1."
 _FEED = 1 << 16
+_HEADERS_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "kind string, path string, begin long, end long, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, reason string"
@@ -101,11 +102,12 @@ def _checked(data: bytes | memoryview, start: int) -> tuple[dict, bytes, int] |
     """The record at ``start`` of plain bytes: headers, payload and its end; or what is wrong."""
     if bytes(data[start : start + 7]) != _MAGIC:
         return "no version line"
-    head = bytes(data[start : start + _FEED])
-    if (cut := head.find(b"\r\n\r\n")) < 0:
+    # Headers may be of any length (a long URL), but do not go beyond another version line.
+    if not (last := _HEADERS_END.search(data, start)) or last[0] != b"\r\n\r\n":
         return "headers without an end"
+    cut = last.start() - start
     fields = {}
-    for line in head[:cut].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in bytes(data[start : start + cut]).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             return "broken header"
@@ -172,10 +174,13 @@ def salvaged(data: bytes) -> Iterator[tuple]:
         yield "gap", bad, len(data), why
 
 
-def _rows(path: str, data: bytes, payloads: bool) -> Iterator[pa.RecordBatch]:
+def _rows(path: str, data: bytes, payloads: bool, records: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each record and gap; an error at the end if there are not as many ``records``."""
     rows, held = [], 0
     schema = _SCHEMA if payloads else _SCHEMA.remove(len(_SCHEMA) - 1)
+    found = 0
     for kind, begin, end, *rest in salvaged(data):
+        found += kind == "record"
         row = dict.fromkeys(schema.names) | {"kind": kind, "path": path, "begin": begin, "end": end}
         if kind == "gap":
             row["reason"] = rest[0]
@@ -194,24 +199,29 @@ def _rows(path: str, data: bytes, payloads: bool) -> Iterator[pa.RecordBatch]:
             rows, held = [], 0
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema)
+    if records is not None and found != records:
+        raise ValueError(f"{path}: {found} records read of {records} written")
 
 
-def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
+def read_archives(manifest: DataFrame, payloads: bool = False, whole: bool = False) -> DataFrame:
     """Reads the archives of a table of paths: a row for each record, and one for each gap (kind ``gap``).
 
-    A task holds one archive at a time.
+    A task holds one archive at a time. With ``whole``, an archive without the number of ``records`` that the table
+    tells is an error.
     """
 
+    columns = ["path", "records"] if whole else ["path"]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, *records in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(place, compression=None) as f:
                     data = f.read()
-                yield from _rows(path, data, payloads)
+                yield from _rows(path, data, payloads, *records)
 
     # A given number of partitions is not merged again, however few bytes the paths are.
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS + ", payload binary" * payloads)
+    return manifest.select(*columns).repartition(max(1, manifest.count())).mapInArrow(read, RECORDS + ", payload binary" * payloads)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -228,8 +238,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null and repeated pages as in ``with_revisits``; other columns of ``pages`` are ignored; no pages, no rows.
+    Null and repeated pages as in ``with_revisits``; other columns of ``pages`` are ignored; no pages, no rows. A record
+    that was written and cannot be read is an error.
     """
-    read = read_archives(write_warc(with_revisits(pages))).filter("kind = 'record'")
+    read = read_archives(write_warc(with_revisits(pages)), whole=True).filter("kind = 'record'")
     number = lambda c: F.try_to_number(F.nullif(F.regexp_extract(c, r"<urn:page:(-?\d*)>", 1), F.lit("")), F.lit("S9999999999999999999")).cast("long")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -503,6 +503,23 @@ def test_op9_salvages_plain_archives(spark, tmp_path):
     assert (gap["begin"], gap["end"], gap["reason"]) == (len(records[0]), len(records[0]) + len(records[1]), "wrong payload digest")
 
 
+def test_op9_very_long_urls(spark):
+    rows = [(1, "http://a/" + "x" * 70_000, "one" * 50), (2, "http://a/" + "é " * 200_000, "two" * 50), (3, "u", "three")]
+    df = spark.createDataFrame(rows, PAGE)
+    assert sorted(r["page_id"] for r in warc.round_trip(df).collect()) == [1, 2, 3]
+    read = warc.read_archives(warc.write_warc(warc.with_revisits(df)), whole=True).collect()
+    assert {r["kind"] for r in read} == {"record"} and sorted(len(r["uri"]) for r in read) == [1, 70_009, 800_009]
+
+
+def test_op9_missing_records_are_an_error(spark, tmp_path):
+    _, members = archive()
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members[:3]) + members[3][:-20] + b"".join(members[4:]))
+    manifest = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", 6, 0)], warc.MANIFEST)
+    assert Counter(r["kind"] for r in warc.read_archives(manifest).collect()) == {"record": 5, "gap": 1}
+    with pytest.raises(Exception, match="5 records read of 6 written"):
+        warc.read_archives(manifest, whole=True).collect()
+
+
 # 10 Classifier
 
 
