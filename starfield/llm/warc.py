@@ -4,7 +4,7 @@ The writer rolls archives at ``ROLL`` bytes and returns their paths as a table.
 each attempt of a task, and only those in the table of finished attempts are read, so a lost executor leaves no
 record twice. The reader checks every member or record (gzip checksum, version line, lengths, payload digest). After
 a failed check it searches for the next valid gzip member or version line and goes on there; the bytes between are
-logged as a gap.
+logged as a gap. So it does within the bytes of a member, and within those that a damaged member still gives.
 """
 
 from __future__ import annotations
@@ -127,48 +127,84 @@ def _checked(data: bytes | memoryview, start: int) -> tuple[dict, bytes, int] |
     return fields, payload, end + 4
 
 
-def _member(data: memoryview, start: int) -> tuple[bytes, int] | str:
+def _member(data: memoryview, start: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``start`` gives, the place up to which it was read, and what is wrong with it if anything."""
     z, out, at = zlib.decompressobj(31), [], start
     try:
         while not z.eof and at < len(data):
             out.append(z.decompress(data[at : at + _FEED]))
             at += min(_FEED, len(data) - at)
     except zlib.error as e:
-        return f"gzip: {e}"[:80]
-    return (b"".join(out), at - len(z.unused_data)) if z.eof else "gzip: cut off"
+        error = f"gzip: {e}"[:80]
+    else:
+        return b"".join(out), at - len(z.unused_data), "" if z.eof else "gzip: cut off"
+    # The call that failed gave nothing: up to its place again, and from there byte by byte.
+    z = zlib.decompressobj(31)
+    out = [z.decompress(data[start:at])]
+    try:
+        while at < len(data):
+            out.append(z.decompress(data[at : at + 1]))
+            at += 1
+    except zlib.error:
+        pass
+    return b"".join(out), at, error
+
+
+def _within(plain: bytes) -> Iterator[tuple]:
+    """All valid records of the bytes of a member: ("record", end, headers, payload); and ("gap", reason)."""
+    at = 0
+    while 0 <= at < len(plain):
+        if isinstance(one := _checked(plain, at), str):
+            yield "gap", one
+            while (at := plain.find(_MAGIC, at + 1)) >= 0 and isinstance(one := _checked(plain, at), str):
+                pass
+            if at < 0:
+                return
+        yield "record", one[2], *one[:2]
+        at = one[2]
 
 
 def salvaged(data: bytes) -> Iterator[tuple]:
-    """All valid records of an archive: ("record", begin, end, headers, payload); and ("gap", begin, end, reason)."""
+    """All valid records of an archive: ("record", begin, end, headers, payload); and ("gap", begin, end, reason).
+
+    Records of a member have its place, gaps within it begin there.
+    """
     view, at, bad, why = memoryview(data), 0, None, ""
     while at < len(data):
-        found, end = [], at
         if data[at : at + 3] == _GZIP:
-            if isinstance(got := _member(view, at), str):
-                error = got
-            else:
-                plain, end, inner, error = *got, 0, ""
-                while inner < len(plain) and not error:
-                    if isinstance(one := _checked(plain, inner), str):
-                        error = one
-                    else:
-                        found.append(one[:2])
-                        inner = one[2]
-        elif isinstance(one := _checked(view, at), str):
-            error = one
+            plain, end, error = _member(view, at)
+            found = _within(plain)
         else:
-            found, end, error = [one[:2]], one[2], ""
-        if not error:
+            plain, end, error = b"", at, ""
+            one = _checked(view, at)
+            if isinstance(one, str):
+                found, error = iter(()), one
+            else:
+                end = one[2]
+                found = iter([("record", end, *one[:2])])
+        sure = 0  # bytes of the member up to the end of its last valid record
+        for kind, *rest in found:
+            if kind == "gap":
+                if bad is None:
+                    bad, why = at, error or rest[0]
+                continue
             if bad is not None:
-                yield "gap", bad, at, why
+                yield "gap", bad, at if bad < at else end, why
                 bad = None
-            for headers, payload in found:
-                yield "record", at, end, headers, payload
+            sure, *record = rest
+            yield "record", at, end, *record
+        if not error:
             at = end
             continue
         if bad is None:
             bad, why = at, error
-        ahead = [x for x in (data.find(_GZIP, at + 1), data.find(_MAGIC, at + 1)) if x > 0]
+        # A member without a valid end is searched for others, but not where its own records are.
+        past = at + 1
+        if plain and sure:
+            z = zlib.decompressobj(31)
+            z.decompress(view[at:end], sure)
+            past = max(past, end - len(z.unconsumed_tail))
+        ahead = [x for x in (data.find(_GZIP, past), data.find(_MAGIC, past)) if x > 0]
         at = min(ahead, default=len(data))
     if bad is not None:
         yield "gap", bad, len(data), why

@@ -503,6 +503,43 @@ def test_op9_salvages_plain_archives(spark, tmp_path):
     assert (gap["begin"], gap["end"], gap["reason"]) == (len(records[0]), len(records[0]) + len(records[1]), "wrong payload digest")
 
 
+@pytest.mark.parametrize("level", [0, 1])
+def test_op9_salvages_within_members(level):
+    records, _ = archive()
+    every = [f"<urn:page:{k}>" for k in range(6)]
+    spoiled = bytearray(b"".join(records))
+    spoiled[len(records[0]) + records[1].index(b"payload 1") + 3] ^= 0xFF
+    one = warc.member(bytes(spoiled), level)
+    tail = warc.member(records[0], level)
+    rest = every[:1] + every[2:]
+    found = list(warc.salvaged(one + tail))
+    assert ids(found) == rest + every[:1] and [x[1:] for x in found if x[0] == "gap"] == [(0, len(one), "wrong payload digest")]
+
+    wrong = bytearray(warc.member(b"".join(records), level))
+    wrong[-6] ^= 0xFF  # the checksum
+    found = list(warc.salvaged(bytes(wrong) + tail))
+    assert ids(found) == every + every[:1]
+    assert [(x[1], x[2]) for x in found if x[0] == "gap"] == [(0, len(wrong))]
+
+
+def test_op9_salvages_members_cut_off():
+    noise = np.random.default_rng(1).bytes(400_000).hex().encode()
+    payloads = [noise[k * 100_000 : (k + 1) * 100_000] for k in range(8)]
+    records = [warc.record(k, "u", p, hashlib.sha256(p).hexdigest(), None, "response") for k, p in enumerate(payloads)]
+    tail = warc.member(warc.record(9, "u", b"", hashlib.sha256(b"").hexdigest(), None, "response"))
+    for level in (0, 1, 6):
+        data = warc.member(b"".join(records), level)
+        cut = data[: len(data) * 6 // 10]
+        for more in (b"", tail):
+            found = list(warc.salvaged(cut + more))
+            assert ids(found) == [f"<urn:page:{k}>" for k in (0, 1, 2, 3, *([9] if more else []))]
+            assert [x[1] for x in found if x[0] == "gap"] == [0]
+        broken = bytearray(data)
+        broken[len(data) // 2 : len(data) // 2 + 40] = bytes(40)
+        kept = ids(warc.salvaged(bytes(broken) + tail))
+        assert kept[:3] == [f"<urn:page:{k}>" for k in range(3)] and kept[-1] == "<urn:page:9>" and len(set(kept)) == len(kept)
+
+
 def test_op9_very_long_urls(spark):
     rows = [(1, "http://a/" + "x" * 70_000, "one" * 50), (2, "http://a/" + "é " * 200_000, "two" * 50), (3, "u", "three")]
     df = spark.createDataFrame(rows, PAGE)
