@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfield.functions.vectors import keyed_hash
-from starfield.operators.knn import _matrix, auto_knn, knn, normalized_adjacency, symmetric
+from starfield.operators.knn import BLOCK, _matrix, auto_knn, knn, normalized_adjacency, symmetric
 from starfield.operators.points import _array, _per_dimension, centred, finite_only, fixed_sample, numbered
-from starfield.plans.materialize import checkpoint
+from starfield.plans.materialize import checkpoint, written
 
 #: Points that one task may lay out, and the dimensions of which a covariance matrix is formed.
 LOCAL, DIMENSIONS = 20_000, 2048
@@ -118,12 +118,8 @@ def explained_variance(points: DataFrame, k: int) -> list[float]:
     return list(np.cumsum(values) / max(values.sum(), 1e-300))
 
 
-def kernel_pca(points: DataFrame, k: int, gamma: float | None = None, landmarks: int = LANDMARKS, seed: int = 42) -> DataFrame:
-    """id and coords: principal components under the kernel exp(-gamma * squared distance); gamma is 1 / dimensions.
-
-    Exact up to ``landmarks`` points. Beyond, kernel values to so many sampled points stand for the others' (Nystroem),
-    so cost and memory grow with the rows and not with their square. An empty table gives none.
-    """
+def _landmark_components(points: DataFrame, k: int, gamma: float | None, landmarks: int, seed: int) -> DataFrame:
+    """id and coords: components from the kernel values to sampled points (Nystroem)."""
     rows = fixed_sample(points.select("id", "features"), landmarks, seed).collect()  # ``landmarks`` at most
     if not rows:
         return points.sparkSession.createDataFrame([], "id long, coords array<double>")
@@ -146,6 +142,111 @@ def kernel_pca(points: DataFrame, k: int, gamma: float | None = None, landmarks:
     return pca(points.select("id", "features").mapInArrow(mapped, "id long, features array<double>"), k)
 
 
+def _kernel_times(table: DataFrame, gamma: float, block: int) -> DataFrame:
+    """id and w: the kernel matrix of all points times the columns of ``r``, a pair of blocks to a task."""
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"id": pa.array([], pa.int64()), "w": pa.array([], pa.list_(pa.float64()))})
+        x, y, r = _matrix(left["q_features"]), _matrix(right["features"]), _matrix(right["r"])
+        middle = y.mean(0)
+        x, y = x - middle, y - middle
+        out = []
+        for at in range(0, len(x), 512):
+            a = x[at : at + 512]
+            square = (a * a).sum(1)[:, None] + (y * y).sum(1) - 2 * a @ y.T
+            out.append(np.exp(-gamma * np.maximum(square, 0)) @ r)
+        return pa.table({"id": left["q_id"], "w": pa.array(list(np.concatenate(out)), pa.list_(pa.float64()))})
+
+    blocks = max(1, -(-table.count() // block))
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    own = table.select(F.col("id").alias("q_id"), F.col("features").alias("q_features"), of.alias("q_a")).withColumn("q_b", every)
+    other = table.select("id", "features", "r", of.alias("_b")).withColumn("_a", every)
+    parts = own.groupBy("q_a", "q_b").cogroup(other.groupBy("_a", "_b")).applyInArrow(product, "id long, w array<double>")
+    width = len(table.select("r").first()[0])
+    return parts.groupBy("id").agg(F.array(*[F.sum(F.col("w")[c]) for c in range(width)]).alias("w"))
+
+
+def _products(table: DataFrame) -> np.ndarray:
+    """Sums of products of 1, the columns of ``b`` and those of ``ab``."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                z = np.column_stack([np.ones(batch.num_rows), _matrix(batch.column("b")), _matrix(batch.column("ab"))])
+                total = z.T @ z + total
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_pydict({"g": [total.ravel()]})
+
+    total = sum(np.array(r["g"]) for r in table.select("b", "ab").mapInArrow(sums, "g array<double>").toLocalIterator())
+    return total.reshape(int(len(total) ** 0.5), -1)
+
+
+def kernel_pca(points: DataFrame, k: int, gamma: float | None = None, landmarks: int | None = None, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """id and coords: principal components under the kernel exp(-gamma * squared distance); gamma is 1 / dimensions.
+
+    Exact at every size: leading eigenvectors of the centred kernel matrix of all points, by block Lanczos rounds with
+    restarts until the residuals are below 3e-7 of the largest eigenvalue. A round multiplies all pairs of blocks, and
+    only Gram matrices of the few columns reach the driver. The largest coordinate of a component is positive. With
+    ``landmarks``, kernel values to so many sampled points stand for the others' (Nystroem). An empty table gives none.
+    """
+    first = points.select(F.size("features")).first()
+    if landmarks is not None or first is None:
+        return _landmark_components(points, k, gamma, landmarks or LANDMARKS, seed)
+    gamma = gamma or 1 / first[0]
+    width = k + 2
+    # The landmarks' components are a near start, and random columns hold what the sample may lack.
+    start = _landmark_components(points, width, gamma, LANDMARKS, seed)
+    chance = F.array(*[keyed_hash(F.col("id"), seed, c) / F.lit(float(16**12)) - 0.5 for c in range(width)])
+    table = written(points.select("id", "features").join(start, "id").select("id", "features", F.concat("coords", chance).alias("r")), "kernel")
+    n, size = table.count(), len(table.select("r").first()[0])
+    mean = table.agg(*[F.avg(F.col("r")[c]) for c in range(size)]).first()
+    table = table.withColumn("r", F.array(*[F.col("r")[c] - mean[c] for c in range(size)])).withColumn("b", F.array().cast("array<double>")).withColumn("ab", F.array().cast("array<double>"))
+    for _ in range(500):
+        moved = _kernel_times(table, gamma, block)
+        table = written(table.join(moved, "id").select("id", "features", F.concat("b", "r").alias("b"), F.concat("ab", "w").alias("ab")), "kernel")
+        g = _products(table)
+        j = len(g) // 2
+        shift = g[0, j + 1 :] / n
+        g = (g - np.outer(g[0], g[0]) / n)[1:, 1:]
+        scale = 1 / np.sqrt(np.maximum(np.diag(g)[:j], 1e-300))
+        sizes, turn = np.linalg.eigh(g[:j, :j] * np.outer(scale, scale))
+        firm = sizes > 1e-6
+        basis = scale[:, None] * turn[:, firm] / np.sqrt(sizes[firm])
+        cross = basis.T @ (g[:j, j:] + g[j:, :j]) @ basis / 2
+        values, vectors = np.linalg.eigh(cross)
+        values, s = values[::-1], basis @ vectors[:, ::-1]
+        off = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", s, g[j:, j:], s) - values**2, 0))
+        if not len(values) or (off[:k] <= 3e-7 * values[0]).all() or len(values) >= n - 1:
+            break
+        keep = s[:, : 3 * width] if j > 8 * width else np.eye(j)
+        lead = [c for c in range(min(width, len(values))) if off[c] > 1e-8 * values[0]]
+        table = _combined(table, shift, keep, s[:, lead] / off[lead], values[lead])
+    else:
+        raise ValueError("kernel components do not converge")
+    found = min(k, n)
+    s = np.column_stack([s[:, :found] * np.sqrt(np.maximum(values[:found], 0)), np.zeros((j, max(0, found - len(values))))])
+    coords = [sum((F.col("b")[i] * float(s[i, c]) for i in range(j)), F.lit(0.0)) for c in range(found)]
+    layout = table.select("id", F.array(*coords).alias("coords"))
+    signs = layout.agg(*[F.max_by(F.signum(F.col("coords")[c]), F.struct(F.abs(F.col("coords")[c]), -F.col("id"))) for c in range(found)]).first()
+    return layout.select("id", F.array(*[F.col("coords")[c] * (signs[c] or 1.0) for c in range(found)]).alias("coords"))
+
+
+def _combined(table: DataFrame, shift: np.ndarray, keep: np.ndarray, lead: np.ndarray, values: np.ndarray) -> DataFrame:
+    """The columns ``b`` and ``ab`` (less their mean) times ``keep``, and the residuals ``r`` of the leading ones."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                b, ab = _matrix(batch.column("b")), _matrix(batch.column("ab")) - shift
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "features": batch.column("features"), "b": list(b @ keep), "ab": list(ab @ keep), "r": list(ab @ lead - b @ lead * values)})
+
+    kind = table.schema["features"].dataType.simpleString()
+    return written(table.mapInArrow(combine, f"id long, features {kind}, b array<double>, ab array<double>, r array<double>"), "kernel")
+
+
 def random_axes(dimensions: int, k: int, seed: int) -> np.ndarray:
     axes = np.random.default_rng(seed).standard_normal((k, dimensions))
     return axes / np.linalg.norm(axes, axis=1, keepdims=True)

@@ -293,3 +293,15 @@ def test_h0_bars_are_the_spanning_tree(spark, sf_dir):
         deaths.append(far[now])
     found = sorted(r["death"] for r in catalog.h0_bars(spark, sf_dir).collect())
     assert found[-1] == math.inf and np.allclose(found[:-1], sorted(deaths), atol=1e-5)
+
+
+def test_kernel_components_of_many_points_are_exact(spark):
+    """More points than landmarks, in several blocks."""
+    p = generators.gaussian(spark, 700, 5)
+    x = np.array([r["features"] for r in p.orderBy("id").collect()])
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 5)
+    centre = np.eye(700) - 1 / 700
+    values, vectors = np.linalg.eigh(centre @ kernel @ centre)
+    expected = (vectors * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :2]
+    got = np.array([r["coords"] for r in embedding.kernel_pca(p, 2, block=300).orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(expected), atol=1e-5)
