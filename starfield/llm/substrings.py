@@ -1,14 +1,15 @@
 """Substring dedup: seed and extend on winnowed anchors.
 
-Of every ``LENGTH`` consecutive words, winnowing selects one anchor of ``ANCHOR`` words by its content alone, so equal
-passages of that length hold equal anchors. Anchors that only one document has are dropped by one aggregation. Around
-a shared anchor lies its span, the union of the windows that selected it. Spans extend the match both ways: those that
-an earlier document holds as a whole are settled by an aggregation on (anchor, span). Of spans that differ between
-documents only the first holder of each is opened, and its windows are compared one by one, again by an aggregation.
-Settled spans and windows that overlap or meet are maximal repeats.
-
-Documents are never paired with each other, so a passage in a third of all documents costs its length, not its square.
-Hashes of 128 bits (anchor and span or window) stand for words.
+1. Of every ``LENGTH`` consecutive words, winnowing selects one anchor of ``ANCHOR`` words by its content alone, so
+   equal passages of that length hold equal anchors. Anchors that only one document has are dropped.
+2. Holders of an anchor are joined with its first holder (the smallest doc_id), never with each other: a passage in a
+   third of all documents costs its length, not its square. The seed of a holder is the anchor's span, the union of
+   the windows that selected it, at the place where the first holder of the same span has it.
+3. Where spans around an anchor differ, they are opened, and each window is joined with its own first holder.
+4. Seeds are extended both ways: those of one source on one diagonal that overlap or meet are one repeat, until no
+   neighbour on either side goes on. What results is at least ``LENGTH`` words long, with its source and place there.
+
+Two 64-bit hashes, of the anchor and of the span or window, from independent word hashes, stand for the words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +28,13 @@ from starfield.plans.materialize import written
 LENGTH = 50
 ANCHOR = 13
 _LOW = np.uint64(0xFFFFFFFF)
+#: Of the anchors' word hashes; the windows' have none.
+_SALT = 7
+REPEATS = "array<struct<low bigint,past bigint,source {0},source_low bigint>>"
 #: Begins the names of columns that are joined to those of the caller.
 _OWN = "_substrings_"
 
 
-def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Tells apart rows that share a doc_id."""
-    raw = data.tobytes()
-    return np.array([xxhash.xxh64_intdigest(raw[a:b], 5) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-
-
 def selected(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a block: document, anchor hash and span hash of every selected anchor, with the first and last window that
     selected it, as words of the block. Where a text goes on repeating itself, equal anchors with equal spans that
@@ -45,7 +42,7 @@ def selected(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.nda
     starts, hashes = words.starts_of_grams(length), words.hashes()
     if not len(starts):
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts, starts)
-    grams, windows = gram_hashes(hashes, anchor), gram_hashes(hashes, length)
+    grams, windows = gram_hashes(words.hashes(_SALT), anchor), gram_hashes(hashes, length)
     # The least hash of each window, the leftmost of equal ones: 32 bits of hash, then the place.
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     span, wide = 1, length - anchor + 1
@@ -75,9 +72,9 @@ def occurrences(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
         for rows, data, offsets in blocks(batches):
             words = Words(data, offsets)
             doc, anchors, spans, low, high = selected(words, length, anchor)
-            yield pa.RecordBatch.from_pydict({"anchor": signed(anchors), "span": signed(spans), "doc_id": rows.column("doc_id").take(pa.array(doc)), "text_id": _text_ids(data, offsets)[doc], "low": low - words.first[doc], "high": high - words.first[doc]})
+            yield pa.RecordBatch.from_pydict({"anchor": signed(anchors), "span": signed(spans), "doc_id": rows.column("doc_id").take(pa.array(doc)), "text_id": rows.column("text_id").take(pa.array(doc)), "low": low - words.first[doc], "high": high - words.first[doc]})
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(select, f"anchor long, span long, doc_id {kind}, text_id long, low long, high long")
+    return with_text_id(docs.filter("doc_id IS NOT NULL")).mapInArrow(select, f"anchor long, span long, doc_id {kind}, text_id long, low long, high long")
 
 
 def _windows(opened: DataFrame, length: int) -> DataFrame:
@@ -110,37 +107,50 @@ def _windows(opened: DataFrame, length: int) -> DataFrame:
 
 
 def with_text_id(docs: DataFrame) -> DataFrame:
-    """Adds text_id, by which rows that share a doc_id are told apart."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_id": _text_ids(data, offsets), "text": rows.column("text").cast(pa.string())})
-
-    return docs.select("doc_id", "text").mapInArrow(number, f"doc_id {kind}, text_id long, text string")
+    """doc_id, text and text_id, by which rows that share a doc_id are told apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """The texts that repeat earlier documents' passages of ``length`` words: one table of those texts (doc_id,
-    text_id, text), a superset, and one of their repeats (doc_id, text_id, repeats: array of low and past, in words)."""
+    text_id, text), a superset, and one of their seeds (doc_id, text_id, repeats: low, past, source, source_low)."""
     found = occurrences(docs, length, anchor)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.min("span").alias("_c"), F.max("span").alias("_d"))
     # Written before it is joined: right above an aggregation Spark does not split a hot key's join.
     shared = written(shared.filter("_a < _b").select("anchor", (F.col("_c") < F.col("_d")).alias("varied")), "shared-anchors")
     seeds = written(found.join(shared, "anchor"), "seeds")
-    first = written(seeds.groupBy("anchor", "span").agg(F.min("doc_id").alias("first")), "first-spans")
-    seeds = written(seeds.join(first, ["anchor", "span"]).filter("first < doc_id OR varied"), "extended")
-    settled = seeds.filter("first < doc_id").select("doc_id", "text_id", "low", (F.col("high") + length).alias("past"))
-    spans = F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.struct("low", "high", "anchor")))
+    first = written(seeds.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "low")).alias("first")), "first-spans")
+    seeds = written(seeds.join(first, ["anchor", "span"]).filter("first.doc_id < doc_id OR varied"), "extended")
+    settled = seeds.filter("first.doc_id < doc_id").select("doc_id", "text_id", "low", (F.col("high") + length).alias("past"), "first")
+    spans = F.collect_list(F.when(F.col("first.doc_id") == F.col("doc_id"), F.struct("low", "high", "anchor")))
     wanted = seeds.groupBy("doc_id", "text_id").agg(spans.alias("spans"))
     texts = with_text_id(docs).join(wanted, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"])  # as the join has dealt them
     texts = written(texts.select("doc_id", "text_id", "text", "spans"), "repeating-texts")
     windows = written(_windows(texts.filter(F.size("spans") > 0), length), "windows")
-    held = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_b")).filter("first < _b").drop("_b")
+    held = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.max("doc_id").alias("_b")).filter("first.doc_id < _b").drop("_b")
     held = written(held, "held-windows")
-    again = windows.join(held, ["anchor", "window"]).filter("first < doc_id").select("doc_id", "text_id", "low", "past")
-    repeats = settled.union(again).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("low", "past")).alias("repeats"))
-    return texts.select("doc_id", "text_id", "text"), repeats
+    again = windows.join(held, ["anchor", "window"]).filter("first.doc_id < doc_id").select("doc_id", "text_id", "low", "past", "first")
+    seed = F.struct("low", "past", F.col("first.doc_id").alias("source"), F.col("first.low").alias("source_low"))
+    return texts.select("doc_id", "text_id", "text"), settled.union(again).groupBy("doc_id", "text_id").agg(F.collect_list(seed).alias("repeats"))
+
+
+def extended(low: np.ndarray, past: np.ndarray, source: np.ndarray, source_low: np.ndarray) -> list[tuple[int, int, object, int]]:
+    """A document's maximal repeats from its seeds: those of one source and diagonal are merged as long as they overlap
+    or meet. In the order of their places."""
+    names = {s: k for k, s in enumerate(dict.fromkeys(source))}
+    of = np.array([names[s] for s in source], np.int64)
+    order = np.lexsort((low, source_low - low, of))
+    key = np.stack([of, source_low - low])[:, order]
+    low, past = low[order], past[order]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+    # The furthest end so far on the diagonal: ends of later diagonals are lifted beyond all earlier ones.
+    lift = np.cumsum(fresh) * (int(past.max()) + 2)
+    reach = np.maximum.accumulate(past + lift)
+    fresh[1:] |= (low + lift)[1:] > reach[:-1]
+    head = np.flatnonzero(fresh)
+    tail = np.concatenate([head[1:], [len(low)]]) - 1
+    return sorted((int(low[a]), int(reach[b] - lift[b]), source[order[a]], int(source_low[order[a]])) for a, b in zip(head, tail, strict=True))
 
 
 def _removed(words: Words, listed: pa.ListArray) -> np.ndarray:
@@ -153,26 +163,35 @@ def _removed(words: Words, listed: pa.ListArray) -> np.ndarray:
 
 
 def _cut(texts: DataFrame, repeats: DataFrame, with_text: bool) -> DataFrame:
-    """What is left of texts with repeats: doc_id, text_id, n_words, n_removed, kept_sha256 (and text)."""
+    """What is left of texts with repeats: doc_id, text_id, n_words, n_removed, kept_sha256, repeats (or the text)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
             words = Words(data, offsets)
-            gone = _removed(words, rows.column("repeats"))
-            raw, digests, left = data.tobytes(), [], []
-            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            listed = rows.column("repeats")
+            gone = _removed(words, listed)
+            raw, digests, left, spans = data.tobytes(), [], [], []
+            for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
                 kept = np.flatnonzero(~gone[a:b]) + a
-                digests.append(hashlib.sha256(b" ".join(raw[x:y] for x, y in zip(words.starts[kept].tolist(), words.ends[kept].tolist(), strict=True))).hexdigest())
                 if with_text:  # runs of kept words as they stand in the text
                     edge = np.flatnonzero(np.diff(kept) > 1)
                     runs = zip(words.starts[kept[np.concatenate([[0], edge + 1])]].tolist(), words.ends[kept[np.concatenate([edge, [-1]])]].tolist(), strict=True) if len(kept) else ()
                     left.append(b" ".join(raw[x:y] for x, y in runs).decode())
-            removed = np.concatenate([[0], np.cumsum(gone)])
-            columns = {"doc_id": rows.column("doc_id"), "text_id": rows.column("text_id"), "n_words": words.counts.astype(np.int64), "n_removed": removed[words.first[1:]] - removed[words.first[:-1]], "kept_sha256": digests}
-            yield pa.RecordBatch.from_pydict(columns | ({"text": left, "whole": rows.column("text")} if with_text else {}))
+                    continue
+                digests.append(hashlib.sha256(b" ".join(raw[x:y] for x, y in zip(words.starts[kept].tolist(), words.ends[kept].tolist(), strict=True))).hexdigest())
+                own = listed[k].values
+                low, past, source_low = (np.asarray(own.field(c)) for c in (0, 1, 3))
+                spans.append([dict(zip(("low", "past", "source", "source_low"), x, strict=True)) for x in extended(low, past, own.field(2).to_pylist(), source_low)])
+            columns = {"doc_id": rows.column("doc_id"), "text_id": rows.column("text_id")}
+            if with_text:
+                yield pa.RecordBatch.from_pydict(columns | {"text": left, "whole": rows.column("text")})
+            else:
+                removed = np.concatenate([[0], np.cumsum(gone)])
+                yield pa.RecordBatch.from_pydict(columns | {"n_removed": removed[words.first[1:]] - removed[words.first[:-1]], "kept_sha256": digests, "repeats": pa.array(spans, listed.type)})
 
-    return texts.join(repeats, ["doc_id", "text_id"]).mapInArrow(cut, f"doc_id {kind}, text_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, whole string" * with_text)
+    columns = "text string, whole string" if with_text else "n_removed long, kept_sha256 string, repeats " + REPEATS.format(kind)
+    return texts.join(repeats, ["doc_id", "text_id"]).mapInArrow(cut, f"doc_id {kind}, text_id long, {columns}")
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -186,23 +205,25 @@ def _whole(docs: DataFrame) -> DataFrame:
                 words = raw[a:b].split()
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_id": _text_ids(data, offsets), "n_words": counts, "kept_sha256": digests})
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_id": rows.column("text_id"), "n_words": counts, "kept_sha256": digests})
 
-    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, text_id long, n_words long, kept_sha256 string")
+    return with_text_id(docs).mapInArrow(digest, f"doc_id {kind}, text_id long, n_words long, kept_sha256 string")
 
 
 def substring_report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """Every row's share of repeats: doc_id, n_words, n_removed, kept_sha256 (of the kept words, one blank between).
+    """Every row's repeats: doc_id, n_words, n_removed, kept_sha256 (of the kept words, one blank between), repeats (an
+    array of low, past, source, source_low: maximal spans in words, the document that has them first, and where).
 
     A word goes if a window of ``length`` words covers it that also stands in a document with a smaller doc_id; the
-    windows are those of the input. Null and empty texts have no words. Rows that share a doc_id are one document,
-    which loses nothing to itself; a null doc_id neither gives nor loses passages. Other columns are ignored; an
-    empty table gives none.
+    windows are those of the input. Null and empty texts have no words; very long texts are taken whole, one at a time
+    in a task. Rows that share a doc_id are one document, which loses nothing to itself; a null doc_id neither gives
+    nor loses passages. Other columns are ignored; an empty table gives none.
     """
     texts, repeats = repeated(docs, length, anchor)
-    less = _cut(texts, repeats, False).select("doc_id", "text_id", "n_removed", F.col("kept_sha256").alias("_left"))
+    less = _cut(texts, repeats, False).select("doc_id", "text_id", "n_removed", F.col("kept_sha256").alias("_left"), "repeats")
     all_ = _whole(docs).join(less, ["doc_id", "text_id"], "left")
-    return all_.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_left", "kept_sha256").alias("kept_sha256"))
+    none = F.array().cast(less.schema["repeats"].dataType)
+    return all_.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_left", "kept_sha256").alias("kept_sha256"), F.coalesce("repeats", none).alias("repeats"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

@@ -15,8 +15,7 @@ import xxhash
 
 BLOCK = 1 << 22
 #: Words of more bytes are hashed one at a time.
-LONG_WORD = 1 << 16
-_SPAN = 1 << 20
+LONG_WORD = 256
 
 # The separators that the contracts name.
 _WHITE = [0x20, *range(0x09, 0x0E)]
@@ -75,25 +74,22 @@ class Words:
         """The document, counted in the block, of every word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for every word. Equal words have equal hashes in every block."""
-        out = np.empty(len(self), np.uint64)
-        at = 0
-        while at < len(self):
-            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + _SPAN, "right")))
-            a, b = self.starts[at:to], self.ends[at:to]
-            if to == at + 1 and b[0] - a[0] > LONG_WORD:
-                out[at] = 0
-            else:
-                low, high = int(a[0]), int(b[-1])
-                total = np.zeros(high - low + 1, np.uint64)
-                np.cumsum((self.data[low:high].astype(np.uint64) + _ONE) * _powers(_BASE, high - low), out=total[1:])
-                a, b = a - low, b - low
-                out[at:to] = mix((total[b] - total[a]) * _powers(_INVERSE, high - low)[a] + (b - a).astype(np.uint64) * _LENGTH)
-            at = to
-        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD):
-            out[k] = xxhash.xxh64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes(), 17)
-        return out
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """64 bits for every word, from all its bytes. Equal words have equal hashes in every block; hashes of other
+        salts are independent."""
+        n = self.ends - self.starts
+        h = mix(n.astype(np.uint64) * _LENGTH + np.uint64(salt))
+        # The eight bytes from every place on, as numbers.
+        lanes = np.ndarray(len(self.data), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        left, at, k = np.flatnonzero(n <= LONG_WORD), self.starts, 0
+        while len(left):
+            chunk = lanes[at[left] + 8 * k] & _FIRST[np.minimum(n[left] - 8 * k, 8)]
+            h[left] = mix((h[left] ^ chunk) * _ODD + np.uint64(k + 1))
+            k += 1
+            left = left[n[left] > 8 * k]
+        for k in np.flatnonzero(n > LONG_WORD):
+            h[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes(), salt)
+        return h
 
     def starts_of_grams(self, n: int) -> np.ndarray:
         """The first words of all runs of n words within one document."""
@@ -101,19 +97,9 @@ class Words:
         return at[at + n <= np.repeat(self.first[1:], self.counts)[: len(at)]]
 
 
-_ONE = np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LENGTH = np.uint64(0xD6E8FEB86659FD93)
-_known: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    if len(_known.get(base, ())) < n:
-        p = np.full(max(n, _SPAN), base, np.uint64)
-        p[0] = 1
-        _known[base] = np.cumprod(p)
-    return _known[base][:n]
+_LENGTH, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: Masks that leave a number's first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
