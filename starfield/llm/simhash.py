@@ -1,9 +1,12 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Each distinct fingerprint carries a table of its Hamming distances to many reference fingerprints. Two fingerprints
-at distance 2 or less differ by 2 or less in every coordinate (the triangle inequality), so pairs whose largest
-coordinate difference is more are discarded, and only survivors are verified. Candidate pairs share two of four
-16-bit blocks, which any pair at distance 2 does.
+at distance 2 or less differ by 2 or less in every coordinate (the triangle inequality). The table decides which
+pairs are made: the first ``CELLED`` coordinates, cut into cells of three, are join keys, so that only fingerprints of
+the same or neighbouring cells meet; those whose largest coordinate difference is more than 2 are discarded
+(``survivors``), and the rest are verified (``verified``). Since random references lie at much the same distance from
+everything, cells alone are crowded; the other join key is two of four 16-bit blocks, which any pair at distance 2
+shares.
 
 Blocks that many distinct fingerprints share would pair up by the square. There the same links follow from bit
 flips: fingerprints at distance 2 or less have a neighbour at distance 1 or less in common, so it is enough to group
@@ -21,14 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfield.llm.components import components
-from starfield.llm.words import LOWER, Words, blocks
+from starfield.llm.skew import joined
+from starfield.llm.words import Words, blocks
+from starfield.operators.components import components
 from starfield.plans.materialize import checkpoint
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
 PIVOTS = 16
+#: How many coordinates are join keys.
+CELLED = 2
 #: More distinct fingerprints than this in one block are linked by bit flips.
 CROWD = 64
 
@@ -79,35 +85,63 @@ def _within(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, text_id (the text's XXH64) and fp, the fingerprint as a signed long, of every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "fp": fingerprints_of(data, offsets).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_id": rows.column("text_id"), "fp": fingerprints_of(data, offsets).view(np.int64)})
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(hash_, f"doc_id {kind}, fp long")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_id")).mapInArrow(hash_, f"doc_id {kind}, text_id long, fp long")
 
 
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(distinct: DataFrame, crowd: int = CROWD, pivots: int = PIVOTS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs at ``RADIUS``."""
+def tabled(distinct: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """The pivot table: fp, and ``d``, its distances to the references."""
+    return distinct.select("fp", F.array(*[_distance(F.col("fp"), F.lit(pivot(k))).cast("byte") for k in range(pivots)]).alias("d"))
+
+
+def _cell(k: int) -> Column:
+    return F.floor(F.col("d")[k] / (RADIUS + 1)).cast("int")
+
+
+def pairs(keyed: DataFrame, celled: int = CELLED) -> DataFrame:
+    """Pairs of rows (which, bits, fp, d) with equal keys and neighbouring cells: a, b, da, db. a < b."""
+    left = keyed.select("which", "bits", F.col("fp").alias("a"), F.col("d").alias("da"), *[_cell(k).alias(f"c{k}") for k in range(celled)])
+    right = keyed.select("which", "bits", F.col("fp").alias("b"), F.col("d").alias("db"), *[_cell(k).alias(f"c{k}") for k in range(celled)])
+    for k in range(celled):
+        right = right.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + n for n in (-1, 0, 1)])))
+    return left.join(right, ["which", "bits", *[f"c{k}" for k in range(celled)]]).filter("a < b").select("a", "b", "da", "db")
+
+
+def survivors(pairs: DataFrame) -> DataFrame:
+    """Discards pairs whose largest coordinate difference is more than ``RADIUS``."""
+    return pairs.filter(F.array_max(F.zip_with("da", "db", lambda x, y: F.abs(x - y))) <= RADIUS).select("a", "b")
+
+
+def verified(survivors: DataFrame) -> DataFrame:
+    return survivors.filter(_distance(F.col("a"), F.col("b")) <= RADIUS)
+
+
+def blocked(distinct: DataFrame, crowd: int = CROWD, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints by the blocks that others share: (which, bits, fp, d) where ``crowd`` at most share one, and fp
+    of the others."""
     block = [F.shiftright("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     keys = [F.struct(F.lit(n).alias("which"), (block[i] * 65536 + block[j]).alias("bits")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    table = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.which", "key.bits", "fp")
-    sizes = table.groupBy("which", "bits").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("n > 1")
-    sizes = checkpoint(sizes)
-    tabled = distinct.select("fp", *[_distance(F.col("fp"), F.lit(pivot(k))).cast("byte").alias(f"d{k}") for k in range(pivots)])
-    few = sizes.filter(F.col("n") <= crowd).select("which", "bits")
-    paired = table.join(few, ["which", "bits"], "left_semi").join(tabled, "fp")
-    left = paired.select("which", "bits", F.col("fp").alias("a"), *[F.col(f"d{k}").alias(f"a{k}") for k in range(pivots)])
-    right = paired.select("which", "bits", F.col("fp").alias("b"), *[F.col(f"d{k}").alias(f"b{k}") for k in range(pivots)])
-    near = F.greatest(*[F.abs(F.col(f"a{k}") - F.col(f"b{k}")) for k in range(pivots)]) <= RADIUS
-    close = left.join(right, (left["which"] == right["which"]) & (left["bits"] == right["bits"]) & (F.col("a") < F.col("b")) & near & (_distance(F.col("a"), F.col("b")) <= RADIUS)).select("a", "b")
-    crowded = table.join(sizes.filter(F.col("n") > crowd).select("which", "bits"), ["which", "bits"], "left_semi").select("fp").distinct()
+    table = tabled(distinct, pivots).select("fp", "d", F.explode(F.array(*keys)).alias("key")).select("key.which", "key.bits", "fp", "d")
+    sizes = checkpoint(table.groupBy("which", "bits").agg(F.count("*").alias("n")).filter("n > 1"))
+    few = table.join(sizes.filter(F.col("n") <= crowd).select("which", "bits"), ["which", "bits"], "left_semi")
+    many = table.drop("d").join(sizes.filter(F.col("n") > crowd).select("which", "bits"), ["which", "bits"], "left_semi")
+    return few, many.select("fp").distinct()
+
+
+def links(distinct: DataFrame, crowd: int = CROWD, pivots: int = PIVOTS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs at ``RADIUS``."""
+    few, crowded = blocked(distinct, crowd, pivots)
+    close = verified(survivors(pairs(few)))
     flips = F.concat(F.array(F.col("fp")), *[F.array(F.col("fp").bitwiseXOR(F.lit(int(np.array([1 << k], np.uint64).view(np.int64)[0])))) for k in range(64)])
     flipped = crowded.select("fp", F.explode(flips).alias("near"))
     hubs = flipped.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).filter("a < most").select("near", "a")
@@ -115,17 +149,27 @@ def links(distinct: DataFrame, crowd: int = CROWD, pivots: int = PIVOTS) -> Data
     return close.union(star).distinct()
 
 
+def classed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row's doc_id, text_id, fp and ``first``: doc_id, fp and text_id of the component's first row (the smallest
+    doc_id, of those the smallest others; null doc_ids are last)."""
+    rows = checkpoint(fingerprints(docs, key, text))
+    own = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_id")).alias("own"), F.count("*").alias("_rows"))
+    own = checkpoint(own)
+    found = components(links(own.select("fp")), "a", "b")
+    # Components are sums of distinct fingerprints here, not of rows.
+    prints = checkpoint(own.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    first = checkpoint(prints.groupBy("component").agg(F.min("own").alias("first"), F.count("*").alias("_prints")))
+    by_print = checkpoint(joined(prints, first, "component", "_prints", ["fp"]).select("fp", "first", "_rows"))
+    return joined(rows, by_print, "fp", "_rows", ["doc_id", "text_id"])
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's class: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of its component).
 
     A fingerprint is the majority of the XXH64 values (seed 42) of the lower-cased text's 3-word shingles, repeats
     included; fewer words are one shingle, and no words (null or empty text) give zero, which links like any other.
-    Fingerprints link at two or fewer differing bits. Repeated rows stay, each with its class; a null doc_id is
-    classed too but is no component_id unless all of the component's are null; other columns are ignored; an empty
-    table gives none.
+    Very long texts are taken whole. Fingerprints link at two or fewer differing bits. Repeated rows stay, each with
+    its class; a null doc_id is classed too but is no component_id unless all of the component's are null; other
+    columns are ignored; an empty table gives none.
     """
-    rows = checkpoint(fingerprints(docs, key, text))
-    found = components(links(rows.select("fp").distinct()), "a", "b")
-    own = rows.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return own.join(first, "component").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classed(docs, key, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
