@@ -2,13 +2,17 @@
 boilerplate, Viterbi decoding finds the most probable labels of a document, and the share of its words in content
 lines decides.
 
-The field is fitted on a bounded sample of labelled documents, whose lines carry their document's label. Without
-labels the fixed weights of ``PRIOR`` hold.
+The field is fitted on a bounded sample of labelled documents. Labels of documents become labels of lines by the lines'
+own evidence (``line_labels``): in good documents a line is content unless it is boilerplate on its face (many
+kinds of documents hold it, the document repeats it, or symbols and shouts fill it); in poor ones it is boilerplate unless it
+reads as a sentence and is none of that. So good documents teach the field how boilerplate lines stand among content,
+and poor ones the opposite. Without labels of both kinds the fixed weights of ``PRIOR`` hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfield.llm.samples import labelled
-from starfield.llm.words import Words, blocks, gram_hashes, mix
+from starfield.llm.words import Words, blocks, gram_hashes, mix, signed
+from starfield.plans.materialize import checkpoint
 
-SAMPLE = 1500
-#: Longer documents are not fitted on; they are decoded like others.
-SAMPLE_LINES = 100
+#: Chains of lines that are fitted on, at most, and the lines of each: longer documents are several chains.
+SAMPLE, CHAIN = 3000, 100
+#: A line is common if more kinds of documents than one for so many documents hold it, and ``LEAST_KINDS`` at least.
+#: No more lines can be common than ``COMMON`` times the mean number of lines in a document.
+COMMON, LEAST_KINDS = 1000, 4
 CONTENT_SHARE = 0.5
 GRAM = 8
 _NEWLINE = np.arange(256) == 0x0A
@@ -31,8 +38,8 @@ _DIGIT = np.isin(np.arange(256), list(range(0x30, 0x3A)))
 _SHOUT = np.isin(np.arange(256), list(b"!?"))
 _STOP = np.isin(np.arange(256), list(b".!?:;\""))
 _BEGINS = (np.arange(256) & 0xC0) != 0x80
-FEATURES = ["bias", "words", "word_length", "symbols", "upper", "digits", "shouts", "stop", "doubled", "known", "first", "last"]
-PRIOR = {"bias": 1.0, "symbols": -20.0, "upper": -3.0, "shouts": -20.0, "digits": -4.0, "doubled": -4.0, "known": -1.0, "words": 1.0}
+FEATURES = ["bias", "words", "word_length", "symbols", "upper", "digits", "shouts", "stop", "doubled", "known", "common", "first", "last"]
+PRIOR = {"bias": 1.0, "symbols": -20.0, "upper": -3.0, "shouts": -20.0, "digits": -4.0, "doubled": -4.0, "known": -1.0, "common": -6.0, "words": 1.0}
 
 
 def _sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -41,9 +48,10 @@ def _sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 class Lines:
-    """The lines with a word of a block: ``first`` (of each document, as in Words), ``words`` in each, features ``x``."""
+    """The lines with a word of a block: ``first`` (of each document, as in Words), ``words`` in each, features ``x``.
+    ``common`` has the sorted hashes of the lines that many documents hold."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: Words, hashes: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: Words, hashes: np.ndarray, common: np.ndarray):
         lines = Words(data, offsets, _NEWLINE)
         begin = np.searchsorted(words.starts, lines.starts)
         end = np.searchsorted(words.starts, lines.ends)
@@ -54,7 +62,10 @@ class Lines:
         self.counts = np.diff(self.first)
         self.words = end - begin
         # Of equal lines of a document all but the first repeat.
-        key = mix(lines.hashes()[full] + document.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        own = lines.hashes()[full]
+        found = np.searchsorted(common, own)
+        self.common = common[np.minimum(found, len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
+        key = mix(own + document.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.repeats = np.ones(len(key), bool)
         self.repeats[np.unique(key, return_index=True)[1]] = False
         share = lambda table: _sums(table[data], self.starts, self.ends) / np.maximum(size, 1)
@@ -66,7 +77,7 @@ class Lines:
         self.x = np.stack([
             np.ones(len(key)), np.log1p(self.words) / 4, _sums(_BEGINS[data], self.starts, self.ends) / np.maximum(self.words, 1) / 10, share(_SYMBOL),
             _sums(_UPPER[data], self.starts, self.ends) / np.maximum(letters, 1), share(_DIGIT), share(_SHOUT), _STOP[data[self.ends - 1]] if len(key) else np.zeros(0),
-            _sums(again, begin, end) / np.maximum(self.words, 1), self.repeats, at == 0, at == np.repeat(self.counts, self.counts) - 1,
+            _sums(again, begin, end) / np.maximum(self.words, 1), self.repeats, self.common, at == 0, at == np.repeat(self.counts, self.counts) - 1,
         ], axis=1).astype(float) if len(key) else np.zeros((0, len(FEATURES)))
 
 
@@ -89,15 +100,28 @@ def _padded(counts: np.ndarray) -> list[np.ndarray]:
     return [np.searchsorted(-counts, -step, "left") for step in range(int(counts.max()) if len(counts) else 0)]
 
 
-def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def line_labels(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Each line's label (1: content) from its features and its document's label."""
+    of = lambda name: x[:, FEATURES.index(name)]
+    noise = (of("symbols") + of("shouts") > 0.05) | ((of("upper") > 0.5) & (of("words") > np.log1p(3) / 4))
+    boilerplate = noise | (of("common") > 0) | (of("known") > 0) | (of("doubled") > 0.5)
+    sentence = (of("stop") > 0) & (of("words") >= np.log1p(5) / 4)
+    return np.where(good, ~boilerplate, sentence & ~boilerplate).astype(float)
+
+
+def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the content label and transition scores that maximise the labels' likelihood (Adam on the exact
-    gradient). ``x``: all lines of all documents in turn; ``y``: a label in 0 .. 1 for each document."""
+    gradient). ``x``: all lines of all chains in turn, ``counts`` of each chain; ``y``: a label in 0 .. 1 for each line."""
     order = np.argsort(-counts, kind="stable")
     begins = (np.cumsum(counts) - counts)[order]
-    counts, y = counts[order], y[order]
+    counts = counts[order]
     active = _padded(counts)
     weights, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
+    gold = np.zeros((2, 2))  # the labels' own transitions
+    for s, n in enumerate(active[1:], 1):
+        was, now = y[begins[:n] + s - 1], y[begins[:n] + s]
+        gold += np.array([[np.sum((1 - was) * (1 - now)), np.sum((1 - was) * now)], [np.sum(was * (1 - now)), np.sum(was * now)]])
     for t in range(1, rounds + 1):
         score = x @ weights
         alpha = []
@@ -105,20 +129,19 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 120, rid
             own = np.stack([np.zeros(n), score[begins[:n] + s]], 1)
             alpha.append(own if s == 0 else own + np.logaddexp(alpha[-1][:n, :1] + moves[0], alpha[-1][:n, 1:] + moves[1]))
         beta = np.zeros((len(counts), 2))
-        pull, pairs = np.zeros_like(score), np.zeros((2, 2))
+        p, pairs = np.zeros_like(score), np.zeros((2, 2))
         for s in range(len(active) - 1, -1, -1):
             n = active[s]
             both = alpha[s] + beta[:n]
-            p = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
-            pull[begins[:n] + s] = y[:n] - p
+            p[begins[:n] + s] = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
             if s:
                 here = np.stack([np.zeros(n), score[begins[:n] + s]], 1) + beta[:n]
                 joint = alpha[s - 1][:n, :, None] + moves[None] + here[:, None, :]
                 joint = np.exp(joint - joint.max((1, 2), keepdims=True))
                 joint /= joint.sum((1, 2), keepdims=True)
-                pairs += np.array([[np.sum(1 - y[:n]), 0], [0, np.sum(y[:n])]]) - joint.sum(0)
+                pairs += joint.sum(0)
                 beta[:n] = np.logaddexp(moves[:, 0] + here[:, :1], moves[:, 1] + here[:, 1:])
-        g = np.concatenate([x.T @ pull, pairs.ravel()]) / max(len(x), 1) - ridge * np.concatenate([weights, moves.ravel()])
+        g = np.concatenate([x.T @ (y - p), (gold - pairs).ravel()]) / max(len(x), 1) - ridge * np.concatenate([weights, moves.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         weights, moves = weights + step[:-4], moves + step[-4:].reshape(2, 2)
@@ -149,32 +172,72 @@ def viterbi(score: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> np.ndar
     return labels
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The field, fitted on at most ``sample`` labelled documents of at most ``SAMPLE_LINES`` lines."""
+@dataclass
+class Field:
+    weights: np.ndarray
+    moves: np.ndarray
+    common: np.ndarray
+
+
+def common_lines(docs: DataFrame, one_in: int = COMMON, least: int = LEAST_KINDS) -> np.ndarray:
+    """The sorted hashes of the lines that many kinds of documents hold. A document's kind is the least hash of its
+    three-word runs, so near copies are mostly of one kind; a line with fewer kinds than half its documents is not common,
+    however many copies of them there are."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in blocks(batches):
+            found, words = Words(data, offsets, _NEWLINE), Words(data, offsets)
+            at = words.starts_of_grams(3)
+            kind = np.zeros(rows.num_rows, np.uint64)
+            if len(at):
+                begins = np.searchsorted(at, words.first)
+                full = np.flatnonzero(begins[:-1] < begins[1:])
+                kind[full] = np.minimum.reduceat(gram_hashes(words.hashes(), 3)[at], begins[full])
+            document, own = np.unique(np.stack([found.document().astype(np.uint64), found.hashes()]), axis=1) if len(found) else np.zeros((2, 0), np.uint64)
+            (line, kind), n = np.unique(np.stack([own, kind[document.astype(np.int64)]]), axis=1, return_counts=True) if len(own) else (np.zeros((2, 0), np.uint64), [])
+            # The last row counts the block's documents.
+            yield pa.RecordBatch.from_pydict({"line": pa.array([*signed(line), None], pa.int64()), "kind": pa.array([*signed(kind), None], pa.int64()), "n": pa.array([*n, rows.num_rows], pa.int64())})
+
+    held = docs.select("text").mapInArrow(lines, "line long, kind long, n long").groupBy("line", "kind").agg(F.sum("n").alias("n"))
+    counts = held.groupBy("line").agg(F.count("kind").alias("kinds"), F.sum("n").alias("n"))
+    counts = checkpoint(counts.filter(F.col("line").isNull() | ((F.col("kinds") >= least) & (F.col("kinds") * 2 >= F.col("n")))))
+    n = counts.filter("line IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    found = counts.filter(F.col("line").isNotNull() & (F.col("kinds") * one_in > n)).select("line").toArrow().column("line").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
+    """The field, fitted on at most ``sample`` chains of at most ``CHAIN`` lines, of at most ``sample`` documents."""
+    common = common_lines(docs)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
             words = Words(data, offsets)
-            found = Lines(data, offsets, words, words.hashes())
-            for k, y in enumerate(rows.column("y").to_pylist()):
-                a, b = found.first[k], found.first[k + 1]
-                if 0 < b - a <= SAMPLE_LINES:
-                    yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id")[k : k + 1].cast(pa.string()), "y": [y], "x": [found.x[a:b].ravel()]})
+            found = Lines(data, offsets, words, words.hashes(), common)
+            for k, (key, y) in enumerate(zip(rows.column("doc_id").cast(pa.string()).to_pylist(), rows.column("y").to_pylist(), strict=True)):
+                for n, a in enumerate(range(found.first[k], found.first[k + 1], CHAIN)):
+                    b = min(a + CHAIN, found.first[k + 1])
+                    yield pa.RecordBatch.from_pydict({"doc_id": [key], "chain": [n], "y": [y], "x": [found.x[a:b].ravel()]})
 
     chosen = labelled(docs.select("doc_id", "text"), labels, F.col("quality"), sample).select("doc_id", "text", "y")
-    rows = sorted(chosen.mapInArrow(lines, "doc_id string, y double, x array<double>").collect())
-    if len({r["y"] >= 0.5 for r in rows}) < 2:
-        return np.array([PRIOR.get(f, 0.0) for f in FEATURES]), np.array([[0.5, -0.5], [-0.5, 0.5]])
-    x = [np.array(r["x"]).reshape(-1, len(FEATURES)) for r in rows]
-    return fit(np.concatenate(x), np.array([len(a) for a in x]), np.array([r["y"] for r in rows]))
+    chains = chosen.mapInArrow(lines, "doc_id string, chain long, y double, x array<double>")
+    chains = chains.orderBy(F.xxhash64("doc_id", "chain"), "doc_id", "chain").limit(sample).toArrow()
+    good = chains.column("y").to_numpy() >= 0.5
+    if len(set(good.tolist())) < 2:
+        return Field(np.array([PRIOR.get(f, 0.0) for f in FEATURES]), np.array([[0.5, -0.5], [-0.5, 0.5]]), common)
+    listed = chains.column("x").combine_chunks()
+    counts = np.diff(np.asarray(listed.offsets)) // len(FEATURES)
+    x = np.asarray(listed.flatten()).reshape(-1, len(FEATURES))
+    return Field(*fit(x, counts, line_labels(x, np.repeat(good, counts))), common)
 
 
-def judged(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, share: float = CONTENT_SHARE) -> DataFrame:
+def judged(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
     """Every row's verdict: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    content_words (in lines decoded as content).
+    content_words (in lines decoded as content), n_lines, n_content_lines.
 
-    Null and empty texts have no words, so they fail the base rule (fewer than 20 words). Repeated rows are judged
-    each; a null doc_id stays null; other columns are ignored; an empty table gives none.
+    Null and empty texts have no words, so they fail the base rule (fewer than 20 words). Very long texts are decoded
+    whole, however many lines they have; equally good labellings end in content. Repeated rows are judged each; a null
+    doc_id stays null; other columns are ignored; an empty table gives none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -182,8 +245,8 @@ def judged(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, share: float
         for rows, data, offsets in blocks(batches):
             words = Words(data, offsets)
             hashes = words.hashes()
-            lines = Lines(data, offsets, words, hashes)
-            content = viterbi(lines.x @ weights, lines.counts, moves)
+            lines = Lines(data, offsets, words, hashes, field.common)
+            content = viterbi(lines.x @ field.weights, lines.counts, field.moves)
             n = words.counts.astype(np.int64)
             repeats = repeated_words(words, hashes)
             inside = _sums(lines.words * content, lines.first[:-1], lines.first[1:])
@@ -194,11 +257,12 @@ def judged(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, share: float
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column("doc_id"), "n_words": n, "word_chars": _sums(visible, offsets[:-1], offsets[1:]), "n_symbols": _sums(_SYMBOL[data], offsets[:-1], offsets[1:]),
                 "n_dup_lines": _sums(lines.repeats, lines.first[:-1], lines.first[1:]), "n_repeat_words": repeats, "base_failed": failed, "kept": ~failed & (inside >= share * n), "content_words": inside,
+                "n_lines": lines.counts.astype(np.int64), "n_content_lines": _sums(content, lines.first[:-1], lines.first[1:]),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long")
+    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long, n_lines long, n_content_lines long")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Fits the field on labelled documents, then judges all of them."""
-    return judged(docs, *trained(docs, labels, sample))
+    """Fits the field on labelled documents, then judges all of them. See ``judged``."""
+    return judged(docs, trained(docs, labels, sample))
