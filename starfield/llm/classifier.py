@@ -1,15 +1,18 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see different views of a document: its text (shape of the writing and hashed words) and its
-metadata (language, source, stated length). Over some rounds each labels the unlabelled documents that it is surest
-of for the other. Held-out labelled documents then calibrate and combine the two views, and all documents are scored.
+metadata (language, source, stated length). They begin with a bounded sample of labelled documents. In every round each
+view labels all unlabelled documents that it is sure of, and the other view learns from them: one pass over the corpus
+adds up, in tasks, the gradient and a bound of the curvature of its loss on those documents, and the driver, which
+holds weights and sums but no unlabelled document, fits the labelled sample and that bound together. Held-out labelled
+documents then calibrate and combine the two views, and all documents are scored.
 
 A document is good if its quality label is 1 and it is not labelled toxic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,25 +22,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfield.llm.quality_rules import _DIGIT, _LOWERCASE, _SHOUT, _SYMBOL, _UPPER, _sums
-from starfield.llm.samples import by_hash, labelled
+from starfield.llm.samples import labelled
 from starfield.llm.words import NOT_ALNUM, Words, blocks
+from starfield.plans.materialize import written
 
-#: Documents at most for fitting: with labels, and without.
-LABELLED, UNLABELLED = 6000, 3000
+#: Labelled documents at most for fitting.
+LABELLED = 6000
 ROUNDS = 3
 CONFIDENT = 0.97
-PER_ROUND = 300
+#: How much the other view's labels weigh, all together, against the known ones.
+GIVEN = 0.5
+STEPS, MORE_STEPS, RIDGE = 150, 50, 1e-3
 WORD_BITS, META_BITS = 15, 10
 #: Share of the held-out good documents that the threshold keeps, and the least threshold; it is 0.5 at most.
 KEPT_GOOD, LOWEST = 0.995, 0.2
-#: Hashed words in fewer sampled documents have no weight.
+#: Hashed words in fewer labelled documents have no weight.
 LEAST_DOCUMENTS = 12
-SHAPE = ["bias", "log_words", "short", "word_length", "symbols", "upper", "digits", "shouts", "doubled", "distinct", "hashed"]
+#: Sums of so many tasks are added up in one.
+FAN = 32
+SHAPE = ["bias", "log_words", "short", "word_length", "symbols", "upper", "digits", "shouts", "doubled", "distinct"]
+META = ["bias", "lang", "source", "length", "lang and length"]
 TEXT_SIZE, META_SIZE = len(SHAPE) + (1 << WORD_BITS), 1 << META_BITS
+SIZES = {"text": TEXT_SIZE, "meta": META_SIZE}
+
+
+@dataclass
+class Rows:
+    """Features of documents: ``shape`` (a row each), ``buckets`` of hashed words (those of one document after another,
+    ``counts`` of each), ``meta`` (a row of columns each)."""
+
+    shape: np.ndarray
+    buckets: np.ndarray
+    counts: np.ndarray
+    meta: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def score(self, view: str, w: np.ndarray) -> np.ndarray:
+        if view == "meta":
+            return w[self.meta].sum(1)
+        total = np.concatenate([[0.0], np.cumsum(w[len(SHAPE) + self.buckets])])
+        ends = np.cumsum(self.counts)
+        return self.shape @ w[: len(SHAPE)] + total[ends] - total[ends - self.counts]
+
+    def gather(self, view: str, values: np.ndarray, absolute: bool = False) -> np.ndarray:
+        """The sum over documents of their values times their features."""
+        if view == "meta":
+            return np.bincount(self.meta.ravel(), np.repeat(values, self.meta.shape[1]), META_SIZE)
+        shape = np.abs(self.shape) if absolute else self.shape
+        return np.concatenate([shape.T @ values, np.bincount(self.buckets, np.repeat(values, self.counts), 1 << WORD_BITS)])
+
+    def width(self, view: str) -> np.ndarray:
+        """The sum of each document's absolute features."""
+        return np.full(len(self), float(self.meta.shape[1])) if view == "meta" else np.abs(self.shape).sum(1) + self.counts
 
 
 def text_view(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a block, the sparse text features: document, feature, value."""
+    """For a block: the shape of each text, the distinct buckets of its words one text after another, their counts."""
     words = Words(data, offsets, NOT_ALNUM, lower=True)
     h = words.hashes()
     n, size = words.counts, np.diff(offsets)
@@ -45,20 +87,18 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (document[1:] == document[:-1])
     key = np.unique((document.astype(np.int64) << WORD_BITS) | (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64))
-    owner, bucket = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
-    per = np.bincount(owner, minlength=len(n))
+    per = np.bincount(key >> WORD_BITS, minlength=len(n))
     share = lambda table: _sums(table[data], offsets[:-1], offsets[1:]) / np.maximum(size, 1)
     letters = _sums(_UPPER[data] | _LOWERCASE[data], offsets[:-1], offsets[1:])
     shape = np.stack([
         np.ones(len(n)), np.log1p(n) / 8, n < 20, size / np.maximum(n, 1) / 10, np.sqrt(share(_SYMBOL)), _sums(_UPPER[data], offsets[:-1], offsets[1:]) / np.maximum(letters, 1),
-        share(_DIGIT), np.sqrt(share(_SHOUT)), _sums(again, words.first[:-1], words.first[1:]) / np.maximum(n, 1), per / np.maximum(n, 1), np.zeros(len(n)),
-    ], axis=1).astype(float)
-    rows = np.concatenate([np.repeat(np.arange(len(n)), len(SHAPE)), owner])
-    return rows, np.concatenate([np.tile(np.arange(len(SHAPE)), len(n)), bucket + len(SHAPE)]), np.concatenate([shape.ravel(), np.ones(len(bucket))])
+        share(_DIGIT), np.sqrt(share(_SHOUT)), _sums(again, words.first[:-1], words.first[1:]) / np.maximum(n, 1), per / np.maximum(n, 1),
+    ], axis=1).astype(np.float32)
+    return shape, (key & ((1 << WORD_BITS) - 1)).astype(np.uint16), per
 
 
-def meta_view(lang: list, source: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sparse metadata features: document, feature, value. Nulls are values of their own."""
+def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """The columns of each document's metadata. Nulls are values of their own."""
     named: dict[str, int] = {}
 
     def place(name: str) -> int:
@@ -67,30 +107,130 @@ def meta_view(lang: list, source: list, n_chars: list) -> tuple[np.ndarray, np.n
         return named[name]
 
     length = ["none" if c is None else str(max(int(c), 0).bit_length()) for c in n_chars]
-    cols = np.array([[0, place(f"lang {a}"), place(f"source {b}"), place(f"length {c}"), place(f"{a} {c}")] for a, b, c in zip(lang, source, length, strict=True)], np.int64).reshape(-1, 5)
-    return np.repeat(np.arange(len(cols)), 5), cols.ravel(), np.ones(cols.size)
+    return np.array([[0, place(f"lang {a}"), place(f"source {b}"), place(f"length {c}"), place(f"{a} {c}")] for a, b, c in zip(lang, source, length, strict=True)], np.uint16).reshape(-1, len(META))
 
 
-@dataclass
-class View:
-    """A logistic classifier over sparse rows, fitted by Adam on the whole sample."""
+def _viewed(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> Rows:
+    known = {f.name: k for k, f in enumerate(rows.schema)}
+    lang, source, n_chars = (rows.column(known[k]) for k in ("lang", "source", "n_chars"))
+    return Rows(*text_view(data, offsets), meta_view(lang.cast(pa.string()).to_pylist(), source.cast(pa.string()).to_pylist(), n_chars.cast(pa.int64()).to_pylist()))
 
-    size: int
-    rounds: int = 150
-    ridge: float = 2e-4
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        self.w = np.zeros(self.size)
-        m, v = np.zeros(self.size), np.zeros(self.size)
-        total = max(weight.sum(), 1e-9)
-        for t in range(1, self.rounds + 1):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * self.w[cols], len(y)), -30, 30)))
-            g = np.bincount(cols, values * (weight * (y - p))[rows], self.size) / total - self.ridge * self.w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.w += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+def features(docs: DataFrame) -> DataFrame:
+    """Every row's features in bytes: doc_id, shape, buckets, meta. About a fifth of the texts' size."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in blocks(batches):
+            own = _viewed(rows, data, offsets)
+            ends = np.cumsum(own.counts)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": rows.column("doc_id"), "shape": [x.tobytes() for x in own.shape], "meta": [x.tobytes() for x in own.meta],
+                "buckets": [own.buckets[a:b].tobytes() for a, b in zip(ends - own.counts, ends, strict=True)],
+            })
+
+    wanted = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    return wanted.mapInArrow(view, f"doc_id {kind}, shape binary, meta binary, buckets binary")
 
-    def score(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(rows, values * self.w[cols], n)
+
+def _loaded(rows: pa.RecordBatch | pa.Table) -> Rows:
+    """The features of stored rows."""
+
+    def flat(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        column = rows.column(rows.schema.get_field_index(name))
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+        return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+    buckets, counts = flat("buckets", np.uint16)
+    return Rows(flat("shape", np.float32)[0].reshape(-1, len(SHAPE)).astype(float), buckets.astype(np.int32), counts.astype(np.int64), flat("meta", np.uint16)[0].reshape(-1, len(META)).astype(np.int32))
+
+
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+@dataclass
+class Bound:
+    """An upper bound of a loss around ``at``: its gradient and a diagonal that no curvature exceeds."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def fitted(rows: Rows, view: str, y: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int, given: Bound | None = None, ridge: float = RIDGE, slice_: int = 1000) -> np.ndarray:
+    """Weights of a logistic classifier by Adam, in steps that shrink to nothing, on the weighted mean loss, plus ``given``."""
+    w = start.copy()
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    total = max(weight.sum(), 1e-9)
+    cuts = [slice(a, a + slice_) for a in range(0, len(rows), slice_)]
+    ends = np.cumsum(rows.counts)
+    begins = ends - rows.counts
+    parts = [(Rows(rows.shape[c], rows.buckets[begins[c][0] : ends[c][-1]], rows.counts[c], rows.meta[c]), y[c], weight[c]) for c in cuts]
+    for t in range(1, steps + 1):
+        g = -ridge * w
+        for part, own, each in parts:
+            g += part.gather(view, each * (own - _probability(part.score(view, w)))) / total
+        if given is not None:
+            g -= given.gradient + given.curvature * (w - given.at)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w += 0.1 * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+    return w
+
+
+def _added(df: DataFrame, partitions: int, fan: int = FAN) -> np.ndarray | None:
+    """The sum of one column of vectors (bytes of doubles), a tree of ``fan`` at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column(0):
+                x = np.frombuffer(v.as_buffer(), float)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+
+    while partitions > 1:
+        partitions = -(-partitions // fan)
+        df = df.repartition(partitions).mapInArrow(add, "v binary")
+    found = df.collect()
+    return np.sum([np.frombuffer(r["v"], float) for r in found], axis=0) if found else None
+
+
+def pseudo_labels(rows: Rows, weights: dict[str, np.ndarray], confident: float = CONFIDENT) -> dict[str, np.ndarray]:
+    """For each view, what the other one labels: nan where it is not sure."""
+    p = {k: _probability(rows.score(k, w)) for k, w in weights.items()}
+    sure = {k: np.where(x >= confident, 1.0, np.where(x <= 1 - confident, 0.0, np.nan)) for k, x in p.items()}
+    return {"text": sure["meta"], "meta": sure["text"]}
+
+
+def exchanged(others: DataFrame, weights: dict[str, np.ndarray], share: float = GIVEN) -> dict[str, Bound | None]:
+    """One pass over all unlabelled documents (``features``): each view's loss on what the other labels. Both classes
+    weigh the same. None where there is not one of each class."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {(k, side): np.zeros(1 + 2 * n) for k, n in SIZES.items() for side in (0, 1)}
+        for batch in batches:
+            rows = _loaded(batch)
+            for k, label in pseudo_labels(rows, weights).items():
+                p = _probability(rows.score(k, weights[k]))
+                for side in (0, 1):
+                    own = (label == side).astype(float)
+                    if own.any():
+                        total[k, side] += np.concatenate([[own.sum()], rows.gather(k, own * (p - side)), rows.gather(k, own * p * (1 - p) * rows.width(k), absolute=True)])
+        yield pa.RecordBatch.from_pydict({"v": [np.concatenate(list(total.values())).tobytes()]})
+
+    found = _added(others.mapInArrow(sums, "v binary"), others.rdd.getNumPartitions())
+    out: dict[str, Bound | None] = {}
+    at = 0
+    for k, n in SIZES.items():
+        both = [(0.0, 0, 0) if found is None else (found[a], found[a + 1 : a + 1 + n], found[a + 1 + n : a + 1 + 2 * n]) for a in (at, at + 1 + 2 * n)]
+        at += 2 * (1 + 2 * n)
+        out[k] = Bound(weights[k], *(share / 2 * sum(x[j] / x[0] for x in both) for j in (1, 2))) if all(x[0] for x in both) else None
+    return out
 
 
 def _calibrated(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -99,7 +239,7 @@ def _calibrated(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     prior = np.array([1.0, 0.0, 0.0])
     w = prior
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _probability(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(3), x.T @ (y - p) - (w - prior))
         w = w + step / max(1, 2 * np.abs(step).max())
     return w
@@ -112,122 +252,84 @@ class Model:
     mix: np.ndarray
     threshold: float = 0.5
 
-
-def _features(docs: DataFrame) -> list:
-    """The features of a sample's documents, in the order of their ids: y, text columns and values, metadata columns,
-    as bytes, which take the driver a tenth of what numbers would."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches):
-            r, c, v = text_view(data, offsets)
-            order = np.argsort(r, kind="stable")
-            cut = np.searchsorted(r[order], np.arange(rows.num_rows + 1))
-            cols, values = c[order].astype(np.int32), v[order].astype(np.float32)
-            meta = meta_view(*(rows.column(k).to_pylist() for k in ("lang", "source", "n_chars")))[1].reshape(-1, 5).astype(np.int32)
-            parts = list(zip(cut[:-1], cut[1:], strict=True))
-            yield pa.RecordBatch.from_pydict({
-                "id": rows.column("doc_id").cast(pa.string()), "y": rows.column("y"), "cols": [cols[a:b].tobytes() for a, b in parts],
-                "vals": [values[a:b].tobytes() for a, b in parts], "meta": [m.tobytes() for m in meta],
-            })
-
-    wanted = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), "y")
-    return sorted(wanted.mapInArrow(features, "id string, y double, cols binary, vals binary, meta binary").collect(), key=lambda r: (r["id"] is None, r["id"]))
-
-
-def _flat(rows: list, view: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cols = [np.frombuffer(r["cols" if view == "text" else "meta"], np.int32) for r in rows]
-    n = [len(c) for c in cols]
-    values = np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]) if view == "text" and rows else np.ones(sum(n), np.float32)
-    return np.repeat(np.arange(len(rows), dtype=np.int32), n), np.concatenate(cols) if cols else np.zeros(0, np.int32), values
-
-
-def trained(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model:
-    """Co-trains on at most ``most`` labelled and ``unlabelled`` other documents. Without labels of both kinds the
-    model accepts everything."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
-    own = _features(labelled(docs, labels, good, most))
-    y = np.array([float(r["y"] >= 0.5) for r in own])
-    if len(set(y)) < 2:
-        return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), np.array([0.0, 0.0, 1.0]))
-    others = by_hash(docs.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id"), unlabelled)
-    more = _features(docs.join(F.broadcast(others.distinct()), "doc_id").withColumn("y", F.lit(None).cast("double")))
-    every = own + more
-    views = {k: _flat(every, k) for k in ("text", "meta")}
-    rows, cols, values = views["text"]
-    rare = np.bincount(cols, minlength=TEXT_SIZE) < LEAST_DOCUMENTS
-    rare[: len(SHAPE)] = False
-    keep = ~rare[cols]
-    views["text"] = rows[keep], cols[keep], values[keep]
-    held = np.arange(len(every)) % 4 == 0
-    held[len(own) :] = False
-    # Each view's labels: known ones outside the held-out quarter, then those that the other view gives.
-    given = {k: np.concatenate([y, np.full(len(more), np.nan)]) for k in views}
-    fitted = {}
-    for turn in range(rounds + 1):
-        for k, (r, c, v) in views.items():
-            use = ~held & ~np.isnan(given[k])
-            label = np.where(use, given[k], 0)
-            weight = use.astype(float)
-            for side in (0, 1):  # both classes weigh the same
-                weight[use & (label == side)] *= 0.5 * use.sum() / max((use & (label == side)).sum(), 1)
-            fitted[k] = View(TEXT_SIZE if k == "text" else META_SIZE)
-            fitted[k].fit(r, c, v, label, weight)
-        if turn == rounds:
-            break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-np.clip(fitted[k].score(*views[k], len(every)), -30, 30)))
-            for side, sure in ((1.0, p), (0.0, 1 - p)):
-                open_ = np.flatnonzero(np.isnan(given[other]) & (sure >= CONFIDENT))
-                given[other][open_[np.argsort(-sure[open_], kind="stable")][:PER_ROUND]] = side
-    scores = np.column_stack([fitted[k].score(*views[k], len(every))[held] for k in ("text", "meta")])
-    truth = y[held[: len(own)]]
-    weights = _calibrated(scores, truth)
-    found = Model(fitted["text"].w, fitted["meta"].w, weights)
+    def of(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both views' scores and the probability of every document."""
+        text, meta = rows.score("text", self.text), rows.score("meta", self.meta)
+        return text, meta, _probability(np.clip(text, -15, 15) * self.mix[0] + np.clip(meta, -15, 15) * self.mix[1] + self.mix[2])
+
+
+def co_trained(own: Rows, y: np.ndarray, exchange: Callable[[dict[str, np.ndarray]], dict[str, Bound | None]], rounds: int = ROUNDS) -> Model:
+    """Co-trains on labelled rows; ``exchange`` gives each view's bound on what the other labels. A quarter is held out."""
+    common = np.bincount(own.buckets, minlength=1 << WORD_BITS) >= LEAST_DOCUMENTS
+    use = common[own.buckets]
+    kept = np.concatenate([[0], np.cumsum(use)])
+    ends = np.cumsum(own.counts)
+    own = Rows(own.shape, own.buckets[use], kept[ends] - kept[ends - own.counts], own.meta)
+    held = np.arange(len(own)) % 4 == 0
+    weight = (~held).astype(float)
+    for side in (0, 1):  # both classes weigh the same
+        weight[~held & (y == side)] *= 0.5 * (~held).sum() / max((~held & (y == side)).sum(), 1)
+    allowed = {"text": np.concatenate([np.ones(len(SHAPE), bool), common]), "meta": np.ones(META_SIZE, bool)}
+    weights = {k: fitted(own, k, y, weight, np.zeros(n), STEPS) for k, n in SIZES.items()}
+    for _ in range(rounds):
+        bounds = exchange(weights)
+        for k, bound in bounds.items():
+            if bound is not None:
+                bound.gradient = bound.gradient * allowed[k]
+                weights[k] = fitted(own, k, y, weight, weights[k], MORE_STEPS, bound)
+    scores = np.column_stack([own.score(k, weights[k])[held] for k in ("text", "meta")])
+    truth = y[held]
+    mix = _calibrated(scores, truth)
+    found = Model(weights["text"], weights["meta"], mix)
     if truth.any():
-        odds = np.clip(scores[truth == 1], -15, 15) @ weights[:2] + weights[2]
-        found.threshold = float(np.clip(np.quantile(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 1 - KEPT_GOOD), LOWEST, 0.5))
+        odds = np.clip(scores[truth == 1], -15, 15) @ mix[:2] + mix[2]
+        found.threshold = float(np.clip(np.quantile(_probability(odds), 1 - KEPT_GOOD), LOWEST, 0.5))
     return found
 
 
-def _judged(model: Model, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views' scores and the probability of every document of a block."""
-    r, c, v = text_view(data, offsets)
-    text = np.bincount(r, v * model.text[c], rows.num_rows)
-    known = {f.name: k for k, f in enumerate(rows.schema)}
-    lang, source, n_chars = (rows.column(known[k]) for k in ("lang", "source", "n_chars"))
-    r, c, v = meta_view(lang.cast(pa.string()).to_pylist(), source.cast(pa.string()).to_pylist(), n_chars.cast(pa.int64()).to_pylist())
-    meta = np.bincount(r, v * model.meta[c], rows.num_rows)
-    odds = np.clip(text, -15, 15) * model.mix[0] + np.clip(meta, -15, 15) * model.mix[1] + model.mix[2]
-    return text, meta, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+def trained(viewed: DataFrame, labels: DataFrame, most: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Co-trains on at most ``most`` labelled and all unlabelled documents, given by their ``features``. Of rows that
+    share a labelled doc_id one is fitted on. Without labels of both kinds the model accepts everything."""
+    good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
+    sample = labelled(viewed, labels, good, most).withColumn("id", F.col("doc_id").cast("string")).toArrow().sort_by("id")
+    y = (sample.column("y").to_numpy() >= 0.5).astype(float)
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), np.array([0.0, 0.0, 1.0]))
+    others = viewed.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("shape", "meta", "buckets")
+    others = written(others, "unlabelled") if rounds else others
+    return co_trained(_loaded(sample), y, lambda weights: exchanged(others, weights), rounds)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model keeps, unchanged, in one pass without a shuffle."""
+    """The rows of ``docs`` that the model keeps, unchanged, in one pass without a shuffle. Rows are judged each, with
+    nulls, empty and long texts and repeated rows as in ``scored``; an empty table stays empty."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            yield rows.filter(pa.array(_judged(model, rows, data, offsets)[2] >= model.threshold))
+            yield rows.filter(pa.array(model.of(_viewed(rows, data, offsets))[2] >= model.threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row's probability of being good: doc_id, score, kept (a score of the model's threshold or more).
+def scored(viewed: DataFrame, model: Model) -> DataFrame:
+    """Every row's probability of being good, from its ``features``: doc_id, text_score, meta_score, score, kept (a score
+    of the model's threshold or more).
 
-    A null or empty text has no words and is scored by its shape and metadata; null metadata are values of their own;
-    repeated rows are scored each; a null doc_id stays null; other columns are ignored; an empty table gives none.
+    A null or empty text has no words and is scored by its shape and metadata; a very long one is viewed whole; null
+    metadata are values of their own; repeated rows are scored each, ties alike; a null doc_id stays null; other columns
+    are ignored; an empty table gives none.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = viewed.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches):
-            text, meta, p = _judged(model, rows, data, offsets)
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_score": text, "meta_score": meta, "score": p, "kept": p >= model.threshold})
+        for batch in batches:
+            text, meta, p = model.of(_loaded(batch))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "text_score": text, "meta_score": meta, "score": p, "kept": p >= model.threshold})
 
-    wanted = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-    return wanted.mapInArrow(score, f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+    return viewed.mapInArrow(score, f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return scored(docs, trained(docs, labels))
+    """Co-trains on all of ``docs``, then scores every row. See ``trained`` and ``scored``."""
+    viewed = written(features(docs), "views")
+    return scored(viewed, trained(viewed, labels))
