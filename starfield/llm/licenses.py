@@ -8,9 +8,11 @@ overlap, only those with the fewest edits count.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,22 +27,54 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Short notices in their words, with labels.
+# Short notices of public licenses in their words, with labels.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies": "mit",
     "released under the mit license": "mit",
+    "mit no attribution license": "mit-0",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that": "isc",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is": "0bsd",
     "licensed under the apache license version 2 0": "apache-2",
+    "apache software license version 1 1": "apache-1.1",
     "licensed under the gnu general public license version 2": "gpl-2",
     "licensed under the gnu general public license version 3": "gpl-3",
+    "gnu general public license as published by the free software foundation either version 2 of the license": "gpl-2",
+    "gnu general public license as published by the free software foundation either version 3 of the license": "gpl-3",
     "gnu lesser general public license": "lgpl",
+    "gnu lesser general public license as published by the free software foundation either version 2 1 of the license": "lgpl-2.1",
+    "gnu lesser general public license as published by the free software foundation either version 3 of the license": "lgpl-3",
     "gnu affero general public license": "agpl",
+    "gnu affero general public license as published by the free software foundation either version 3 of the license": "agpl-3",
     "subject to the terms of the mozilla public license": "mpl",
+    "the contents of this file are subject to the mozilla public license version 1 1": "mpl-1.1",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "made available under the terms of the eclipse public license v1 0": "epl-1",
+    "made available under the terms of the eclipse public license 2 0": "epl-2",
+    "subject to the terms of the common development and distribution license": "cddl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3",
+    "licensed under the 2 clause bsd license": "bsd-2",
+    "licensed under the 3 clause bsd license": "bsd-3",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
+    "distributed under the boost software license version 1 0": "bsl-1",
+    "use of this software is governed by the business source license": "busl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons attribution noderivatives": "cc-by-nd",
     "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution sharealike 3 0 unported": "cc-by-sa-3",
+    "creative commons attribution sharealike 4 0 international": "cc-by-sa-4",
     "creative commons attribution 4 0 international": "cc-by",
+    "creative commons zero v1 0 universal": "cc0",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
+    "licensed under the european union public licence": "eupl",
+    "licensed under the artistic license 2 0": "artistic-2",
+    "licensed under the sil open font license version 1 1": "ofl-1.1",
+    "licensed under the academic free license version 3 0": "afl-3",
 }
 _SEPARATE = bytes(0x20 if NOT_ALNUM[b] and not 0x41 <= b <= 0x5A else LOWER_BYTES[b] for b in range(256))
 MATCHES = "array<struct<label string, notice string, first_word long, last_word long, edits int>>"
@@ -58,12 +92,19 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
 
 
 @cache
-def _compiled(notices: tuple[tuple[str, str], ...]) -> list[tuple]:
-    out = []
-    for notice, label in notices:
+def _compiled(notices: tuple[tuple[str, str], ...]) -> tuple[list[tuple], ahocorasick.Automaton]:
+    """The notices with their patterns, and an automaton that finds all seeds: for each its (notice, offset) places."""
+    out, places = [], defaultdict(list)
+    for n, (notice, label) in enumerate(notices):
         k = edits_allowed(notice)
-        out.append((notice, label, k, [(at, part.encode()) for at, part in seeds(notice, k)], regex.compile(rf"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}".encode())))
-    return out
+        out.append((notice, label, k, regex.compile(rf"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}".encode())))
+        for at, part in seeds(notice, k):
+            places[part].append((n, at))
+    found = ahocorasick.Automaton()
+    for part, own in places.items():
+        found.add_word(part, (len(part), own))
+    found.make_automaton()
+    return out, found
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -86,24 +127,22 @@ def exact(joined: bytes, phrase: bytes, blanks: np.ndarray) -> list[int]:
 
 def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...], blanks: np.ndarray) -> list[tuple[str, str, int, int, int]]:
     """Matches with at most the allowed edits: label, notice, first and last word, edits."""
-    found = []
-    for notice, label, k, parts, pattern in _compiled(notices):
-        seen = set()
-        for offset, part in parts:
-            at = joined.find(part)
-            while at >= 0:
-                begin = max(0, at - offset - k)
-                if (m := pattern.search(joined, begin, min(len(joined), at - offset + len(notice) + k))) and m.span() not in seen:
-                    seen.add(m.span())
-                    found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, notice))
-                at = joined.find(part, at + 1)
-    found.sort()
+    known, automaton = _compiled(notices)
+    found, seen = [], set()
+    for last, (size, places) in automaton.iter(joined.decode("latin-1")):  # a character for each byte
+        for n, offset in places:
+            notice, label, k, pattern = known[n]
+            at = last + 1 - size - offset
+            if (m := pattern.search(joined, max(0, at - k), min(len(joined), at + len(notice) + k))) and (n, m.span()) not in seen:
+                seen.add((n, m.span()))
+                found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, notice))
+    found.sort(key=lambda m: (m[0], m[1] - m[2], *m[1:]))
     # Kept matches by stretches of the text no shorter than any match, so only three can hold one that overlaps.
     kept: dict[int, list[tuple]] = {}
     stretch = max((m[2] - m[1] for m in found), default=0) + 1
     for m in found:
         place = m[1] // stretch
-        if all(m[2] <= x[1] or x[2] <= m[1] or (x[0] == m[0] and x[3] != m[3]) for k in (place - 1, place, place + 1) for x in kept.get(k, ())):
+        if all(m[2] <= x[1] or x[2] <= m[1] or ((x[0], x[2] - x[1]) == (m[0], m[2] - m[1]) and x[3] != m[3]) for k in (place - 1, place, place + 1) for x in kept.get(k, ())):
             kept.setdefault(place, []).append(m)
     out = []
     for edits, a, b, label, notice in (m for own in kept.values() for m in own):
@@ -117,8 +156,10 @@ def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[st
     """Every row's licenses: key, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     Phrases are exact sequences of words; their labels stay. Notices may have ``edits_allowed`` edits and add labels.
+    Of overlapping matches the one with the fewest edits counts, of those the longest; where two labels tie, both do.
     ``score`` is 1 for a phrase, else the best match's share of unedited characters, else 0. Null and empty texts
-    have no words; repeated rows are scanned each; other columns are ignored; an empty table gives none.
+    have no words; very long texts are scanned whole, one at a time; a null key stays null; repeated rows are scanned
+    each; other columns are ignored; an empty table gives none.
     """
     kind = docs.schema[key].dataType.simpleString()
     known, wanted = tuple(notices.items()), [(p.encode(), label) for p, label in phrases.items()]

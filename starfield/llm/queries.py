@@ -52,7 +52,7 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(documents(spark, sf_dir)).drop("matches")
+    return licenses.scanned(documents(spark, sf_dir))
 
 
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
