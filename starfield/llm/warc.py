@@ -20,16 +20,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starfield.llm.skew import joined
 from starfield.plans.materialize import shared_folder, written
 
 ROLL = 1 << 25
 LEAST = 100
+_TORN_BYTES = 30
 _GZIP = b"\x1f\x8b\x08"
 _MAGIC = b"WARC/1."
 _FEED = 1 << 16
 _HEADERS_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-MANIFEST = "path string, records long, bytes long"
+#: Before each so many records of an archive the query leaves a torn member, as a writer that was killed does.
+TORN = 1000
+MANIFEST = "path string, records long, gaps long, bytes long"
 RECORDS = "kind string, path string, begin long, end long, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, reason string"
 _SCHEMA = pa.schema([("kind", pa.string()), ("path", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("reason", pa.string()), ("payload", pa.binary())])
 
@@ -61,20 +65,23 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(F.encode(html, "UTF-8"), 256).alias("payload_digest"))
     key = pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("_n"), F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("payload_digest"))
-    first = key.filter(F.col("_n") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1").drop("_copies")
-    both = own.join(first, "payload_digest", "left")
+    first = key.filter(F.col("_n") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
+    both = joined(own, written(first, "first-payloads"), "payload_digest", "_copies", ["page_id", "url"])
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return both.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, roll: int = ROLL) -> DataFrame:
-    """Writes a record for every row of ``with_revisits`` and returns the finished archives: path, records, bytes."""
+def write_warc(pages: DataFrame, folder: str | None = None, roll: int = ROLL, torn: int = 0) -> DataFrame:
+    """Writes a record for every row of ``with_revisits`` and returns the finished archives: path, records, gaps, bytes.
+
+    With ``torn``, the begin of a member stands before every so many records of an archive, as after a crash."""
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        out = done = None
+        out = None
+        finished = lambda: pa.RecordBatch.from_pydict({"path": [path], "records": [records], "gaps": [gaps], "bytes": [size]})
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "payload_digest", "refers_to", "record_type")]
             for row in zip(*columns, strict=True):
@@ -82,16 +89,20 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll: int = ROLL) ->
                 if out is None:
                     store.create_dir(root, recursive=True)
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out, done = store.open_output_stream(path, compression=None), [0, 0]
-                done[0] += 1
-                done[1] += out.write(data := member(record(page, url, html.encode(), digest, refers_to, kind))) or len(data)
-                if done[1] >= roll:
+                    out, records, gaps, size = store.open_output_stream(path, compression=None), 0, 0, 0
+                data = member(record(page, url, html.encode(), digest, refers_to, kind))
+                if torn and records % torn == torn // 2:
+                    out.write(data[:_TORN_BYTES])
+                    gaps, size = gaps + 1, size + _TORN_BYTES
+                out.write(data)
+                records, size = records + 1, size + len(data)
+                if size >= roll:
                     out.close()
                     out = None
-                    yield pa.RecordBatch.from_pydict({"path": [path], "records": [done[0]], "bytes": [done[1]]})
+                    yield finished()
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [done[0]], "bytes": [done[1]]})
+            yield finished()
 
     manifest = written(pages.mapInArrow(write, MANIFEST), "warc-manifest")
     scheme = folder[: folder.index("://") + 3] if "://" in folder else ""
@@ -210,13 +221,13 @@ def salvaged(data: bytes) -> Iterator[tuple]:
         yield "gap", bad, len(data), why
 
 
-def _rows(path: str, data: bytes, payloads: bool, records: int | None = None) -> Iterator[pa.RecordBatch]:
-    """A row for each record and gap; an error at the end if there are not as many ``records``."""
+def _rows(path: str, data: bytes, payloads: bool, records: int | None = None, gaps: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each record and gap; an error at the end if there are not as many ``records`` and ``gaps``."""
     rows, held = [], 0
     schema = _SCHEMA if payloads else _SCHEMA.remove(len(_SCHEMA) - 1)
-    found = 0
+    found = {"record": 0, "gap": 0}
     for kind, begin, end, *rest in salvaged(data):
-        found += kind == "record"
+        found[kind] += 1
         row = dict.fromkeys(schema.names) | {"kind": kind, "path": path, "begin": begin, "end": end}
         if kind == "gap":
             row["reason"] = rest[0]
@@ -235,33 +246,34 @@ def _rows(path: str, data: bytes, payloads: bool, records: int | None = None) ->
             rows, held = [], 0
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema)
-    if records is not None and found != records:
-        raise ValueError(f"{path}: {found} records read of {records} written")
+    if records is not None and (found["record"], found["gap"]) != (records, gaps):
+        raise ValueError(f"{path}: {found['record']} records read of {records} written, {found['gap']} gaps of {gaps}")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False, whole: bool = False) -> DataFrame:
     """Reads the archives of a table of paths: a row for each record, and one for each gap (kind ``gap``).
 
-    A task holds one archive at a time. With ``whole``, an archive without the number of ``records`` that the table
-    tells is an error.
+    A task holds one archive at a time, so archives must fit into its memory; headers and payloads may have any length
+    within. With ``whole``, an archive without the numbers of ``records`` and ``gaps`` that the table tells is an error.
     """
 
-    columns = ["path", "records"] if whole else ["path"]
+    columns = ["path", "records", "gaps"] if whole else ["path"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, *records in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for path, *numbers in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(place, compression=None) as f:
                     data = f.read()
-                yield from _rows(path, data, payloads, *records)
+                yield from _rows(path, data, payloads, *numbers)
 
     # A given number of partitions is not merged again, however few bytes the paths are.
     return manifest.select(*columns).repartition(max(1, manifest.count())).mapInArrow(read, RECORDS + ", payload binary" * payloads)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Reads the archives under any path that Spark reads, as ``read_archives`` does."""
+    """Reads the archives under any path that Spark reads, as ``read_archives`` does. Spark's reader of whole files
+    refuses archives of 2 GB and more."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,12 +283,14 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, RECORDS + ", payload binary" * payloads)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+def round_trip(pages: DataFrame, torn: int = TORN) -> DataFrame:
+    """Writes all pages, with torn members among them, and salvages the archives: page_id, payload_bytes, payload_digest,
+    record_type, refers_to.
 
-    Null and repeated pages as in ``with_revisits``; other columns of ``pages`` are ignored; no pages, no rows. A record
-    that was written and cannot be read is an error.
+    Null and repeated pages as in ``with_revisits``; very long URLs and payloads are written whole; other columns of
+    ``pages`` are ignored; no pages, no rows. A record that was written and cannot be read, or a gap too many or too
+    few, is an error.
     """
-    read = read_archives(write_warc(with_revisits(pages)), whole=True).filter("kind = 'record'")
+    read = read_archives(write_warc(with_revisits(pages), torn=torn), whole=True).filter("kind = 'record'")
     number = lambda c: F.try_to_number(F.nullif(F.regexp_extract(c, r"<urn:page:(-?\d*)>", 1), F.lit("")), F.lit("S9999999999999999999")).cast("long")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
