@@ -173,7 +173,11 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = END) -> DataFrame:
-    """Joins pieces that have ids into rows for training: sequence_id, ids (of ``length``), boundaries (offset, doc_id)."""
+    """Joins pieces that have ids into rows for training: sequence_id, ids (of ``length``), boundaries (offset, doc_id).
+
+    The last sequence is filled with ``pad``. A row is as long as its sequence, however many pieces it has; pieces of
+    null texts and null ids are like others; no pieces, no rows.
+    """
     all_ = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
     rows = pieces.groupBy("sequence_id").agg(all_.alias("_all"))
     ids = F.flatten(F.col("_all.ids"))

@@ -70,6 +70,18 @@ def test_gram_hashes_depend_on_order_and_content():
     assert g[0] == g[3] and len(set(g.tolist())) == 5 and len(gram_hashes(h, 9)) == 0
 
 
+@pytest.mark.parametrize("size", [64, 128, 256, 512, 1024, 2048, 4096])
+def test_words_of_thue_and_morse_differ(size):
+    """A word and its complement, which polynomials modulo powers of two confuse."""
+    one = "".join("ab"[k.bit_count() & 1] for k in range(size))
+    other = one.translate(str.maketrans("ab", "ba"))
+    words = Words(*utf8(pa.array([f"{one} {other} {one}"])))
+    for salt in (0, 7):
+        h = words.hashes(salt)
+        assert h[0] == h[2] != h[1]
+    assert words.hashes(0)[0] != words.hashes(7)[0]
+
+
 def test_blocks_cover_all_rows():
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": ["a" * 3_000_000, None, "b" * 5_000_000, "", "c"]})
     assert [r.num_rows for r, _, _ in blocks([batch])] == [2, 1, 2]
@@ -135,25 +147,71 @@ def brute_contamination(docs, items):
 
 
 def test_op2_equals_brute_force(spark, sf_dir):
-    ours = sorted(map(tuple, queries.op2_positional_index(spark, sf_dir).collect()), key=repr)
-    assert ours == brute_contamination(rows_of(spark, sf_dir), rows_of(spark, sf_dir, "benchmark"))
+    found = queries.op2_positional_index(spark, sf_dir).collect()
+    assert sorted((tuple(r)[:6] for r in found), key=repr) == brute_contamination(rows_of(spark, sf_dir), rows_of(spark, sf_dir, "benchmark"))
+    assert all(r["n_near"] >= r["n_items"] for r in found)
 
 
 def test_op2_odd_rows(spark, odd):
     rows, df = odd
     items = [(1, " ".join(f"p{k}" for k in range(10, 40))), (2, "X"), (None, "one TWO"), (3, None), (4, ""), (5, "same " * 14), (5, "same " * 14), (6, "ünder THE"), (7, "the the the the the the the the the the the the the the")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1)).withColumn("doc_id", F.lit(2))
-    assert sorted(map(tuple, contamination.contamination(df, bench).collect()), key=repr) == brute_contamination(rows, items)
+    for slop in (0, 2):
+        assert sorted((tuple(r)[:6] for r in contamination.contamination(df, bench, slop=slop).collect()), key=repr) == brute_contamination(rows, items)
     assert contamination.contamination(df.limit(0), bench).count() == 0
     clean = contamination.contamination(df, bench.limit(0)).collect()
     assert len(clean) == len(rows) and not any(r["contaminated"] for r in clean)
 
 
+def brute_near(docs, items, slop, n=13):
+    """Pairs of documents and items with a window all of whose words stand within ``slop`` of their places, counted from
+    an occurrence of one of its rarest words."""
+    counts = Counter(w for _, t in docs for w in ALNUM.findall(lowered(t)))
+    out = set()
+    for d, t in docs:
+        at = defaultdict(list)
+        for k, w in enumerate(ALNUM.findall(lowered(t))):
+            at[w].append(k)
+        for i, text in items:
+            words = ALNUM.findall(lowered(text))
+            n_ = min(n, len(words))
+            for s in range(len(words) - n_ + 1 if words else 0):
+                _, p, w = min((counts[words[s + k]], s + k, str(k)) for k in range(n_))
+                for k in range(n_):  # ties are broken by place
+                    assert (counts[words[s + k]], s + k) >= (counts[words[p]], p)
+                if any(all(any(abs(x - (o - p + q)) <= slop for x in at[words[q]]) for q in range(s, s + n_)) for o in at[words[p]]):
+                    out.add((d, i))
+    return out
+
+
 def test_op2_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x beta"), (3, "beta then alpha"), (4, "x x x x x")], "doc_id long, text string")
-    items = spark.createDataFrame([(9, "alpha x beta")], "item_id long, text string")
-    found = {(r["doc_id"], r["off"]) for r in contamination.proximity_matches(docs, items, slop=1).collect()}
-    assert found == {(1, 1), (2, 0)}
+    r = np.random.default_rng(2)
+    items = [(k, " ".join(f"w{x}" for x in r.integers(0, 40, int(r.integers(3, 22))))) for k in range(12)]
+    items.append((50, items[0][1] + " more words"))
+    docs = []
+    for d in range(60):
+        words = items[d % 12][1].split()
+        for _ in range(int(r.integers(0, 4))):
+            words.insert(int(r.integers(0, len(words) + 1)), f"x{d}")
+        docs.append((d, " ".join(words)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 2):
+        near = brute_near(docs, items, slop)
+        found = {(x["doc_id"], x["item_id"]) for x in contamination.proximity_matches(*frames, slop=slop).collect()}
+        assert found == near
+        counts = Counter(d for d, _ in near)
+        assert all(x["n_near"] == counts[x["doc_id"]] for x in contamination.contamination(*frames, slop=slop).collect())
+
+
+def test_op2_items_that_share_windows(spark):
+    """Many items with one passage: each is found, and the passage is aligned once."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    items = [(k, f"a{k} " * 5 + passage + f" b{k}" * (k % 4)) for k in range(40)]
+    docs = [(1, "x " + passage + " y"), (2, items[7][1]), (3, "nothing")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(x)[:6] for x in contamination.contamination(*frames).collect()), key=repr) == brute_contamination(docs, items)
+    matches = contamination.phrase_matches(*frames, slop=0)[1].filter("exact AND doc.doc_id = 1")
+    assert matches.count() == 1
 
 
 # 3 Substring dedup
@@ -177,13 +235,36 @@ def brute_repeats(docs, n=50):
     return sorted(out, key=repr)
 
 
+def check_spans(found, rows, n=50):
+    """Every repeat is that of its source, word by word; repeats cover what goes; none of one source and diagonal meet."""
+    words = defaultdict(list)
+    for d, t in rows:
+        words[d].append(WORD.findall(t or ""))
+    for r in found:
+        covered = set()
+        for x in r["repeats"]:
+            assert x["past"] - x["low"] >= n and x["source"] < r["doc_id"]
+            covered |= set(range(x["low"], x["past"]))
+            size = x["past"] - x["low"]
+            same = any(a[x["low"] : x["past"]] == b[x["source_low"] : x["source_low"] + size] for a in words[r["doc_id"]] for b in words[x["source"]])
+            assert same or any(len(set(a[x["low"] : x["past"]])) < n for a in words[r["doc_id"]])  # texts that repeat themselves
+        assert len(covered) == r["n_removed"]
+        ends = defaultdict(list)
+        for x in r["repeats"]:
+            ends[x["source"], x["source_low"] - x["low"]].append((x["low"], x["past"]))
+        assert all(a[1] < b[0] for own in ends.values() for a, b in zip(sorted(own), sorted(own)[1:], strict=False))
+
+
 def test_op3_equals_brute_force(spark, sf_dir):
-    assert sorted(map(tuple, queries.op3_seed_extend(spark, sf_dir).collect()), key=repr) == brute_repeats(rows_of(spark, sf_dir))
+    rows = rows_of(spark, sf_dir)
+    found = queries.op3_seed_extend(spark, sf_dir).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=repr) == brute_repeats(rows)
+    check_spans(found, rows)
 
 
 def test_op3_odd_rows(spark, odd):
     rows, df = odd
-    assert sorted(map(tuple, substrings.substring_report(df).collect()), key=repr) == brute_repeats(rows)
+    assert sorted((tuple(r)[:4] for r in substrings.substring_report(df).collect()), key=repr) == brute_repeats(rows)
     assert substrings.substring_report(df.limit(0)).count() == 0
     left = substrings.without_repeats(df)
     assert left.columns == df.columns
@@ -203,7 +284,9 @@ def test_op3_random_repeats(spark):
             words += p[a : a + r.integers(20, 90)] + [f"u{x}" for x in r.integers(0, 9, r.integers(0, 4))]
         rows.append((int(r.integers(0, 1000)), " ".join(words)))
     rows = list({d: (d, t) for d, t in rows}.values())
-    assert sorted(map(tuple, substrings.substring_report(table(spark, rows)).collect()), key=repr) == brute_repeats(rows)
+    found = substrings.substring_report(table(spark, rows)).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=repr) == brute_repeats(rows)
+    check_spans(found, rows)
 
 
 def test_op3_texts_that_repeat_themselves(spark):
@@ -214,7 +297,7 @@ def test_op3_texts_that_repeat_themselves(spark):
         words = [f"p{x}" for x in range(int(r.integers(0, 3)), 40)][:period] * int(r.integers(8, 120))
         head, tail = ([f"n{x}" for x in r.integers(0, 50, int(r.integers(0, 30)))] for _ in range(2))
         rows.append((d, " ".join(head + words[: int(r.integers(30, 400))] + tail)))
-    assert sorted(map(tuple, substrings.substring_report(table(spark, rows)).collect()), key=repr) == brute_repeats(rows)
+    assert sorted((tuple(r)[:4] for r in substrings.substring_report(table(spark, rows)).collect()), key=repr) == brute_repeats(rows)
     assert len(substrings.occurrences(table(spark, [(1, "a " * 5000)])).collect()) == 1
 
 
@@ -314,7 +397,7 @@ def test_op5_links_of_crowds(spark, crowd):
     base = [int(x) for x in r.integers(0, 2**63, 6)]
     prints = {b ^ (1 << int(r.integers(0, 64))) ^ (1 << int(r.integers(0, 64))) ^ (1 << int(r.integers(0, 64))) for b in base for _ in range(40)}
     signed = [f - (1 << 64) if f >> 63 else f for f in prints]
-    from starfield.llm.components import components
+    from starfield.operators.components import components
 
     edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowd=crowd)
     got = {r["node"]: r["component"] for r in components(edges).collect()}
@@ -326,6 +409,21 @@ def test_op5_links_of_crowds(spark, crowd):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_op5_pivots_discard_pairs(spark):
+    """Cells and coordinates leave out pairs that blocks alone would make, and none that is near."""
+    r = np.random.default_rng(7)
+    low = int(r.integers(0, 1 << 32))
+    prints = sorted({low | int(x) << 32 for x in r.integers(0, 1 << 31, 50)} | {low | 1 << 40, low | 1 << 41, low | 3 << 40})
+    distinct = spark.createDataFrame([(f,) for f in prints], "fp long")
+    few, crowded = simhash.blocked(distinct)
+    every = {(a, b) for k, a in enumerate(prints) for b in prints[k + 1 :]}
+    made = {(p["a"], p["b"]) for p in simhash.pairs(few).collect()}
+    left = {(p["a"], p["b"]) for p in simhash.survivors(simhash.pairs(few)).collect()}
+    near = {(a, b) for a, b in every if (a ^ b).bit_count() <= 2}
+    assert crowded.count() == 0 and near <= left < made < every and len(left) < len(every) // 20
+    assert {(p["a"], p["b"]) for p in simhash.links(distinct).collect()} == near
+
+
 # 6 Quality rules
 
 
@@ -359,6 +457,54 @@ def test_op6_keeps_good_documents(spark):
     good = [r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()]
     kept = [verdict[d]["kept"] for d in good if not verdict[d]["base_failed"]]
     assert np.mean(kept) > 0.97
+    several = [r for r in verdict.values() if r["n_lines"] > 1]
+    mixed = [0 < r["n_content_lines"] < r["n_lines"] for r in several]
+    assert 0.05 < np.mean(mixed) < 0.95
+
+
+def test_op6_marks_lines_not_documents(spark):
+    """Boilerplate that many documents hold is found among content, and content among boilerplate."""
+    r = np.random.default_rng(5)
+    sentence = lambda: " ".join(f"w{x}" for x in r.integers(0, 3000, 14)) + "."
+    junk = lambda: " ".join(f"J{x}!!" for x in r.integers(0, 3000, 9))
+    rows, labels, lines = [], [], {}
+    for d in range(300):
+        own = [("Home About Contact", 0)] + [(sentence(), 1) for _ in range(int(r.integers(3, 6)))] if d % 2 else [(junk(), 0) for _ in range(3)] + [(sentence(), 1)] + [(junk(), 0) for _ in range(2)]
+        rows.append((d, "\n".join(t for t, _ in own)))
+        labels.append((d, d % 2, 0))
+        lines[d] = sum(y for _, y in own), len(own)
+    docs, known = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    field = quality_rules.trained(docs, known)
+    assert len(field.common) == 1
+    found = {r["doc_id"]: r for r in quality_rules.judged(docs, field).collect()}
+    right = [(found[d]["n_content_lines"], found[d]["n_lines"]) == lines[d] for d in lines]
+    assert np.mean(right) > 0.95
+    assert all(found[d]["kept"] == bool(d % 2) for d in lines if found[d]["n_content_lines"] == lines[d][0] and not found[d]["base_failed"])
+
+
+def test_op6_verdict_equals_brute_force(spark, odd):
+    """All labellings of every document's lines, scored one by one, give the verdict."""
+    r = np.random.default_rng(6)
+    rows = [(d, "\n".join(" ".join(r.choice(["word", "WORD!!", "a", "3", "#$"], int(r.integers(1, 9)))) for _ in range(int(r.integers(1, 8))))) for d in range(60)]
+    field = quality_rules.Field(r.standard_normal(len(quality_rules.FEATURES)) * 2, r.standard_normal((2, 2)), np.zeros(0, np.uint64))
+    for d, text in rows:
+        data, offsets = utf8(pa.array([text]))
+        words = Words(data, offsets)
+        lines = quality_rules.Lines(data, offsets, words, words.hashes(), field.common)
+        score, n = lines.x @ field.weights, len(lines.x)
+        best = max(range(1 << n), key=lambda p: sum(score[k] * (p >> k & 1) for k in range(n)) + sum(field.moves[p >> k & 1, p >> (k + 1) & 1] for k in range(n - 1)))
+        inside = sum(len(WORD.findall(line)) for k, line in enumerate(filter(WORD.search, text.split("\n"))) if best >> k & 1)
+        (found,) = quality_rules.judged(spark.createDataFrame([(d, text)], "doc_id long, text string"), field).collect() if d < 6 else (None,)
+        if found is not None:
+            assert found["content_words"] == inside and found["kept"] == (not brute_rules(text)[5] and 2 * inside >= len(WORD.findall(text)))
+
+
+def test_op6_copies_are_not_common(spark):
+    """However many copies hold a line, it is not boilerplate for that."""
+    rows = [(d, "first of all.\nthe second line goes on.\nand a third one.") for d in range(200)] + [(300 + d, f"shared line\nown{d} words{d} in{d} document{d}") for d in range(40)]
+    common = quality_rules.common_lines(table(spark, rows).repartition(3))
+    words = Words(*utf8(pa.array(["shared line"])), quality_rules._NEWLINE)
+    assert common.tolist() == words.hashes().tolist()
 
 
 def test_op6_viterbi_equals_all_paths():
@@ -548,10 +694,30 @@ def test_op9_very_long_urls(spark):
     assert {r["kind"] for r in read} == {"record"} and sorted(len(r["uri"]) for r in read) == [1, 70_009, 800_009]
 
 
+def test_op9_torn_members_are_gaps(spark):
+    rows = [(k, f"http://a/{k}", f"page {k % 7} " * 40) for k in range(50)]
+    pages = warc.with_revisits(spark.createDataFrame(rows, PAGE).coalesce(2))
+    read = warc.read_archives(warc.write_warc(pages, torn=10), whole=True).collect()
+    assert sorted(r["record_id"] for r in read if r["kind"] == "record") == sorted(f"<urn:page:{k}>" for k in range(50))
+    gaps = [r for r in read if r["kind"] == "gap"]
+    assert len(gaps) >= 4 and all(r["end"] - r["begin"] == 30 for r in gaps)
+
+
+def test_joined_hot_keys(spark):
+    from starfield.llm.skew import joined
+
+    left = spark.createDataFrame([(k, None if k % 11 == 0 else "hot" if k % 2 else f"k{k % 50}") for k in range(600)], "id long, key string")
+    right = left.filter("key <> 'k4'").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).cache()
+    want = {r["key"]: r["first"] for r in right.collect()}
+    for parts in (3, 4096):
+        got = joined(left, right, "key", "n", ["id"], parts).collect()
+        assert sorted((r["id"], r["key"], r["first"]) for r in got) == sorted((r["id"], r["key"], want.get(r["key"])) for r in left.collect())
+
+
 def test_op9_missing_records_are_an_error(spark, tmp_path):
     _, members = archive()
     (tmp_path / "a.warc.gz").write_bytes(b"".join(members[:3]) + members[3][:-20] + b"".join(members[4:]))
-    manifest = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", 6, 0)], warc.MANIFEST)
+    manifest = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", 6, 0, 0)], warc.MANIFEST)
     assert Counter(r["kind"] for r in warc.read_archives(manifest).collect()) == {"record": 5, "gap": 1}
     with pytest.raises(Exception, match="5 records read of 6 written"):
         warc.read_archives(manifest, whole=True).collect()
@@ -563,9 +729,9 @@ def test_op9_missing_records_are_an_error(spark, tmp_path):
 def test_op10_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = queries.labels(spark, sf)
-    docs = queries.documents(spark, sf).join(labels.select("doc_id"), "doc_id", "left_semi")
-    model = classifier.trained(docs, labels.filter("doc_id % 3 <> 0"))
-    held = classifier.scored(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
+    viewed = classifier.features(queries.documents(spark, sf))
+    model = classifier.trained(viewed, labels.filter("doc_id % 3 <> 0"))
+    held = classifier.scored(viewed, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
     clean = [r["kept"] for r in held if r["quality"] == 1 and r["toxic"] == 0]
     bad = [r["kept"] for r in held if r["quality"] == 0]
     assert np.mean(clean) > 0.98 and np.mean(bad) < 0.3
@@ -579,10 +745,79 @@ def test_op10_odd_rows(spark, odd):
         assert Counter(r["doc_id"] for r in found) == Counter(d for d, _ in rows) and all(0 <= r["score"] <= 1 for r in found)
     assert all(r["kept"] for r in found)
     assert classifier.classified(df.limit(0), labels).count() == 0
-    model = classifier.trained(df, labels.limit(0))
+    model = classifier.trained(classifier.features(df), labels.limit(0))
     assert classifier.accepted(df, model).count() == len(rows)
 
 
+def brute_co_training(docs, labels, rounds):
+    """Dense matrices, all documents in one place."""
+    x, known, names = {"text": [], "meta": []}, [], []
+    for r in docs:
+        viewed = classifier._viewed(pa.RecordBatch.from_pylist([r], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])), *utf8(pa.array([r["text"]])))
+        text, meta = np.zeros(classifier.TEXT_SIZE), np.zeros(classifier.META_SIZE)
+        text[: len(classifier.SHAPE)] = viewed.shape[0]
+        text[len(classifier.SHAPE) + viewed.buckets.astype(int)] = 1
+        for c in viewed.meta[0]:
+            meta[c] += 1
+        x["text"].append(text)
+        x["meta"].append(meta)
+        known.append(labels.get(r["doc_id"], np.nan))
+        names.append(str(r["doc_id"]))
+    x, known = {k: np.array(v) for k, v in x.items()}, np.array(known)
+    order = np.array(sorted(np.flatnonzero(~np.isnan(known)), key=lambda k: names[k]))
+    own, y, others = {k: v[order] for k, v in x.items()}, known[order], {k: v[np.isnan(known)] for k, v in x.items()}
+    rare = (own["text"] > 0).sum(0) < classifier.LEAST_DOCUMENTS
+    rare[: len(classifier.SHAPE)] = False
+    own["text"][:, rare] = 0
+    held = np.arange(len(y)) % 4 == 0
+    weight = (~held).astype(float)
+    for side in (0, 1):
+        weight[~held & (y == side)] *= 0.5 * (~held).sum() / (~held & (y == side)).sum()
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def fit(k, start, steps, at=None, gradient=0, curvature=0):
+        w, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
+        for t in range(1, steps + 1):
+            g = own[k].T @ (weight * (y - sigmoid(own[k] @ w))) / weight.sum() - classifier.RIDGE * w
+            if at is not None:
+                g -= gradient + curvature * (w - at)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w += 0.1 * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+        return w
+
+    w = {k: fit(k, np.zeros(n), classifier.STEPS) for k, n in classifier.SIZES.items()}
+    taught = Counter()
+    for _ in range(rounds):
+        p, bounds = {k: sigmoid(others[k] @ w[k]) for k in w}, {}
+        for k, teacher in (("text", "meta"), ("meta", "text")):
+            sides = [np.flatnonzero(p[teacher] <= 1 - classifier.CONFIDENT), np.flatnonzero(p[teacher] >= classifier.CONFIDENT)]
+            if all(len(s) for s in sides):
+                taught[k] += 1
+                g = sum(others[k][s].T @ (p[k][s] - side) / len(s) for side, s in enumerate(sides)) * classifier.GIVEN / 2
+                h = sum(np.abs(others[k][s]).T @ (p[k][s] * (1 - p[k][s]) * np.abs(others[k][s]).sum(1)) / len(s) for s in sides) * classifier.GIVEN / 2
+                bounds[k] = (w[k], g * ~rare if k == "text" else g, h)
+        w = {k: fit(k, w[k], classifier.MORE_STEPS, *bounds[k]) if k in bounds else w[k] for k in w}
+    return w, taught
+
+
+def test_op10_equals_brute_force(spark):
+    r = np.random.default_rng(8)
+    docs, labels = [], {}
+    for d in range(200):
+        good = int(r.integers(0, 2))
+        words = [f"{'good' if good == (r.random() < 0.9) else 'bad'}{x}" for x in r.integers(0, 12, 30)]
+        docs.append({"doc_id": d, "text": " ".join(words), "lang": "en", "source": ("clean" if good else "junk") + str(r.integers(0, 3)), "n_chars": 100})
+        if d % 3 == 0:
+            labels[d] = float(good)
+    df = spark.createDataFrame(docs, DOCUMENT).repartition(5)
+    known = spark.createDataFrame([(d, int(y), 0) for d, y in labels.items()], "doc_id long, quality int, toxic int")
+    for rounds in (0, 2):
+        want, taught = brute_co_training(docs, labels, rounds)
+        assert not rounds or taught == {"text": 2, "meta": 2}
+        model = classifier.trained(classifier.features(df), known, rounds=rounds)
+        assert np.allclose(model.text, want["text"], atol=1e-6) and np.allclose(model.meta, want["meta"], atol=1e-6)
+
+
 # Pipeline
 
 
@@ -618,6 +853,72 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def brute_stage(name, rows, items, accepted=None):
+    """A stage on (doc_id, text) rows: the rows that it leaves."""
+    if name == "simhash near-dedup":
+        prints = [brute_fingerprint(t) for _, t in rows]
+        root, best = brute_components(prints), {}
+        text_id = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) if t is not None else 42
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for (d, t), f in zip(rows, prints, strict=True):
+            key = (d is None, d or 0, signed(f), signed(text_id(t)))
+            if root[f] not in best or key < best[root[f]][0]:
+                best[root[f]] = key, (d, t)
+        return [row for _, row in best.values()]
+    if name == "substring dedup":
+        out = []
+        holders = {}
+        for d, t in rows:
+            w = WORD.findall(t or "")
+            for k in range(len(w) - 49 if d is not None else 0):
+                holders[tuple(w[k : k + 50])] = min(holders.get(tuple(w[k : k + 50]), d), d)
+        for d, t in rows:
+            w, gone = WORD.findall(t or ""), set()
+            for k in range(len(w) - 49 if d is not None else 0):
+                if holders[tuple(w[k : k + 50])] < d:
+                    gone |= set(range(k, k + 50))
+            spans = [m.span() for m in WORD.finditer(t or "")]
+            runs, left = [], []
+            for k in range(len(w)):
+                if k not in gone:
+                    if runs and runs[-1][1] == k - 1:
+                        runs[-1][1] = k
+                    else:
+                        runs.append([k, k])
+            left = " ".join(t[spans[a][0] : spans[b][1]] for a, b in runs)
+            if not gone or left:
+                out.append((d, left if gone else t))
+        return out
+    verdicts = defaultdict(list)
+    for row in rows:
+        verdicts[row].append(brute_contamination([row], items)[0][5])
+    return [row for row in rows if not verdicts[row][0]]
+
+
+def test_pipeline_chain_equals_brute_force(spark, odd, sf_dir):
+    """Every stage on what the one before left, on odd rows with shared and missing ids; then the tokens of the product."""
+    import corpus_pipeline
+
+    items = rows_of(spark, sf_dir, "benchmark")
+    spoiled = max(items, key=lambda x: len(x[1] or ""))[1]
+    rows = [*odd[0], (None, "clean one without an id"), (None, spoiled), (3, spoiled), (3, "another text under three"), (40, "shared id first text"), (40, "quite another text with this id"), (41, "shared id first text")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCUMENT)
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality classifier"](spark, docs, sf_dir)
+    left = [(r["doc_id"], r["text"]) for r in good.collect()]
+    assert not Counter(left) - Counter(rows)
+    left = rows
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in left], DOCUMENT)
+        found = [(r["doc_id"], r["text"]) for r in stage(spark, df, sf_dir).collect()]
+        left = brute_stage(name, left, items)
+        assert Counter(found) == Counter(left), name
+    assert (None, "clean one without an id") in left and (3, "another text under three") in left and (40, "quite another text with this id") in left
+    assert spoiled not in {t for _, t in left}
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in left], DOCUMENT)
+    check_pieces(stages["packing"](spark, df, sf_dir).collect(), left)
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, sf_dir):
     import corpus_pipeline
 
