@@ -40,8 +40,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without a doc_id are last in a group, and stay if the group has no others."""
     rows = simhash.classed(docs)
     own = F.struct("doc_id", "text_id")
-    first = _named(rows.filter(own.eqNullSafe(F.struct("first.doc_id", "first.text_id"))))
-    return docs.join(first, _same(docs), "left_semi").withColumn(TEXT_ID, F.xxhash64("text")).dropDuplicates(["doc_id", TEXT_ID]).select(docs.columns)
+    first = rows.filter(own.eqNullSafe(F.struct("first.doc_id", "first.text_id"))).groupBy("doc_id", "text_id").agg(F.count("*").alias("n"))
+    first = written(first, "first-rows")
+    once = docs.join(_named(first.filter("n = 1")), _same(docs), "left_semi")
+    more = docs.join(_named(first.filter("n > 1")), _same(docs), "left_semi").withColumn(TEXT_ID, F.xxhash64("text"))
+    return once.unionByName(more.dropDuplicates(["doc_id", TEXT_ID]).select(docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

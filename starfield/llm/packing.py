@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from starfield.llm.words import blocks
+from starfield.llm.words import FORGET, blocks
 from starfield.plans.materialize import written
 
 LENGTH = 1024
@@ -111,13 +111,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+FORGET["packing"] = encoder.cache_clear
+
+
 def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first pass: part, before (tokens before the document in its part), doc_id, doc_tokens, ids (bytes)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for rows, data, offsets in blocks(batches):
+        for rows, data, offsets in blocks(batches, own="packing"):
             ids, counts = encoder(tokenizer).encode(data, offsets)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, END)

@@ -6,7 +6,8 @@ one document. Null texts count as empty ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,26 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+#: What forgets the memory that an operator keeps in a worker between its tasks, by the operator's name.
+FORGET: dict[str, Callable[[], None]] = {}
+
+
+def release(own: str = "") -> None:
+    """Gives back what earlier tasks of a worker have freed, and what other operators than ``own`` keep: workers live as
+    long as their executor."""
+    for name, forget in FORGET.items():
+        if name != own:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this allocator
+        pass
+
+
+def blocks(batches, text: str = "text", own: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts Arrow batches into blocks of whole documents: their rows, bytes and offsets."""
+    release(own)
     for batch in batches:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         at = 0
