@@ -131,7 +131,9 @@ def seed_pairs(terms: DataFrame, windows: DataFrame, counts: DataFrame) -> DataF
     and the first and last place of the windows that have them. Only windows at home are listed."""
     own = windows.filter((F.col("home.item") == F.col("item")) & (F.col("home.start") == F.col("start"))).select("item", "need", "start")
     places = own.select("item", "need", "start", F.explode(F.sequence("start", F.col("start") + F.col("need") - 1)).alias("place"))
-    every = places.join(terms.select("item", "place", "term"), ["item", "place"]).join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # Counts meet each word of an item once, not once for each of its windows.
+    counted = terms.select("item", "place", "term").join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = places.join(counted, ["item", "place"])
     # A group is a window: its length at most.
     rare = every.groupBy("item", "need", "start").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "place", "term"))), 1, 2).alias("r"))
     rare = rare.filter(F.col("r")[0]["n"] > 0)
