@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from starfield.functions.vectors import key_name
 from starfield.operators import cluster, embedding, intrinsic, knn, points, quality, text, timeseries, topology
 from starfield.operators.components import components
 from starfield.plans.materialize import checkpoint
+from starfield.sources import generators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,10 +133,10 @@ def drop_unlabeled(spark, sf_dir):
     return points.labelled_only(d, "quality").select("doc_id", "quality")
 
 
-@query(f"WITH {L} SELECT id, round(asinh(f0 / 5), 6) AS f0, round(asinh(f1 / 5), 6) AS f1 FROM l")
+@query(f"WITH {L} SELECT id, round(asinh(f0 / 5), 6) AS f0, round(asinh(f1 / 5), 6) AS f1, round(asinh(f2 / 5), 6) AS f2, round(asinh(f3 / 5), 6) AS f3 FROM l")
 def arcsinh_transform(spark, sf_dir):
     p = points.arcsinh(lineitems(spark, sf_dir), 5.0)
-    return p.select("id", *[r6(F.col("features")[k]).alias(f"f{k}") for k in range(2)])
+    return p.select("id", *[r6(F.col("features")[k]).alias(f"f{k}") for k in range(4)])
 
 
 @query("WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 11 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 13 = 0 THEN NULL ELSE value END AS v FROM events) SELECT event_id, v FROM e WHERE v IS NOT NULL AND isfinite(v)")
@@ -160,9 +162,9 @@ def zscore_epsilon(spark, sf_dir):
     return points.z_scores(lineitems(spark, sf_dir), 1e-8).select("id", F.posexplode("features").alias("pos", "v")).withColumn("v", r6("v"))
 
 
-@query(f"WITH {L} SELECT id, round(f0 / 255 - 0.5, 6) AS f0 FROM l")
+@query(f"WITH {L} SELECT id, round(f0 / 255 - 0.5, 6) AS f0, round(f1 / 255 - 0.5, 6) AS f1, round(f2 / 255 - 0.5, 6) AS f2, round(f3 / 255 - 0.5, 6) AS f3 FROM l")
 def pixel_scale(spark, sf_dir):
-    return points.pixels(lineitems(spark, sf_dir)).select("id", r6(F.col("features")[0]).alias("f0"))
+    return points.pixels(lineitems(spark, sf_dir)).select("id", *[r6(F.col("features")[k]).alias(f"f{k}") for k in range(4)])
 
 
 @query(f"WITH {L}, {LONG} SELECT pos, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(stddev_samp(v), 6) AS std_sample, min(v) AS least, max(v) AS most FROM x GROUP BY pos")
@@ -260,10 +262,26 @@ def knn_l1_expr(spark, sf_dir):
     return edges_out(knn.knn(vectors(spark, sf_dir), 8, L1))
 
 
-@query(f"WITH {V}, {knn_sql(8, where='a.id % 5 = 0 AND b.id % 5 <> 0')} SELECT src, dst, rank, round(dist, 6) AS dist FROM g")
+@query(f"WITH {V}, {knn_sql(8, where='a.id % 50 = 0')} SELECT src, dst, rank, round(dist, 6) AS dist FROM g")
 def knn_queries(spark, sf_dir):
-    v = vectors(spark, sf_dir)  # a fifth of the points asks the rest
-    return edges_out(knn.knn(v.filter("id % 5 <> 0"), 8, queries=v.filter("id % 5 = 0")))
+    v = vectors(spark, sf_dir)  # a stated set of queries asks all rows
+    return edges_out(knn.knn(v, 8, queries=v.filter("id % 50 = 0")))
+
+
+GRID = "p AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[])[1:3], lambda x: floor(x * 8)) AS f FROM embeddings)"
+FAR = "p AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / 10 + 1000000) AS f FROM embeddings)"
+
+
+@query(f"WITH {GRID}, {knn_sql(12)} SELECT src, dst, rank, round(dist, 6) AS dist FROM g")
+def knn_ties(spark, sf_dir):
+    v = vectors(spark, sf_dir)  # a small grid: most distances are shared, and ids decide
+    return edges_out(knn.knn(v.withColumn("features", F.transform(F.slice("features", 1, 3), lambda x: F.floor(x * 8).cast("double"))), 12))
+
+
+@query(f"WITH {FAR}, {knn_sql(16)} SELECT src, dst, rank, round(dist, 6) AS dist FROM g")
+def knn_offset(spark, sf_dir):
+    v = vectors(spark, sf_dir)  # far from the origin, near each other
+    return edges_out(knn.knn(v.withColumn("features", F.transform("features", lambda x: x / 10 + 1_000_000)), 16))
 
 
 @query()
@@ -292,11 +310,12 @@ def graph_normalized_adjacency(spark, sf_dir):
     return a.select("src", "dst", r6("val").alias("val"))
 
 
-@query(f"WITH {V}, {knn_sql(8)}, {SYM}, d AS (SELECT src, count(*) AS n FROM s GROUP BY src), a AS (SELECT s.src, s.dst, 1 / sqrt(a.n * b.n) AS val FROM s JOIN d a ON a.src = s.src JOIN d b ON b.src = s.dst) SELECT a.src AS id, round(sum(val * f[1]), 6) AS v FROM a JOIN p ON p.id = a.dst GROUP BY a.src")
+@query(f"WITH {V}, {knn_sql(8)}, {SYM}, d AS (SELECT src, count(*) AS n FROM s GROUP BY src), a AS (SELECT s.src, s.dst, 1 / sqrt(a.n * b.n) AS val FROM s JOIN d a ON a.src = s.src JOIN d b ON b.src = s.dst) SELECT a.src AS id, d.pos, round(sum(val * f[d.pos + 1]), 6) AS v FROM a JOIN p ON p.id = a.dst, (SELECT unnest(range(64)) AS pos) d GROUP BY a.src, d.pos")
 def graph_matvec(spark, sf_dir):
     v = vectors(spark, sf_dir)
     a = knn.normalized_adjacency(checkpoint(knn.symmetric(knn.knn(v, 8))))
-    return knn.times(a, v.select("id", F.col("features")[0].alias("v"))).select("id", r6("v").alias("v"))
+    each = v.select("id", F.posexplode("features").alias("pos", "v"))
+    return a.join(each.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "pos").agg(r6(F.sum(F.col("val") * F.col("v"))).alias("v"))
 
 
 @query(f"WITH RECURSIVE {V}, {knn_sql(1)}, {SYM}, r AS (SELECT DISTINCT src AS node, src AS c FROM s UNION SELECT s.dst, r.c FROM r JOIN s ON s.src = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
@@ -358,10 +377,10 @@ def kernel_ab_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "preset string, a double, b double").select("preset", F.col("a").cast("decimal(4,3)").alias("a"), F.col("b").cast("decimal(4,3)").alias("b"))
 
 
-@query(f"WITH {V}, x AS (SELECT id, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS pos FROM p), c AS (SELECT id, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM x) SELECT a.pos AS i, b.pos AS j, round(sum(a.v * b.v) / count(*), 6) AS cov FROM c a JOIN c b ON a.id = b.id AND a.pos < 8 AND b.pos < 8 GROUP BY 1, 2")
+@query(f"WITH {V}, x AS (SELECT id, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS pos FROM p), c AS (SELECT id, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM x) SELECT a.pos AS i, b.pos AS j, round(sum(a.v * b.v) / count(*), 6) AS cov FROM c a JOIN c b ON a.id = b.id GROUP BY 1, 2")
 def covariance_matrix(spark, sf_dir):
-    cov = embedding.covariance(vectors(spark, sf_dir))[1][:8, :8]
-    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(8) for j in range(8)], "i long, j long, cov double").withColumn("cov", r6("cov"))
+    cov = embedding.covariance(vectors(spark, sf_dir))[1]
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(cov)], "i long, j long, cov double").withColumn("cov", r6("cov"))
 
 
 @query()
@@ -536,6 +555,45 @@ def matrix_structure(spark, sf_dir):
     return found.withColumns({"density": r6("density"), "mean_span": r6("mean_span")})
 
 
+@query(f"WITH {ATLAS}, m AS (SELECT a AS t1, b AS t2, c AS t3, unnest([[a, b], [a, c], [b, c]]) AS e FROM val), i AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS k FROM (SELECT DISTINCT e FROM m)), n AS (SELECT DISTINCT x.k AS row, y.k AS col FROM m p1 JOIN m p2 USING (t1, t2, t3) JOIN i x ON x.e = p1.e JOIN i y ON y.e = p2.e), r AS (SELECT row, max(col) - min(col) AS span, count(*) AS n, max(abs(row - col)) AS band FROM n GROUP BY row) SELECT count(*) AS n_rows, sum(n) AS nonzeros, round(sum(n) / (count(*) * count(*)), 6) AS density, max(band) AS bandwidth, round(avg(span), 6) AS mean_span, max(span) AS max_span FROM r")
+def matrix_structure_edges(spark, sf_dir):
+    triangles = topology.valued_triangles(*complex_(spark, sf_dir))
+    found = topology.matrix_structure(topology.laplacian(topology.boundary_2(triangles), ["u", "v"], ["a", "b", "c"]))
+    return found.withColumns({"density": r6("density"), "mean_span": r6("mean_span")})
+
+
+@query()
+def topology_error(spark, sf_dir):
+    clouds = {"figure_8": (generators.figure_8(spark, 200), 2), "torus": (generators.torus(spark, 200), 2)}
+    return topology.topology_error(embedding.create_reducer(**embedding.TOPOLOGY_TUNED).fit_transform, clouds)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1, 2")
+def grouped_stats(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return rounded(quality.grouped_stats(t, ["l_returnflag", "l_linestatus"], "l_quantity"))
+
+
+LAYOUTS = {
+    "pca": lambda v: embedding.standardized(embedding.pca(v, 2), sample=True),
+    "random": lambda v: embedding.standardized(embedding.projected(v, embedding.random_axes(64, 2, 42)), sample=True),
+    "spectral": lambda v: embedding.standardized(embedding.spectral(v, knn.knn(v, 15), 2), sample=True),
+    "force": lambda v: embedding.create_reducer().fit_transform(v),
+}
+
+
+@query("SELECT unnest([" + ", ".join(f"'{k}'" for k in LAYOUTS) + "]) AS layout, (SELECT count(*) FROM embeddings) AS n_points, true AS finite, true AS centred, true AS scaled")
+def layout_invariants(spark, sf_dir):
+    """What every layout must have: a row for each point, finite, mean 0 and sample deviation 1 in both coordinates."""
+    v, out = checkpoint(vectors(spark, sf_dir)), None
+    for name, lay in LAYOUTS.items():
+        xy = [F.col("coords")[k] for k in range(2)]
+        finite = F.bool_and(*[(F.abs(xy[0]) < 1e300) & (F.abs(xy[1]) < 1e300)])
+        one = lay(v).groupBy(F.lit(name).alias("layout")).agg(F.count_distinct("id").alias("n_points"), finite.alias("finite"), (F.greatest(*[F.abs(F.avg(x)) for x in xy]) < 1e-6).alias("centred"), (F.greatest(*[F.abs(F.stddev_samp(x) - 1) for x in xy]) < 1e-6).alias("scaled"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def global_metrics(spark, sf_dir):
     v = vectors(spark, sf_dir)

@@ -16,11 +16,11 @@ from starfield.operators.knn import knn
 from starfield.plans.materialize import checkpoint
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 42, rounds: int = 40) -> DataFrame:
-    """id, cluster."""
-    vectors = points.select("id", array_to_vector("features").alias("vector"))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="vector", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).select("id", "cluster")
+def kmeans(points: DataFrame, k: int, seed: int = 42, rounds: int = 40, starts: int = 10) -> DataFrame:
+    """id, cluster, of the start with the least sum of squared distances; of equal ones the first."""
+    vectors = checkpoint(points.select("id", array_to_vector("features").alias("vector")))
+    models = [KMeans(k=k, seed=seed + n, maxIter=rounds, featuresCol="vector", predictionCol="cluster").fit(vectors) for n in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(vectors).select("id", "cluster")
 
 
 def within(points: DataFrame, eps: float) -> DataFrame:

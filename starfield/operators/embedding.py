@@ -17,6 +17,7 @@ from starfield.functions.vectors import keyed_hash
 from starfield.operators.knn import BLOCK, _matrix, auto_knn, knn, normalized_adjacency, symmetric
 from starfield.operators.points import _array, _per_dimension, centred, finite_only, fixed_sample, numbered
 from starfield.plans.materialize import checkpoint, written
+from starfield.plans.sums import added
 
 #: Points that one task may lay out, and the dimensions of which a covariance matrix is formed.
 LOCAL, DIMENSIONS = 20_000, 2048
@@ -72,12 +73,13 @@ def covariance(points: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             d = len(total)
             yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d), "v": total.ravel()})
 
-    rows = points.select("features").mapInArrow(sums, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    if not rows:
+    first = points.select(F.size("features")).first()
+    if first is None:
         return np.zeros(0), np.zeros((0, 0)), 0
-    d = max(r["i"] for r in rows) + 1
-    if d > DIMENSIONS + 1:
+    if first[0] > DIMENSIONS:
         raise ValueError(f"covariance of more than {DIMENSIONS} dimensions")
+    rows = points.select("features").mapInArrow(sums, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    d = max(r["i"] for r in rows) + 1
     g = np.zeros((d, d))
     for r in rows:
         g[r["i"], r["j"]] = r["v"]
@@ -85,12 +87,51 @@ def covariance(points: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return mean, g[1:, 1:] / n - np.outer(mean, mean), int(n)
 
 
+def subspace_axes(points: DataFrame, k: int, rounds: int = 8, spare: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the first ``k`` principal axes and their variances by randomised subspace iteration, for any number of
+    dimensions: each round is one pass that adds up dimensions times ``k + spare`` numbers; no covariance matrix is
+    formed. Errors fall by the ratio of later to kept variances in every round."""
+    d = points.select(F.size("features")).first()[0]
+    width = min(k + spare, d)
+
+    def passed(axes: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total, products = 0, np.zeros(d), np.zeros((d, axes.shape[1]))
+            for batch in batches:
+                step = max(1, (1 << 22) // d)
+                for at in range(0, batch.num_rows, step):
+                    x = _matrix(batch.column("features").slice(at, step)) - mean
+                    n, total = n + len(x), total + x.sum(0)
+                    products += x.T @ (x @ axes)
+            yield pa.RecordBatch.from_pydict({"v": [np.concatenate([[n], total, products.ravel()]).tobytes()]})
+
+        return added(points.select("features").mapInArrow(sums, "v binary"))
+
+    found = passed(np.zeros((d, 0)), np.zeros(d))
+    n, mean = found[0], found[1 : d + 1] / found[0]
+    axes = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
+    for turn in range(rounds + 1):
+        products = passed(axes, mean)[d + 1 :].reshape(d, width) / n
+        if turn < rounds:
+            axes = np.linalg.qr(products)[0]
+    values, turns = np.linalg.eigh(axes.T @ products)
+    order = np.argsort(-values)[:k]
+    return mean, (axes @ turns[:, order]).T, values[order]
+
+
 def principal_axes(points: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, axes (k rows; the largest loading of each is positive) and variances along them."""
-    mean, cov, _ = covariance(points)
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(-values)[: min(k, len(values))]
-    axes = vectors[:, order].T
+    """Mean, axes (k rows; the largest loading of each is positive) and variances along them.
+
+    Up to ``DIMENSIONS`` from the covariance matrix, beyond from ``subspace_axes``."""
+    first = points.select(F.size("features")).first()
+    if first is not None and first[0] > DIMENSIONS:
+        mean, axes, values = subspace_axes(points, k)
+        order = np.arange(len(values))
+    else:
+        mean, cov, _ = covariance(points)
+        values, vectors = np.linalg.eigh(cov)
+        order = np.argsort(-values)[: min(k, len(values))]
+        axes = vectors[:, order].T
     sign = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])
     return mean, axes * np.where(sign == 0, 1, sign)[:, None], np.maximum(values[order], 0)
 
@@ -419,11 +460,14 @@ class Reducer:
         scaled = checkpoint(centred(points)) if p.normalize else points
         self.knn = checkpoint(auto_knn(scaled, k, p.metric))
         start = standardized(self._initial(scaled))
-        local = p.strategy == "local" or p.strategy == "auto" and n <= LOCAL
-        moved = self._local(start, k) if local else self._distributed(start, n, k)
-        self.embedding = checkpoint(standardized(moved, sample=True))
+        self.embedding = checkpoint(standardized(self._moved(start, n, k), sample=True))
         return self
 
+    def _moved(self, start: DataFrame, n: int, k: int) -> DataFrame:
+        p = self.params
+        local = p.strategy == "local" or p.strategy == "auto" and n <= LOCAL
+        return self._local(start, k) if local else self._distributed(start, n, k)
+
     def fit_transform(self, points: DataFrame) -> DataFrame:
         return self.fit(points).embedding
 

@@ -58,7 +58,8 @@ def search(points: DataFrame, space: dict, trials: int = 20, seed: int = 42, bas
     """A row for each random draw of parameters: trial, params (JSON), score (neighbours kept), error (stress), seconds.
 
     ``space`` gives for each parameter a list to choose from or a pair (low, high): whole numbers if both are, both ends
-    included. All trials are judged by one table of ``k`` neighbours; ``cluster.pareto`` gives the best ones.
+    included. All trials are judged by one table of ``k`` neighbours; ``cluster.pareto`` gives the best ones. Score and
+    error are rounded to six digits, since the order of Spark's sums varies in the last ones.
     """
     base, draw = base or Parameters(), np.random.default_rng(seed)
     if unknown := set(space) - set(base.__dataclass_fields__):
@@ -78,7 +79,7 @@ def search(points: DataFrame, space: dict, trials: int = 20, seed: int = 42, bas
         layout = checkpoint(Reducer(replace(base, **params)).fit_transform(points))
         seconds = time.time() - began
         score = neighbour_score(high, auto_knn(as_points(layout), k), k).first()[0]
-        rows.append((trial, json.dumps(params, sort_keys=True), score, stress(high, layout).first()[0], seconds))
+        rows.append((trial, json.dumps(params, sort_keys=True), round(score, 6), round(stress(high, layout).first()[0], 6), seconds))
     return points.sparkSession.createDataFrame(rows, "trial int, params string, score double, error double, seconds double")
 
 

@@ -81,13 +81,14 @@ def svm_accuracy(points: DataFrame, seed: int = 42) -> float:
     return model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
 
-def folded_score(high: float, low: float) -> list[float]:
-    """Both accuracies and the log of their smaller ratio, 0 at most."""
-    return [high, low, math.log(min(high / low, low / high))]
+def signed_score(high: float, low: float) -> list[float]:
+    """Both accuracies and the log of their ratio. An accuracy of 0 counts as 1e-12."""
+    return [high, low, math.log(max(low, 1e-12) / max(high, 1e-12))]
 
 
-def signed_score(high: float, low: float) -> list[float]:
-    return [high, low, math.log(low / high)]
+def folded_score(high: float, low: float) -> list[float]:
+    """Both accuracies and the log of their smaller ratio, 0 at most."""
+    return [high, low, -abs(signed_score(high, low)[2])]
 
 
 def _with_labels(layout: DataFrame, points: DataFrame) -> DataFrame:
@@ -127,6 +128,11 @@ def evaluate(points: DataFrame, layout: DataFrame, k: int = 16, subsample: float
     return out
 
 
+def grouped_stats(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """For each group, such as a noise level and a method: the keys, n, mean and population deviation of ``value``."""
+    return values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
 def procrustes(a: DataFrame, b: DataFrame) -> float:
     """What remains of the squared distances of two layouts after moving, scaling and turning them (0: same shape)."""
     both = a.select("id", F.col("coords").alias("x")).join(b.select("id", F.col("coords").alias("y")), "id")

@@ -58,8 +58,13 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def bucket_features(trades: DataFrame, seconds: int = 10) -> DataFrame:
     """Fourteen features of each bucket of two ticks or more."""
+    return features_of(buckets(trades, seconds), seconds)
+
+
+def features_of(buckets_: DataFrame, seconds: int) -> DataFrame:
+    """``bucket_features`` of what ``buckets`` gave."""
     c = F.col
-    b = buckets(trades, seconds).filter("p_std IS NOT NULL AND s_std IS NOT NULL AND p_first > 0 AND p_last > 0")
+    b = buckets_.filter("p_std IS NOT NULL AND s_std IS NOT NULL AND p_first > 0 AND p_last > 0")
     w = Window.partitionBy("key").orderBy("ts")
     b = b.withColumn("ret", F.log(c("p_last") / c("p_first")))
     return b.select(

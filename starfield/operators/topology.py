@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -140,6 +142,30 @@ def betti_curve(points: DataFrame, k: int = 15, density: float = 0.8, overlap: f
     return out.select("step", "filtration", "beta_0", beta_1.alias("beta_1"), "n_edges", "n_triangles")
 
 
+METHODS = ("atlas", "rips")
+
+
+def curve(points: DataFrame, method: str = "atlas", n_steps: int = 10, **options) -> DataFrame:
+    """step, filtration, beta_0 and beta_1 of a cloud: by the atlas complex (``betti_curve``), or by the bars of the Rips
+    filtration (``rips_curve``). The method is chosen by the caller alone."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    found = betti_curve(points, n_steps=n_steps, **options) if method == "atlas" else rips_curve(checkpoint(rips_bars(points, **options)), n_steps)
+    return found.select("step", "filtration", "beta_0", "beta_1")
+
+
+def topology_error(reduce: Callable[[DataFrame], DataFrame], clouds: dict[str, tuple[DataFrame, int]], share: float = 0.3) -> DataFrame:
+    """How far layouts are from the loops that their clouds are known to have: cloud, loops, found, error. ``reduce``
+    gives a layout (id, coords); ``clouds`` the points and the number of loops by name."""
+    rows = []
+    for name, (points, loops) in clouds.items():
+        layout = checkpoint(reduce(points)).select("id", F.col("coords").alias("features"))
+        found = significant(checkpoint(rips_bars(layout)), 1, share).count()
+        rows.append((name, loops, found, abs(found - loops)))
+    spark = next(iter(clouds.values()))[0].sparkSession
+    return spark.createDataFrame(rows, "cloud string, loops int, found int, error int")
+
+
 def full_complex(points: DataFrame, k: int = 15, **options) -> tuple[int, int]:
     """beta_0 and beta_1 of the whole atlas."""
     row = betti_curve(points, k, n_steps=1, **options).first()

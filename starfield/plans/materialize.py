@@ -1,6 +1,7 @@
 """Cutting lineage in the folder that the cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in tests, is one set here.
+The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and all runs on one machine, as in
+tests, is one set here.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder's URI, without a slash at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="starfield-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

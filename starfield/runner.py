@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfield.operators.embedding import Reducer
-from starfield.operators.points import fixed_sample, label_codes
+from starfield.operators.embedding import Parameters, Reducer, kernel, standardized
+from starfield.operators.knn import auto_knn
+from starfield.operators.points import centred, fixed_sample, label_codes
+from starfield.operators.quality import stress
 from starfield.plans.materialize import checkpoint
 from starfield.sources.files import parse_selector, read_cytometry, read_points
 from starfield.sources.generators import generate
@@ -52,6 +54,30 @@ class ReducerRunner:
         return Run(layout, points.select("id", "label"), method, seconds, {"selector": selector, "n_samples": points.count(), "n_features": first[0] if first else 0})
 
 
+def profiled(points: DataFrame, params: Parameters | None = None) -> DataFrame:
+    """How long each stage of a layout takes, and its result's rows: stage, seconds, rows. Every stage is computed once,
+    on the stored result of the ones before."""
+    p = params or Parameters()
+    rows, done = [], {}
+
+    def stage(name: str, work: Callable[[], DataFrame]) -> None:
+        began = time.time()
+        done[name] = checkpoint(work())
+        rows.append((name, time.time() - began, done[name].count()))
+
+    stage("points", lambda: points.select("id", "features"))
+    stage("scale", lambda: centred(done["points"]) if p.normalize else done["points"])
+    stage("neighbours", lambda: auto_knn(done["scale"], p.n_neighbors, p.metric))
+    reducer = Reducer(p)
+    reducer.knn, (reducer.a, reducer.b) = done["neighbours"], kernel(p.min_dist, p.spread)
+    n = done["points"].count()
+    stage("start", lambda: standardized(reducer._initial(done["scale"])))
+    stage("layout", lambda: reducer._moved(done["start"], n, p.n_neighbors))
+    stage("standardise", lambda: standardized(done["layout"], sample=True))
+    stage("quality", lambda: stress(done["neighbours"], done["standardise"]))
+    return points.sparkSession.createDataFrame(rows, "stage string, seconds double, rows long")
+
+
 def plot_frame(run: Run, most: int = 10_000, seed: int = 42) -> DataFrame:
     """What a scatter plot needs: id, coords, label, code (null for more than 20 classes: use a colour scale)."""
     rows = fixed_sample(run.embedding.join(run.labels, "id"), most, seed)

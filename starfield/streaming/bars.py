@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
-from starfield.operators.timeseries import bars, bucket_features
+from starfield.operators.timeseries import bars, buckets, features_of
 
 
 def streaming_bars(trades: DataFrame, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
@@ -12,10 +13,13 @@ def streaming_bars(trades: DataFrame, seconds: int = 60, late: str = "10 minutes
     return bars(trades.withWatermark("ts", late), seconds)
 
 
-def write_bucket_features(trades: DataFrame, path: str, checkpoint: str, seconds: int = 10):
-    """Features of each micro-batch; those that look back over rows start anew in each."""
+def write_buckets(trades: DataFrame, path: str, checkpoint: str, seconds: int = 10, late: str = "10 minutes") -> StreamingQuery:
+    """Stores the buckets of a stream, each once and whole, when the watermark has passed it. Ticks that come later than
+    that are left out, however micro-batches cut the stream."""
+    final = buckets(trades.withWatermark("ts", late), seconds)
+    return final.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
 
-    def store(batch: DataFrame, number: int) -> None:
-        bucket_features(batch, seconds).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return trades.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+def stored_features(spark: SparkSession, path: str, seconds: int = 10) -> DataFrame:
+    """Features of all buckets stored so far; those that look back see all earlier buckets."""
+    return features_of(spark.read.parquet(path), seconds)

@@ -305,3 +305,72 @@ def test_kernel_components_of_many_points_are_exact(spark):
     expected = (vectors * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :2]
     got = np.array([r["coords"] for r in embedding.kernel_pca(p, 2, block=300).orderBy("id").collect()])
     assert np.allclose(np.abs(got), np.abs(expected), atol=1e-5)
+
+
+def test_axes_of_many_dimensions(spark):
+    r = np.random.default_rng(1)
+    base, turn = r.standard_normal((120, 3)) * [9, 5, 2], np.linalg.qr(r.standard_normal((3000, 3)))[0].T
+    x = base @ turn + 0.01 * r.standard_normal((120, 3000)) + 7
+    p = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "id long, features array<double>").repartition(4)
+    mean, axes, values = embedding.principal_axes(p, 3)
+    centred = x - x.mean(0)
+    _, s, v = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(values, s[:3] ** 2 / len(x), rtol=1e-8)
+    assert np.allclose(np.abs((axes * v[:3]).sum(1)), 1, atol=1e-8)
+    assert embedding.pca(p, 2).count() == 120
+
+
+def test_subspace_axes_equal_the_covariance(spark):
+    p = generators.blobs(spark, 300, 12)
+    one, two = embedding.principal_axes(p, 2), embedding.subspace_axes(p, 2, rounds=30)
+    assert np.allclose(one[0], two[0]) and np.allclose(one[2], two[2], rtol=1e-6)
+    assert np.allclose(np.abs((one[1] * two[1]).sum(1)), 1, atol=1e-6)
+
+
+def test_curve_methods(spark):
+    p = generators.circle(spark, 40)
+    atlas, rips = (topology.curve(p, method).orderBy("filtration").collect() for method in ("atlas", "rips"))
+    assert max(r["beta_1"] for r in atlas) >= 1 and max(r["beta_1"] for r in rips) == 1
+    with pytest.raises(ValueError, match="method"):
+        topology.curve(p, "other")
+
+
+def test_topology_error(spark):
+    same = lambda points: points.select("id", F.col("features").alias("coords"))
+    clouds = {"circle": (generators.circle(spark, 60), 1), "wrong": (generators.circle(spark, 60), 3)}
+    found = {r["cloud"]: (r["found"], r["error"]) for r in topology.topology_error(same, clouds).collect()}
+    assert found == {"circle": (1, 0), "wrong": (1, 2)}
+
+
+def test_profiled(spark):
+    from starfield.runner import profiled
+
+    rows = profiled(generators.blobs(spark, 100, 4), embedding.Parameters(max_iter=4)).collect()
+    assert [r["stage"] for r in rows] == ["points", "scale", "neighbours", "start", "layout", "standardise", "quality"]
+    assert all(r["seconds"] >= 0 for r in rows) and rows[4]["rows"] == 100
+
+
+def test_scores_of_no_accuracy():
+    assert quality.folded_score(0.0, 0.5)[2] == -abs(quality.signed_score(0.0, 0.5)[2]) and np.isfinite(quality.signed_score(0.5, 0.0)[2])
+
+
+def test_stream_of_buckets_equals_batch(spark, sf_dir, tmp_path):
+    """However the stream is cut, each bucket is stored once, from all of its ticks."""
+    from starfield.streaming.bars import stored_features, write_buckets
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts")
+    for part in range(4):
+        events.filter(F.pmod("event_id", F.lit(4)) == part).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = write_buckets(timeseries.from_events(stream), str(tmp_path / "out"), str(tmp_path / "c"), seconds=3600, late="3650 days")
+    run.processAllAvailable()
+    run.stop()
+    assert spark.read.schema("key string").parquet(str(tmp_path / "out")).count() == 0  # nothing is final before its time
+    run = write_buckets(timeseries.from_events(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out2"), str(tmp_path / "c2"), seconds=3600, late="0 seconds")
+    run.processAllAvailable()
+    run.stop()
+    batch = timeseries.bucket_features(timeseries.from_events(events), 3600)
+    last = events.agg(F.date_trunc("hour", F.max("ts"))).first()[0]
+    want = {(r["key"], r["ts"]): r["ticks"] for r in batch.filter(F.col("ts") < last).collect()}
+    got = {(r["key"], r["ts"]): r["ticks"] for r in stored_features(spark, str(tmp_path / "out2"), 3600).collect()}
+    assert want and got == want
