@@ -25,6 +25,7 @@ from starfield.llm.quality_rules import _DIGIT, _LOWERCASE, _SHOUT, _SYMBOL, _UP
 from starfield.llm.samples import labelled
 from starfield.llm.words import NOT_ALNUM, Words, blocks
 from starfield.plans.materialize import written
+from starfield.plans.sums import added
 
 #: Labelled documents at most for fitting.
 LABELLED = 6000
@@ -38,8 +39,6 @@ WORD_BITS, META_BITS = 15, 10
 KEPT_GOOD, LOWEST = 0.995, 0.2
 #: Hashed words in fewer labelled documents have no weight.
 LEAST_DOCUMENTS = 12
-#: Sums of so many tasks are added up in one.
-FAN = 32
 SHAPE = ["bias", "log_words", "short", "word_length", "symbols", "upper", "digits", "shouts", "doubled", "distinct"]
 META = ["bias", "lang", "source", "length", "lang and length"]
 TEXT_SIZE, META_SIZE = len(SHAPE) + (1 << WORD_BITS), 1 << META_BITS
@@ -181,25 +180,6 @@ def fitted(rows: Rows, view: str, y: np.ndarray, weight: np.ndarray, start: np.n
     return w
 
 
-def _added(df: DataFrame, partitions: int, fan: int = FAN) -> np.ndarray | None:
-    """The sum of one column of vectors (bytes of doubles), a tree of ``fan`` at a time."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for v in batch.column(0):
-                x = np.frombuffer(v.as_buffer(), float)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
-
-    while partitions > 1:
-        partitions = -(-partitions // fan)
-        df = df.repartition(partitions).mapInArrow(add, "v binary")
-    found = df.collect()
-    return np.sum([np.frombuffer(r["v"], float) for r in found], axis=0) if found else None
-
-
 def pseudo_labels(rows: Rows, weights: dict[str, np.ndarray], confident: float = CONFIDENT) -> dict[str, np.ndarray]:
     """For each view, what the other one labels: nan where it is not sure."""
     p = {k: _probability(rows.score(k, w)) for k, w in weights.items()}
@@ -223,7 +203,7 @@ def exchanged(others: DataFrame, weights: dict[str, np.ndarray], share: float =
                         total[k, side] += np.concatenate([[own.sum()], rows.gather(k, own * (p - side)), rows.gather(k, own * p * (1 - p) * rows.width(k), absolute=True)])
         yield pa.RecordBatch.from_pydict({"v": [np.concatenate(list(total.values())).tobytes()]})
 
-    found = _added(others.mapInArrow(sums, "v binary"), others.rdd.getNumPartitions())
+    found = added(others.mapInArrow(sums, "v binary"))
     out: dict[str, Bound | None] = {}
     at = 0
     for k, n in SIZES.items():

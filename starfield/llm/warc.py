@@ -32,7 +32,7 @@ _FEED = 1 << 16
 _HEADERS_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 #: Before each so many records of an archive the query leaves a torn member, as a writer that was killed does.
-TORN = 1000
+TORN = 25
 MANIFEST = "path string, records long, gaps long, bytes long"
 RECORDS = "kind string, path string, begin long, end long, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, reason string"
 _SCHEMA = pa.schema([("kind", pa.string()), ("path", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("reason", pa.string()), ("payload", pa.binary())])
