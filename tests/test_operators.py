@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from starfield import catalog
 from starfield.functions.vectors import metric_name
@@ -374,3 +375,30 @@ def test_stream_of_buckets_equals_batch(spark, sf_dir, tmp_path):
     want = {(r["key"], r["ts"]): r["ticks"] for r in batch.filter(F.col("ts") < last).collect()}
     got = {(r["key"], r["ts"]): r["ticks"] for r in stored_features(spark, str(tmp_path / "out2"), 3600).collect()}
     assert want and got == want
+
+
+def test_windows_over_chunks_equal_windows_over_instruments(spark, sf_dir):
+    t = timeseries.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    t = t.withColumn("key", F.when(F.col("event_id") % 3 > 0, F.lit("hot")).otherwise(F.col("key")))
+    bars = timeseries.bars(t, 600)
+    rounded = lambda df: sorted(map(repr, catalog.rounded(df).collect()))
+    for small, whole in (
+        (timeseries.tick_steps(t, chunk=4), timeseries.tick_steps(t)),
+        (timeseries.bucket_features(t, 3600, chunk=4), timeseries.bucket_features(t, 3600)),
+        (timeseries.rolling_features(bars, 5, chunk=5), timeseries.rolling_features(bars, 5)),
+        (timeseries.rolling_features(bars, 5, chunk=2), timeseries.rolling_features(bars, 5)),
+        (timeseries.tick_features(t, 3600, 5, chunk=8), timeseries.tick_features(t, 3600, 5)),
+    ):
+        found = rounded(small)
+        assert found and found == rounded(whole)
+    w = Window.partitionBy("key").orderBy("ts", "event_id")
+    plain = t.withColumn("before", F.lag("event_id").over(w)).filter("before IS NULL").count()
+    assert timeseries.tick_steps(t, chunk=4).filter("time_diff IS NULL").count() == plain
+    assert timeseries.tick_steps(t.limit(0)).count() == 0
+
+
+def test_long_spines(spark):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 04:00:00"), ("b", "2024-01-01 00:00:07")]
+    t = spark.createDataFrame(rows, "key string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    found = timeseries.spine(t, 1)
+    assert found.count() == found.distinct().count() == 14402
