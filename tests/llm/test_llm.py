@@ -124,6 +124,16 @@ def test_op1_long_conversation(spark):
     assert "".join(p["text"] for p in parts).count("<|im_start|>") == 700 and len(parts) == 3
 
 
+@pytest.mark.parametrize("turn", [None, 5])
+def test_op1_one_turn_number(spark, turn):
+    texts = [f"t{k:04}" for k in range(900)]
+    rows = [(1, turn, "user", t) for t in texts] + [(None, turn, "user", t) for t in texts[:600]] + [(3, turn, "user", t) for t in texts[:599] + ["u"]] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    assert {(r["conv_id"], r["n"]) for r in chat.maximal(df).collect()} == {(1, 900), (3, 600)}
+    parts = chat.formatted(df, part=100).filter("conv_id = 1").orderBy("part").collect()
+    assert "".join(p["text"] for p in parts) == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in texts) and len(parts) == 9
+
+
 # 2 Decontamination
 
 
