@@ -41,9 +41,12 @@ def within(points: DataFrame, eps: float) -> DataFrame:
 
 def dbscan(points: DataFrame, eps: float = 0.5, least: int = 5) -> DataFrame:
     """id, cluster (numbered from 0 by their smallest core id; -1: noise). A point counts itself; a border point goes
-    to the cluster of the smallest id among its core neighbours."""
-    pairs = checkpoint(within(points, eps))
-    core = checkpoint(pairs.groupBy("a").agg((F.count("*") + 1).alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("id")) if least > 1 else points.select("id"))
+    to the cluster of the smallest id among its core neighbours. Points of equal coordinates are one place with a
+    count, so that copies are not paired with each other."""
+    spots = checkpoint(points.groupBy("coords").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    pairs = checkpoint(within(spots.select("id", "coords"), eps))
+    near = pairs.join(spots.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("_near"))
+    core = checkpoint(spots.join(near, "id", "left").filter(F.col("n") + F.coalesce("_near", F.lit(0)) >= least).select("id"))
     inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
     linked = components(inner.filter("a < b"), "a", "b")
     cores = core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("root"))
@@ -51,7 +54,8 @@ def dbscan(points: DataFrame, eps: float = 0.5, least: int = 5) -> DataFrame:
     every = checkpoint(cores.unionByName(border))
     # The window sees the clusters, not the points.
     numbers = every.select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
-    return points.select("id").join(every.join(numbers, "root"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    found = spots.select("id", "coords").join(every.join(numbers, "root"), "id").select("coords", "cluster")
+    return points.join(found, "coords", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def contingency(clusters: DataFrame) -> DataFrame:

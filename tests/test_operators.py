@@ -183,6 +183,19 @@ def test_dbscan(spark):
     assert [r["cluster"] for r in cluster.dbscan(layout, 0.3, 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, -1]
 
 
+def test_dbscan_of_copies_equals_brute_force(spark):
+    at = np.random.default_rng(5).integers(0, 9, (150, 2)) / 4.0
+    at[40:90] = at[40]
+    found = {r["id"]: r["cluster"] for r in cluster.dbscan(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(at)], "id long, coords array<double>"), 0.25, 9).collect()}
+    near = ((at[:, None] - at[None]) ** 2).sum(2) <= 0.25**2
+    core, root = near.sum(1) >= 9, np.arange(150)
+    for _ in range(150):
+        root = np.array([min(root[near[i] & core]) if core[i] else i for i in range(150)])
+    roots = sorted(set(root[core]))
+    want = {i: roots.index(min(root[near[i] & core])) if (near[i] & core).any() else -1 for i in range(150)}
+    assert found == want and len(roots) > 1 and -1 in want.values()
+
+
 def test_elbows():
     assert cluster.kneedle([1.0, 2.0]) == cluster.kneedle([1.0] * 5) == 1
     assert cluster.share_elbow([0.5, 0.96]) == 2 and cluster.share_elbow([0.1, 0.2]) == 2
