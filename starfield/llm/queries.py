@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfield.llm import chat, classifier, contamination, licenses, packing, quality_rules, sharding, simhash, substrings, warc
+from starfield.llm import bpe, chat, classifier, contamination, importance, licenses, packing, quality_rules, repair, sharding, simhash, substrings, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -63,7 +63,24 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classified(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_collapse, op2_positional_index, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op6_crf_lines, op7_feistel_shards, op8_license_seeds, op9_warc_salvage, op10_co_training)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir)
+    return repair.report(repair.damaged(rows), rows)
+
+
+def op13_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+_ALL = (
+    op1_chat_collapse, op2_positional_index, op3_seed_extend, op4_concat_cut, op5_simhash_pivots, op6_crf_lines, op7_feistel_shards,
+    op8_license_seeds, op9_warc_salvage, op10_co_training, op11_importance, op12_repair, op13_distinct_words,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": """

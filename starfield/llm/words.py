@@ -57,14 +57,14 @@ def release(own: str = "") -> None:
         pass
 
 
-def blocks(batches, text: str = "text", own: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches, text: str = "text", own: str = "", size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts Arrow batches into blocks of whole documents: their rows, bytes and offsets."""
     release(own)
     for batch in batches:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
