@@ -1,10 +1,10 @@
 """BPE encoding and decoding of whole texts with a public tokenizer's file.
 
-Encoding goes through the distinct words. A first pass splits the texts of a block into words and stores the documents
-as codes into the block's word list. The lists of all blocks are dealt out by word and sorted, so that each distinct word
-is one run, which is encoded once; its ids return to all blocks that hold the word, where the documents take them by
+Encoding goes through the distinct words. The texts of a block are split into words, of which the documents become codes
+into the block's word list. The lists of all blocks are dealt out by the words' hashes; each part is a table of distinct
+words, of which each is encoded once. The ids return to all blocks that hold the word, where the documents take them by
 position. So what is shuffled is a word for each block that holds it, not for each place, and the codes; a very frequent
-word is a row a block at most.
+word is there once a block.
 
 Decoding joins each id with its piece and appends the pieces. The table of pieces is as long as the vocabulary, so it is
 sent to all tasks, where ids find their pieces by place; nothing is shuffled.
@@ -24,13 +24,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfield.llm.words import FORGET, blocks
-from starfield.plans.materialize import written
+from starfield.llm.words import FORGET, blocks, hashes
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 1 << 25
@@ -103,26 +103,57 @@ def unsqueezed(stored: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def split(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first pass, written, a row for each block: block, doc_ids and n_words of its documents, codes of all their words
-    in order, and words, the block's distinct words by code."""
-    kind = docs.schema[key].dataType.simpleString()
+def _stored(words: pa.LargeBinaryArray) -> tuple[bytes, bytes]:
+    """Words as their lengths and their bytes, compressed."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return squeezed(np.diff(at)), zstandard.compress(memoryview(data)[at[0] : at[-1]] if data is not None else b"", 3)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 33
-        for rows, data, offsets in blocks(batches, own="bpe", size=BLOCK):
-            at = bounds(data, offsets)
-            words, codes = word_list(data, at)
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch, np.ndarray, pa.LargeBinaryArray, np.ndarray]]:
+    """The blocks of a task: number, mark (a hash of the bytes), rows, how many words each has, the distinct words, all codes."""
+    block = TaskContext.get().partitionId() << 33
+    for rows, data, offsets in blocks(batches, own="bpe", size=BLOCK):
+        at = bounds(data, offsets)
+        mark = xxhash.xxh3_64_intdigest(data.tobytes()) >> 1
+        yield block, mark, rows, np.diff(np.searchsorted(at, offsets)), *word_list(data, at)
+        block += 1
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """The documents of each block: block, mark, doc_ids, n_words, and codes of all their words in order."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, mark, rows, n_words, _, codes in split(batches):
+            yield pa.RecordBatch.from_pydict({"block": [block], "mark": [mark], "doc_ids": one(rows.column("doc_id")), "n_words": one(pa.array(n_words, pa.int64())), "codes": [squeezed(codes)]})
+
+    return docs.mapInArrow(code, f"block long, mark long, doc_ids array<{kind}>, n_words array<long>, codes binary")
+
+
+def listed(docs: DataFrame, buckets: int) -> DataFrame:
+    """The distinct words of each block, a row for each of ``buckets`` into which their hashes fall: _block, _mark, bucket,
+    codes (their differences), lengths and words, compressed."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, mark, _, _, words, _ in split(batches):
+            _, offsets, data = words.buffers()
+            at = np.frombuffer(offsets, np.int64)[: len(words) + 1]
+            raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+            to = (hashes(raw, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            own, first = np.unique(to[order], return_index=True)
+            cuts = np.append(first, len(order))
+            parts = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            lengths, texts = zip(*(_stored(words.take(pa.array(p))) for p in parts), strict=True) if parts else ((), ())
             yield pa.RecordBatch.from_pydict({
-                "block": pa.array([block], pa.int64()), "doc_ids": one(rows.column("doc_id")),
-                "n_words": one(pa.array(np.diff(np.searchsorted(at, offsets)), pa.int64())),
-                "codes": pa.array([squeezed(codes)], pa.binary()), "words": one(words.cast(pa.binary())),
+                "_block": np.full(len(own), block, np.int64), "_mark": np.full(len(own), mark, np.int64), "bucket": own.astype(np.int32),
+                "codes": pa.array([squeezed(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                "lengths": pa.array(lengths, pa.binary()), "words": pa.array(texts, pa.binary()),
             })
-            block += 1
 
-    schema = f"block long, doc_ids array<{kind}>, n_words array<long>, codes binary, words array<binary>"
-    return written(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema), "word-codes", "zstd")
+    return docs.mapInArrow(deal, "_block long, _mark long, bucket int, codes binary, lengths binary, words binary")
 
 
 def word_ids(words: list[bytes], path: str, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
@@ -152,39 +183,25 @@ def gathered(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.nd
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)]
 
 
-def known_words(cut: DataFrame, tokenizer: str) -> DataFrame:
-    """The ids of all blocks' words, each distinct word encoded once: _block, codes, lengths (ids of each), ids. A row holds
-    the words of a block that a task meets in one batch."""
+def known_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """``listed`` words with their ids instead of bytes, each distinct word encoded once: _block, _mark, codes, lengths (ids
+    of each), ids. A bucket has all blocks' entries of its words, so its word table is whole."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            runs = pc.run_end_encode(batch.column("word"))
-            words = runs.values.to_pylist()
-            seen = int(words[0] == last)  # a run may go on over the batch's end
-            ids, lengths = word_ids(words[seen:], tokenizer)
-            if seen:
-                ids, lengths = np.concatenate([last_ids, ids]), np.concatenate([[len(last_ids)], lengths])
-            last, last_ids = words[-1], ids[len(ids) - lengths[-1] :]
-            begins = np.cumsum(lengths) - lengths
-            run = np.repeat(np.arange(len(words)), np.diff(np.asarray(runs.run_ends), prepend=0))
-            block = batch.column("_block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            own, first = np.unique(block[order], return_index=True)
-            cuts = np.append(first, len(order))
-            run, n = run[order], lengths[run[order]]
-            flat = gathered(ids, begins[run], n)
-            at = np.concatenate([[0], np.cumsum(n)])[cuts].astype(np.int32)
-            lists = lambda values, ends, kind: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(kind)))
-            yield pa.RecordBatch.from_pydict({
-                "_block": own, "codes": lists(batch.column("code").to_numpy()[order], cuts, np.int32), "lengths": lists(n, cuts, np.int32), "ids": lists(flat, at, np.int32),
-            })
+    def encode(rows: pa.Table) -> pa.Table:
+        lengths = [unsqueezed(x) for x in rows["lengths"].to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        data = b"".join(zstandard.decompress(x) for x in rows["words"].to_pylist())
+        table = _binaries(np.frombuffer(data, np.uint8), offsets).dictionary_encode()
+        ids, n = word_ids(table.dictionary.to_pylist(), tokenizer)
+        begins, index = np.cumsum(n) - n, table.indices.to_numpy()
+        ends = np.cumsum([len(x) for x in lengths])
+        own = [index[end - len(x) : end] for end, x in zip(ends, lengths, strict=True)]
+        return pa.table({
+            "_block": rows["_block"], "_mark": rows["_mark"], "codes": rows["codes"], "lengths": pa.array([squeezed(n[k]) for k in own], pa.binary()),
+            "ids": pa.array([squeezed(gathered(ids, begins[k], n[k])) for k in own], pa.binary()),
+        })
 
-    words = cut.select(F.col("block").alias("_block"), F.posexplode("words").alias("code", "word"))
-    dealt = words.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(encode, "_block long, codes array<int>, lengths array<int>, ids array<int>")
+    return words.groupBy("bucket").applyInArrow(encode, "_block long, _mark long, codes binary, lengths binary, ids binary")
 
 
 def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,27 +210,37 @@ def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
     A null text is empty and has no ids. The strings of special tokens become their ids. A very long text is a block of
     its own, and a very long word is one word. Every row stands by itself, so repeated rows, equal and null doc_ids each
     give a row; other columns are ignored, an empty table gives none.
+
+    The texts are split twice, once for the word lists and once for the codes, so that neither is stored; ``docs`` must
+    give its rows in the same order again, as stored tables do. Marks of the blocks tell where it does not: an error.
     """
-    cut = split(docs, key, text)
-    kind = cut.schema["doc_ids"].dataType.elementType.simpleString()
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # About as many words in a bucket as in a block, whatever the input's size.
+    buckets = max(32, 4 * docs.rdd.getNumPartitions())
 
     def place(rows: pa.Table, words: pa.Table) -> pa.Table:
-        whole = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        code, n, flat = whole(words, "codes"), whole(words, "lengths").astype(np.int64), whole(words, "ids")
+        marks = {*rows["mark"].to_pylist(), *words["_mark"].to_pylist()}
+        if len(rows) != 1 or len(marks) != 1:
+            raise RuntimeError("the documents were not the same when they were read again: store them first")
+        many = lambda c: [unsqueezed(x) for x in words[c].to_pylist()]
+        join = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int64)
+        code, n, flat = join(map(np.cumsum, many("codes"))), join(many("lengths")), join(many("ids"))
         begins, lengths = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         begins[code], lengths[code] = np.cumsum(n) - n, n
         codes = unsqueezed(rows["codes"][0].as_py())
         n = lengths[codes]
         ids = gathered(flat, begins[codes], n)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(whole(rows, "n_words"))])]
+        n_words = rows["n_words"].combine_chunks().flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(n_words)])]
         raw = memoryview(ids.astype("<u4").tobytes())
-        hashes = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+        digests = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        return pa.table({"doc_id": rows["doc_ids"].combine_chunks().flatten(), "n_tokens": np.diff(ends), "ids": lists, "ids_sha256": hashes})
+        return pa.table({"doc_id": rows["doc_ids"].combine_chunks().flatten(), "n_tokens": np.diff(ends), "ids": lists, "ids_sha256": digests})
 
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, ids_sha256 string"
-    rows = cut.select("block", "doc_ids", "n_words", "codes")
-    return rows.groupBy("block").cogroup(known_words(cut, tokenizer).groupBy("_block")).applyInArrow(place, schema)
+    known = known_words(listed(docs, buckets), tokenizer)
+    return coded(docs).groupBy("block").cogroup(known.groupBy("_block")).applyInArrow(place, schema)
 
 
 def _bytes_of_letters() -> dict[str, int]:

@@ -94,21 +94,8 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, salt: int = 0) -> np.ndarray:
-        """64 bits for every word, from all its bytes. Equal words have equal hashes in every block; hashes of other
-        salts are independent."""
-        n = self.ends - self.starts
-        h = mix(n.astype(np.uint64) * _LENGTH + np.uint64(salt))
-        # The eight bytes from every place on, as numbers.
-        lanes = np.ndarray(len(self.data), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
-        left, at, k = np.flatnonzero(n <= LONG_WORD), self.starts, 0
-        while len(left):
-            chunk = lanes[at[left] + 8 * k] & _FIRST[np.minimum(n[left] - 8 * k, 8)]
-            h[left] = mix((h[left] ^ chunk) * _ODD + np.uint64(k + 1))
-            k += 1
-            left = left[n[left] > 8 * k]
-        for k in np.flatnonzero(n > LONG_WORD):
-            h[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes(), salt)
-        return h
+        """64 bits for every word, as in ``hashes``."""
+        return hashes(self.data, self.starts, self.ends, salt)
 
     def starts_of_grams(self, n: int) -> np.ndarray:
         """The first words of all runs of n words within one document."""
@@ -116,6 +103,24 @@ class Words:
         return at[at + n <= np.repeat(self.first[1:], self.counts)[: len(at)]]
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits for every slice of ``data``, from all its bytes. Equal ones have equal hashes in every block; hashes of other
+    salts are independent."""
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * _LENGTH + np.uint64(salt))
+    # The eight bytes from every place on, as numbers.
+    lanes = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left, k = np.flatnonzero(n <= LONG_WORD), 0
+    while len(left):
+        chunk = lanes[np.minimum(starts[left] + 8 * k, len(data) - 1)] & _FIRST[np.minimum(n[left] - 8 * k, 8)] if len(data) else np.uint64(0)
+        h[left] = mix((h[left] ^ chunk) * _ODD + np.uint64(k + 1))
+        k += 1
+        left = left[n[left] > 8 * k]
+    for k in np.flatnonzero(n > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), salt)
+    return h
+
+
 _LENGTH, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 #: Masks that leave a number's first 0 to 8 bytes.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
