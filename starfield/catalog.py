@@ -287,7 +287,7 @@ def knn_offset(spark, sf_dir):
 @query()
 def knn_ivf_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    each = knn.recall(knn.ivf_knn(v, 10, cells=16, probes=8), knn.knn(v, 10))
+    each = knn.recall(knn.ivf_knn(v, 10), knn.knn(v, 10))
     return each.agg(F.count("*").alias("n"), r6(F.avg("recall")).alias("recall"))
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -92,6 +93,47 @@ def test_ivf_recall(spark):
     p = generators.blobs(spark, 600, 8, centers=6)
     r = knn.recall(knn.ivf_knn(p, 5, cells=8, probes=4, block=64), knn.knn(p, 5))
     assert r.agg(F.avg("recall")).first()[0] > 0.9
+    noise = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(3).normal(size=(900, 16)))], "id long, features array<double>")
+    truth = knn.knn(noise, 5)
+    assert knn.recall(knn.ivf_knn(noise, 5, cells=30, probes=1), truth).agg(F.avg("recall")).first()[0] < 0.6
+    assert knn.recall(knn.ivf_knn(noise, 5, cells=30), truth).agg(F.avg("recall")).first()[0] > 0.9
+
+
+def _cloud():
+    """Far clusters, copies of one place, a tiny cluster, the origin, and one point very far away."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 5)) * 5
+    return np.vstack([centres[rng.integers(0, 12, 400)] + rng.normal(size=(400, 5)) * 0.2, np.ones((60, 5)), rng.normal(size=(40, 5)) * 1e-9, np.zeros((3, 5)), np.full((1, 5), 1e12)])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "cosine", "inner_product"])
+@pytest.mark.parametrize("apart", [False, True])
+def test_knn_of_cells_is_exact(spark, metric, apart):
+    x = _cloud()
+    odd = [(10_000, [float("nan")] * 5), (10_001, None), (10_002, [None] * 5), (10_003, [float("inf")] * 5)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, features array<double>")
+    queries = df.filter("id % 3 = 0") if apart else None
+    got = defaultdict(list)
+    for r in knn.knn(df, 7, metric, queries=queries, block=32).orderBy("src", "rank").collect():
+        got[r.src].append((r.dst, r.dist))
+    assert set(got) == {i for i in range(len(x)) if i % 3 == 0 or not apart}
+    for i, found in got.items():
+        d = knn.exact_distances(x[i][None], x, metric)
+        want = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:7]
+        assert [j for j, _ in found] == want and np.allclose([v for _, v in found], d[want], rtol=1e-12, atol=1e-300)
+
+
+def test_knn_prunes_groups(spark, monkeypatch):
+    """Of far clusters in small groups only few pairs of groups meet."""
+    rng = np.random.default_rng(4)
+    x = (np.repeat(np.arange(16), 64)[:, None] * 100 + rng.normal(size=(1024, 3))).tolist()
+    df = spark.createDataFrame(list(enumerate(x)), "id long, features array<double>")
+    monkeypatch.setattr(knn, "GROUP_BYTES", 1)
+    seen = []
+    monkeypatch.setattr(knn, "checkpoint", lambda d: seen.append(d.count()) or d)
+    assert knn.knn(df, 4, block=64).count() == 4096
+    # At least 16 cells' worth of blocks, so 256 pairs or more without bounds.
+    assert 16 <= seen[-1] < 150
 
 
 def test_kernel():
