@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfield.functions.vectors import key_name
-from starfield.operators import cluster, embedding, intrinsic, knn, points, quality, text, timeseries, topology
+from starfield.operators import cluster, descent, embedding, intrinsic, knn, points, quality, quantize, text, timeseries, topology
 from starfield.operators.components import components
 from starfield.plans.materialize import checkpoint
 from starfield.sources import generators
@@ -291,6 +291,25 @@ def knn_ivf_recall(spark, sf_dir):
     return each.agg(F.count("*").alias("n"), r6(F.avg("recall")).alias("recall"))
 
 
+def recall_of(v, found):
+    return knn.recall(found, knn.knn(v, 10)).agg(F.count("*").alias("n"), r6(F.avg("recall")).alias("recall"))
+
+
+@query()
+def knn_pq_recall(spark, sf_dir):
+    v = checkpoint(vectors(spark, sf_dir))
+    books = quantize.codebooks(v)
+    index = quantize.coded(v, books)
+    probes, refine, _ = quantize.tuned(v, 10, books, index)
+    return recall_of(v, quantize.pq_knn(v, 10, books, probes, refine, index=index))
+
+
+@query()
+def knn_descent_recall(spark, sf_dir):
+    v = checkpoint(vectors(spark, sf_dir))
+    return recall_of(v, descent.descent_knn(v, 10))
+
+
 SYM = "s AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
 
 

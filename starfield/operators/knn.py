@@ -342,6 +342,11 @@ def centroids(points: DataFrame, cells: int, sample: int = 20_000, rounds: int =
     x = np.array([r["features"] for r in fixed_sample(points.select("id", "features"), sample, seed).collect()], float)
     if sphere:
         x = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+    return lloyd(x, cells, rounds)
+
+
+def lloyd(x: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+    """Centres of rows by Lloyd's rounds, which begin at the first rows."""
     centres = x[:cells].copy()
     for _ in range(rounds):
         near = np.argmin((centres * centres).sum(1)[None] - 2 * x @ centres.T, axis=1)
