@@ -100,10 +100,21 @@ def separation(points: DataFrame) -> DataFrame:
 
 
 def pareto(trials: DataFrame) -> DataFrame:
-    """Trials (trial, score, error) that no other one beats: higher score and error no higher, or the reverse."""
-    other = trials.select(F.col("score").alias("_s"), F.col("error").alias("_e"))
-    beaten = (F.col("_s") >= F.col("score")) & (F.col("_e") <= F.col("error")) & ((F.col("_s") > F.col("score")) | (F.col("_e") < F.col("error")))
-    return trials.join(F.broadcast(other.groupBy("_s").agg(F.min("_e").alias("_e"))), beaten, "left_anti")
+    """Trials (trial, score, error) that no other one beats: higher score and error no higher, or the reverse. Trials without
+    score or error are not beaten.
+
+    The least error of each score is dealt out by ranges of the score; a score is on the front if its least error is below
+    that of all higher scores: a running minimum within its range, and the minimum of the ranges above, a row each.
+    """
+    least = trials.filter("score IS NOT NULL AND error IS NOT NULL").groupBy(F.col("score").alias("_s")).agg(F.min("error").alias("_e"))
+    ranged = checkpoint(least.repartitionByRange(F.desc("_s")).withColumn("_part", F.spark_partition_id()))
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(F.min("_e").alias("_m")).select(F.col("_part").alias("_of"), F.min("_m").over(above).alias("_above"))
+    higher = Window.partitionBy("_part").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_higher", F.min("_e").over(higher)).join(F.broadcast(parts), F.col("_part") == F.col("_of"))
+    front = rows.filter(F.coalesce(F.least("_higher", "_above") > F.col("_e"), F.lit(True))).select("_s", "_e")
+    kept = trials.join(front, (F.col("score") == F.col("_s")) & (F.col("error") == F.col("_e")), "left_semi")
+    return kept.unionByName(trials.filter("score IS NULL OR error IS NULL"))
 
 
 def dominance(trials: DataFrame, score: float, error: float) -> DataFrame:

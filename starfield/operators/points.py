@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from starfield.functions.vectors import finite, keyed_hash, uniform
+from starfield.operators.quantiles import order_statistics
 from starfield.plans.materialize import checkpoint
 
 NUMERIC = (T.NumericType, T.BooleanType)
@@ -117,9 +118,21 @@ def fixed_sample(points: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def balanced(a: DataFrame, b: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Both cut to the size of the smaller one."""
-    n = min(a.count(), b.count())
-    return fixed_sample(a, n, seed), fixed_sample(b, n, seed)
+    """Both cut to the size of the smaller one, the rows of the least hashes (of equal ones, the smaller ids)."""
+    counts = a.count(), b.count()
+    n = min(counts)
+    return tuple(df if count == n else _least_hashes(df, n, seed) for df, count in zip((a, b), counts, strict=True))
+
+
+def _least_hashes(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows of ``fixed_sample`` for any ``n``: the hash that bounds them is found by counting, and only rows with
+    this very hash are ordered."""
+    if not n:
+        return df.limit(0)
+    rows = df.withColumn("_h", keyed_hash(F.col("id"), seed))
+    bound = int(order_statistics(rows, "_h", [n - 1])[0])
+    below = rows.filter(F.col("_h") < bound)
+    return below.unionByName(rows.filter(F.col("_h") == bound).orderBy("id").limit(n - below.count())).drop("_h")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:

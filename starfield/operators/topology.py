@@ -13,6 +13,7 @@ from starfield.functions.vectors import squared
 from starfield.operators.components import spanning_forest
 from starfield.operators.knn import knn
 from starfield.operators.points import bernoulli, numbered
+from starfield.operators.quantiles import quantiles
 from starfield.plans.materialize import checkpoint
 
 #: Two-dimensional homology is computed in one task, of at most so many simplices.
@@ -75,9 +76,9 @@ def matrix_structure(entries: DataFrame) -> DataFrame:
 
 
 def thresholds(edges: DataFrame, n_steps: int) -> DataFrame:
-    """step and filtration: quantiles of the lengths from the largest down."""
-    shares = [1 - s / max(n_steps - 1, 1) for s in range(n_steps)]
-    return edges.agg(F.percentile("length", F.array(*[F.lit(s) for s in shares])).alias("t")).select(F.posexplode("t").alias("step", "filtration"))
+    """step and filtration: exact quantiles of the lengths from the largest down, by counting."""
+    found = quantiles(edges, "length", [1 - s / max(n_steps - 1, 1) for s in range(n_steps)])
+    return edges.sparkSession.createDataFrame(list(enumerate(found or [])), "step int, filtration double")
 
 
 def active_counts(steps: DataFrame, edges: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -249,7 +250,9 @@ def islands(bars: DataFrame) -> DataFrame:
     """One row: longest finite bar of dimension 0, and the mean of the five longest over the median."""
     finite = bars.filter((F.col("dim") == 0) & (F.col("death") < float("inf")))
     top = finite.orderBy(F.desc("death")).limit(5).agg(F.avg("death").alias("_top"))
-    return finite.agg(F.max("death").alias("longest"), F.percentile("death", F.lit(0.5)).alias("_median")).join(top).select("longest", (F.col("_top") / F.col("_median")).alias("top_ratio"))
+    median = (quantiles(finite, "death", [0.5]) or [None])[0]
+    longest = finite.agg(F.max("death").alias("longest")).join(F.broadcast(top))  # two single rows
+    return longest.select("longest", (F.col("_top") / F.lit(median).cast("double")).alias("top_ratio"))
 
 
 def dtw(a: np.ndarray, b: np.ndarray, p: float = 2) -> float:
