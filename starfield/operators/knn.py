@@ -250,6 +250,13 @@ def _exact(points: DataFrame, k: int, metric: str, queries: DataFrame | None, bl
     n, d = points.agg(F.count("*"), F.max(F.size("features"))).first()
     if not n:
         return spark.createDataFrame([], _SCHEMA)
+    if n <= block and 8 * n * d <= GROUP_BYTES:
+        # The points are one block, so there is nothing to prune: each block of queries meets them.
+        asked = points if queries is None else queries
+        blocks = max(1, -(-asked.count() // block))
+        own = asked.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")))
+        other = points.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        return _joined(own, other, ["_a"], k, metric)
     cells = Cells(centroids(points, min(CELLS, max(1, n // block)), sphere=metric == "cosine"), metric)
 
     def dealt(df: DataFrame, own: bool) -> tuple[DataFrame, np.ndarray]:
