@@ -48,7 +48,8 @@ class Encoder:
         self.forget()
         self.open = np.ones(256, bool)
         self.open[:0x21] = False
-        self.open[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+        # Blanks before a special token stay together, since it is looked for before the split.
+        self.open[[ord("<"), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
     def forget(self) -> None:
         self.memory: dict[bytes, int] = {}

@@ -350,7 +350,7 @@ def test_op4_round_trip(spark, sf_dir, odd):
     assert packing.packed(df.limit(0), PATH).count() == 0
 
 
-@pytest.mark.parametrize("text", ["  a  b ", "x y  z  \n q", "a<|endoftext|> b <|endoftext|>", "\n\n x", "it's 're  don't\t tab", " 　x  y", "a \x1c b", "é è  ê", "日本 語 emoji 🙂 🙂 end "])
+@pytest.mark.parametrize("text", ["  a  b ", "a  <|endoftext|>  b", "x  <y", "x y  z  \n q", "a<|endoftext|> b <|endoftext|>", "\n\n x", "it's 're  don't\t tab", " 　x  y", "a \x1c b", "é è  ê", "日本 語 emoji 🙂 🙂 end "])
 def test_op4_chunks_encode_as_whole_texts(text):
     e = packing.encoder(PATH)
     ids, n = e.encode(*utf8(pa.array([text, None, text + text])))
