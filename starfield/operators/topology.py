@@ -10,16 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfield.functions.vectors import squared
+from starfield.operators.cohomology import loop_bars
 from starfield.operators.components import spanning_forest
 from starfield.operators.knn import knn
 from starfield.operators.points import bernoulli, numbered
 from starfield.operators.quantiles import quantiles
 from starfield.plans.materialize import checkpoint
 
-#: Two-dimensional homology is computed in one task, of at most so many simplices.
-SIMPLICES = 2_000_000
-_PRIME = 2_147_483_647
-
 
 def atlas(points: DataFrame, k: int, density: float = 0.8, overlap: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """The union of all neighbourhoods: edges (u, v, step, length) and triangles (a, b, c), a < b < c.
@@ -89,42 +86,19 @@ def active_counts(steps: DataFrame, edges: DataFrame, triangles: DataFrame) -> D
     return e.join(f, "step")
 
 
-def beta_0(points: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """step, beta_0: points less the forest's edges up to the threshold."""
-    n, forest = points.count(), spanning_forest(points, edges)
+def beta_0(points: DataFrame, steps: DataFrame, forest: DataFrame) -> DataFrame:
+    """step, beta_0: points less the spanning forest's edges up to the threshold."""
+    n = points.count()
     return F.broadcast(steps).join(forest, F.col("length") <= F.col("filtration"), "left").groupBy("step").agg((F.lit(n) - F.count("length")).alias("beta_0"))
 
 
-def _ranks(simplices: pd.DataFrame) -> pd.DataFrame:
-    """Values at which the rank of the triangle boundary rises by one, by reducing columns in the order of value over
-    a large prime field."""
-    edge: dict[tuple, int] = {}
-    low: dict[int, dict[int, int]] = {}
-    born = []
-    for a, b, c, value in simplices.sort_values(["value", "a", "b", "c"]).itertuples(index=False):
-        column = {edge.setdefault(f, len(edge)): s for f, s in (((a, b), 1), ((a, c), _PRIME - 1), ((b, c), 1))}
-        while column:
-            pivot = max(column)
-            if pivot not in low:
-                scale = pow(column[pivot], -1, _PRIME)
-                low[pivot] = {r: v * scale % _PRIME for r, v in column.items()}
-                born.append(value)
-                break
-            factor = column[pivot]
-            for r, v in low[pivot].items():
-                if new := (column.get(r, 0) - factor * v) % _PRIME:
-                    column[r] = new
-                else:
-                    column.pop(r, None)
-    return pd.DataFrame({"value": born}, dtype=float)
-
-
-def rank_steps(triangles: DataFrame) -> DataFrame:
-    """value, once for each unit of rank. One task, of a size that is checked."""
-    n = triangles.count()
-    if n > SIMPLICES:
-        raise ValueError(f"{n} triangles are more than {SIMPLICES}; take a smaller sample")
-    return triangles.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda x: _ranks(x[["a", "b", "c", "value"]]), "value double")
+def rank_steps(triangles: DataFrame, edges: DataFrame | None = None, forest: DataFrame | None = None) -> DataFrame:
+    """value, once for each unit by which the rank of the triangle boundary rises. Without ``edges`` the triangles' own
+    faces are taken, each from its first triangle on, which changes no rank."""
+    if edges is None:
+        faces = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
+        edges = triangles.select(F.explode(faces).alias("f"), F.col("value").alias("length")).select("f.*", "length")
+    return loop_bars(edges, triangles, forest).filter("death < double('inf')").select(F.col("death").alias("value"))
 
 
 def betti_curve(points: DataFrame, k: int = 15, density: float = 0.8, overlap: float = 1.0, n_steps: int = 10) -> DataFrame:
@@ -137,8 +111,9 @@ def betti_curve(points: DataFrame, k: int = 15, density: float = 0.8, overlap: f
     edges, triangles = atlas(points, min(k, n - 1), density, overlap)
     valued = checkpoint(valued_triangles(edges, triangles))
     steps = checkpoint(thresholds(edges, n_steps))
-    ranks = F.broadcast(steps).join(rank_steps(valued), F.col("value") <= F.col("filtration"), "left").groupBy("step").agg(F.count("value").alias("rank"))
-    out = active_counts(steps, edges, valued).join(beta_0(points, steps, edges), "step").join(ranks, "step")
+    forest = spanning_forest(points, edges)
+    ranks = F.broadcast(steps).join(rank_steps(valued, edges, forest), F.col("value") <= F.col("filtration"), "left").groupBy("step").agg(F.count("value").alias("rank"))
+    out = active_counts(steps, edges, valued).join(beta_0(points, steps, forest), "step").join(ranks, "step")
     beta_1 = F.greatest(F.lit(0).cast("long"), F.col("n_edges") - (n - F.col("beta_0")) - F.col("rank"))
     return out.select("step", "filtration", "beta_0", beta_1.alias("beta_1"), "n_edges", "n_triangles")
 
