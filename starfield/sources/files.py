@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from starfield.operators.points import arcsinh, assemble, numeric_only
+from starfield.sources.arrays import read_arrays, read_labels
 
 SUFFIXES = (".csv", ".parquet", ".npy", ".npz", ".arff", ".tsv", ".txt", ".fcs")
 #: Rows of an array file in one batch.
@@ -48,38 +48,11 @@ def read_parquet(spark: SparkSession, path: str, label: str | None = None, colum
     return assemble(with_ids(df.select(*columns, *([label] if label and label not in columns else [])) if columns else df), "id", label)
 
 
-def _arrays(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    loaded = np.load(io.BytesIO(content), allow_pickle=False)
-    if not name.endswith(".npz"):
-        return loaded, None
-    if "X" not in loaded:
-        raise ValueError(f"{name} has no array X")
-    return loaded["X"], loaded["y"] if "y" in loaded else None
-
-
 def read_numpy(spark: SparkSession, path: str, labels_path: str | None = None) -> DataFrame:
-    """``.npy`` (with an optional file of labels) or ``.npz`` with X and perhaps y. A task holds a file."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                x, y = _arrays(name, content)
-                x = x.reshape(len(x), -1).astype(float)
-                for at in range(0, len(x), ROWS):
-                    part = x[at : at + ROWS]
-                    label = pa.nulls(len(part), pa.string()) if y is None else pa.array([str(v) for v in y[at : at + ROWS]])
-                    yield pa.RecordBatch.from_pydict({"id": np.arange(at, at + len(part)), "features": list(part), "label": label})
-
-    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                y = np.load(io.BytesIO(content), allow_pickle=False)
-                yield pa.RecordBatch.from_pydict({"id": np.arange(len(y)), "label": [str(v) for v in y]})
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "id long, features array<double>, label string")
+    """``.npy`` (with an optional file of labels) or ``.npz`` with X and perhaps y, by ranges of rows (``read_arrays``)."""
+    found = read_arrays(spark, path)
     if labels_path:
-        named = spark.read.format("binaryFile").load(labels_path).select("content").mapInArrow(labels, "id long, label string")
-        found = found.drop("label").join(named, "id", "left")
+        found = found.drop("label").join(read_labels(spark, labels_path), "id", "left")
     return found
 
 
