@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfield.functions.vectors import key_name
-from starfield.operators import cluster, descent, embedding, intrinsic, knn, points, quality, quantize, text, timeseries, topology
+from starfield.operators import cluster, descent, embedding, intrinsic, knn, points, quality, quantize, text, timeseries, topology, warping
 from starfield.operators.components import components
 from starfield.plans.materialize import checkpoint
 from starfield.sources import generators
@@ -562,6 +562,36 @@ def h0_islands(spark, sf_dir):
     return topology.islands(checkpoint(topology.h0_bars(vectors(spark, sf_dir)))).select(r6("longest").alias("longest"), r6("top_ratio").alias("top_ratio"))
 
 
+def daily(spark, sf_dir):
+    """Series of the mean value of each day: of every user, and as user -1 of all events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.explode(F.array("user_id", F.lit(-1).cast("long"))).alias("user_id"), F.to_date("ts").alias("day"), "value")
+    return checkpoint(warping.series(e.groupBy("user_id", "day").agg(F.avg("value").alias("value")), "user_id", "day", "value"))
+
+
+def to_all(users):
+    return users.filter("key <> -1").select(F.col("key").alias("left"), F.lit(-1).cast("long").alias("right"))
+
+
+DAILY = """e AS (SELECT user_id, ts, value FROM events UNION ALL SELECT -1, ts, value FROM events),
+d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM e WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL HAVING avg(value) IS NOT NULL),
+s AS (SELECT user_id, list(v ORDER BY day) AS a FROM d GROUP BY user_id), m AS (SELECT a AS b FROM s WHERE user_id = -1),
+w AS (SELECT user_id, 2 AS n, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = 1 THEN abs(a[1] - b[1]) ELSE CAST('inf' AS DOUBLE) END) AS p, list_transform(a, lambda x: CAST('inf' AS DOUBLE)) AS q
+FROM s, m WHERE user_id <> -1 UNION ALL SELECT w.user_id, n + 1, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN n + 1 - i BETWEEN 1 AND len(b) THEN abs(a[i] - b[n + 1 - i])
++ least(p[i], coalesce(p[i - 1], CAST('inf' AS DOUBLE)), coalesce(q[i - 1], CAST('inf' AS DOUBLE))) ELSE CAST('inf' AS DOUBLE) END), p FROM w JOIN s ON s.user_id = w.user_id, m WHERE n < len(a) + len(b))"""
+
+
+@query(f"WITH RECURSIVE {DAILY} SELECT w.user_id, round(p[len(a)], 6) AS distance FROM w JOIN s ON s.user_id = w.user_id, m WHERE n = len(a) + len(b)")
+def warped_exact(spark, sf_dir):
+    users = daily(spark, sf_dir)
+    return warping.warped(users, to_all(users), None).select(F.col("left").alias("user_id"), r6("distance").alias("distance"))
+
+
+@query()
+def warped_banded(spark, sf_dir):
+    users = daily(spark, sf_dir)
+    return warping.warped(users, to_all(users)).select(F.col("left").alias("user_id"), r6("distance").alias("distance"))
+
+
 @query("SELECT round(sqrt(2.0) + 1, 6) AS distance")
 def dtw_distance(spark, sf_dir):
     return one_row(spark, distance=round(topology.dtw([(0, 0), (1, 1), (2, 2)], [(0, 0), (2, 2), (2, 3)]), 6))

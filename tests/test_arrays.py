@@ -17,7 +17,7 @@ def test_split_file(spark, tmp_path, shape, kind, order):
     found = arrays.read_arrays(spark, str(tmp_path / "x.npy"), split=16_000)
     got, ids = rows(found)
     assert ids == list(range(len(x)))
-    assert np.array_equal(np.array(got).reshape(len(x), -1), np.ascontiguousarray(x).reshape(len(x), int(np.prod(shape[1:], dtype=int))).astype(float))
+    assert np.array_equal(np.array(got).reshape(len(x), int(np.prod(shape[1:], dtype=int))), np.ascontiguousarray(x).reshape(len(x), int(np.prod(shape[1:], dtype=int))).astype(float))
     if len(x) > 1000:
         assert found.rdd.getNumPartitions() > 1
 
