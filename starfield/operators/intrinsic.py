@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starfield.operators.cluster import kneedle, line_elbow, share_elbow
 from starfield.operators.embedding import Parameters, Reducer, explained_variance, pca, projected, random_axes, replace
+from starfield.operators.evolution import evolved
 from starfield.operators.knn import auto_knn
 from starfield.operators.points import balanced
 from starfield.operators.quality import as_points, evaluate, neighbour_score, stress
@@ -54,6 +55,15 @@ def reducers(k: int = 2, **params) -> dict:
     return {"force": Reducer(Parameters(n_components=k, **params)).fit_transform, "spectral": Reducer(Parameters(n_components=k, init="spectral", max_iter=0)).fit_transform, "pca": lambda points: pca(points, k), "random": flat}
 
 
+def _judged(points: DataFrame, high: DataFrame, k: int, parameters: Parameters) -> tuple[float, float, float]:
+    """Score, error and seconds of one layout."""
+    began = time.time()
+    layout = checkpoint(Reducer(parameters).fit_transform(points))
+    seconds = time.time() - began
+    score = neighbour_score(high, auto_knn(as_points(layout), k), k).first()[0]
+    return round(score, 6), round(stress(high, layout).first()[0], 6), seconds
+
+
 def search(points: DataFrame, space: dict, trials: int = 20, seed: int = 42, base: Parameters | None = None, k: int = 16) -> DataFrame:
     """A row for each random draw of parameters: trial, params (JSON), score (neighbours kept), error (stress), seconds.
 
@@ -75,14 +85,28 @@ def search(points: DataFrame, space: dict, trials: int = 20, seed: int = 42, bas
                 params[name] = int(draw.integers(low, most + 1)) if isinstance(low, int) and isinstance(most, int) else float(draw.uniform(low, most))
             else:
                 params[name] = values[int(draw.integers(len(values)))]
-        began = time.time()
-        layout = checkpoint(Reducer(replace(base, **params)).fit_transform(points))
-        seconds = time.time() - began
-        score = neighbour_score(high, auto_knn(as_points(layout), k), k).first()[0]
-        rows.append((trial, json.dumps(params, sort_keys=True), round(score, 6), round(stress(high, layout).first()[0], 6), seconds))
+        rows.append((trial, json.dumps(params, sort_keys=True), *_judged(points, high, k, replace(base, **params))))
     return points.sparkSession.createDataFrame(rows, "trial int, params string, score double, error double, seconds double")
 
 
+def evolve(points: DataFrame, space: dict, generations: int = 8, population: int = 25, seed: int = 42, base: Parameters | None = None, k: int = 16, abreast: int = 4) -> DataFrame:
+    """As ``search``, by evolution (``evolution.evolved``): a row for each trial with its generation. Score is to be large, error
+    small; ``abreast`` layouts are made at once."""
+    base = base or Parameters()
+    if unknown := set(space) - set(base.__dataclass_fields__):
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
+    k = min(k, points.count() - 1)
+    high, seconds = checkpoint(auto_knn(points, k)), {}
+
+    def judge(params: dict) -> tuple[float, float]:
+        score, error, seconds[repr(params)] = _judged(points, high, k, replace(base, **params))
+        return -score, error
+
+    trials = evolved(judge, space, generations, population, seed, abreast, session=points.sparkSession)
+    rows = [(n, g, json.dumps(p, sort_keys=True), -goals[0], goals[1], seconds[repr(p)]) for n, (g, p, goals) in enumerate(trials)]
+    return points.sparkSession.createDataFrame(rows, "trial int, generation int, params string, score double, error double, seconds double")
+
+
 METRICS = ("distortion", "context", "topology")
 
 
