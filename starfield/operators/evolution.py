@@ -110,6 +110,9 @@ def evolved(judge: Callable[[dict], tuple[float, float]], space: dict, generatio
         parents = [min(draw.integers(population, size=2), key=lambda k: place[k]) for _ in range(2 * population)]
         children = np.array([mutated(crossed(cube[a], cube[b], draw, spread), draw, spread) for a, b in zip(parents[::2], parents[1::2], strict=True)])
         cube, goals = np.vstack((cube, children)), np.vstack((goals, judged(children, generation)))
-        best = ordered(goals)[:population]
+        ranked, met = ordered(goals), set()
+        names = [repr(reader.read(x)) for x in cube[ranked]]
+        twin = np.array([name in met or met.add(name) is not None for name in names])
+        best = np.concatenate((ranked[~twin], ranked[twin]))[:population]  # copies only where nothing else is left
         cube, goals = cube[best], goals[best]
     return trials
