@@ -1,11 +1,14 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see different views of a document: its text (shape of the writing and hashed words) and its
-metadata (language, source, stated length). They begin with a bounded sample of labelled documents. In every round each
-view labels all unlabelled documents that it is sure of, and the other view learns from them: one pass over the corpus
-adds up, in tasks, the gradient and a bound of the curvature of its loss on those documents, and the driver, which
-holds weights and sums but no unlabelled document, fits the labelled sample and that bound together. Held-out labelled
-documents then calibrate and combine the two views, and all documents are scored.
+metadata (language, source, stated length and their crosses). They begin with a bounded sample of labelled documents. In
+every round each view labels, of all unlabelled documents, the share it is surest are good and the share it is surest
+are not, and the other view learns from them: a first pass over the corpus counts scores in narrow bins and so finds the
+places of those shares, a second one adds up, in tasks, the gradient and a bound of the curvature of the other view's
+loss on those documents. The driver holds weights, counts and sums but no unlabelled document, and fits the labelled
+sample and that bound together. A label weighs what its teacher's probability is away from a half, after a slope that
+held-out labelled documents give the teacher's scores, so a view that knows little teaches little, however sure it is.
+Held-out labelled documents then calibrate and combine the two views, and all documents are scored.
 
 A document is good if its quality label is 1 and it is not labelled toxic.
 """
@@ -30,17 +33,21 @@ from starfield.plans.sums import added
 #: Labelled documents at most for fitting.
 LABELLED = 6000
 ROUNDS = 3
-CONFIDENT = 0.97
-#: How much the other view's labels weigh, all together, against the known ones.
+#: The share of the unlabelled documents that a view labels good, and as large a one that it labels not good: its surest.
+#: Documents that tie with the last one of a share are all in it.
+SUREST = 0.1
+#: Scores (log-odds) are counted in so many bins a unit, up to this score on either side.
+BINS, SCORES = 128, 16
+#: How much the other view's labels weigh, all together and if wholly sure, against the known ones.
 GIVEN = 0.5
 STEPS, MORE_STEPS, RIDGE = 150, 50, 1e-3
-WORD_BITS, META_BITS = 15, 10
+WORD_BITS, META_BITS = 15, 12
 #: Share of the held-out good documents that the threshold keeps, and the least threshold; it is 0.5 at most.
 KEPT_GOOD, LOWEST = 0.995, 0.2
 #: Hashed words in fewer labelled documents have no weight.
 LEAST_DOCUMENTS = 12
 SHAPE = ["bias", "log_words", "short", "word_length", "symbols", "upper", "digits", "shouts", "doubled", "distinct"]
-META = ["bias", "lang", "source", "length", "lang and length"]
+META = ["bias", "lang", "source", "length", "lang and length", "lang and source", "source and length"]
 TEXT_SIZE, META_SIZE = len(SHAPE) + (1 << WORD_BITS), 1 << META_BITS
 SIZES = {"text": TEXT_SIZE, "meta": META_SIZE}
 
@@ -106,7 +113,8 @@ def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
         return named[name]
 
     length = ["none" if c is None else str(max(int(c), 0).bit_length()) for c in n_chars]
-    return np.array([[0, place(f"lang {a}"), place(f"source {b}"), place(f"length {c}"), place(f"{a} {c}")] for a, b, c in zip(lang, source, length, strict=True)], np.uint16).reshape(-1, len(META))
+    columns = ([0, *map(place, (f"lang {a}", f"source {b}", f"length {c}", f"{a} {c}", f"lang {a} source {b}", f"source {b} length {c}"))] for a, b, c in zip(lang, source, length, strict=True))
+    return np.array(list(columns), np.uint16).reshape(-1, len(META))
 
 
 def _viewed(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> Rows:
@@ -180,27 +188,59 @@ def fitted(rows: Rows, view: str, y: np.ndarray, weight: np.ndarray, start: np.n
     return w
 
 
-def pseudo_labels(rows: Rows, weights: dict[str, np.ndarray], confident: float = CONFIDENT) -> dict[str, np.ndarray]:
-    """For each view, what the other one labels: nan where it is not sure."""
-    p = {k: _probability(rows.score(k, w)) for k, w in weights.items()}
-    sure = {k: np.where(x >= confident, 1.0, np.where(x <= 1 - confident, 0.0, np.nan)) for k, x in p.items()}
-    return {"text": sure["meta"], "meta": sure["text"]}
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(scores, -SCORES, SCORES) + SCORES) * BINS).astype(np.int64)
 
 
-def exchanged(others: DataFrame, weights: dict[str, np.ndarray], share: float = GIVEN) -> dict[str, Bound | None]:
-    """One pass over all unlabelled documents (``features``): each view's loss on what the other labels. Both classes
+def surest(others: DataFrame, weights: dict[str, np.ndarray], share: float = SUREST) -> dict[str, tuple[int, int]]:
+    """For each view, the highest bin of scores that it labels not good and the lowest one that it labels good: with all
+    bins beyond, each holds at least ``share`` of the unlabelled documents (``features``), counted in one pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(SIZES), 2 * SCORES * BINS + 1))
+        for batch in batches:
+            rows = _loaded(batch)
+            for k, view in enumerate(SIZES):
+                total[k] += np.bincount(_bins(rows.score(view, weights[view])), minlength=total.shape[1])
+        yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+
+    found = added(others.mapInArrow(count, "v binary"))
+    counts = np.zeros((len(SIZES), 2 * SCORES * BINS + 1)) if found is None else found.reshape(len(SIZES), -1)
+    places = {}
+    for view, own in zip(SIZES, counts, strict=True):
+        wanted = max(np.ceil(share * own.sum()), 1)
+        places[view] = int(np.searchsorted(np.cumsum(own), wanted)), len(own) - 1 - int(np.searchsorted(np.cumsum(own[::-1]), wanted))
+    return places
+
+
+def pseudo_labels(rows: Rows, weights: dict[str, np.ndarray], places: dict[str, tuple[int, int]], slopes: dict[str, float]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each view, what the other one labels (nan where it does not) and how sure it is of that, from 0 to 1. A label
+    is never on the other side of even odds."""
+    out = {}
+    for view, teacher in (("text", "meta"), ("meta", "text")):
+        s = rows.score(teacher, weights[teacher])
+        at, (low, high) = _bins(s), places[teacher]
+        label = np.where((at >= high) & (s > 0), 1.0, np.where((at <= low) & (s < 0), 0.0, np.nan))
+        out[view] = label, np.abs(2 * _probability(slopes[teacher] * s) - 1)
+    return out
+
+
+def exchanged(others: DataFrame, weights: dict[str, np.ndarray], slopes: dict[str, float], share: float = GIVEN) -> dict[str, Bound | None]:
+    """Two passes over all unlabelled documents (``features``): each view's loss on what the other labels. Both classes
     weigh the same. None where there is not one of each class."""
+    places = surest(others, weights)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {(k, side): np.zeros(1 + 2 * n) for k, n in SIZES.items() for side in (0, 1)}
         for batch in batches:
             rows = _loaded(batch)
-            for k, label in pseudo_labels(rows, weights).items():
+            for k, (label, sure) in pseudo_labels(rows, weights, places, slopes).items():
                 p = _probability(rows.score(k, weights[k]))
                 for side in (0, 1):
-                    own = (label == side).astype(float)
+                    own = label == side
                     if own.any():
-                        total[k, side] += np.concatenate([[own.sum()], rows.gather(k, own * (p - side)), rows.gather(k, own * p * (1 - p) * rows.width(k), absolute=True)])
+                        each = own * sure
+                        total[k, side] += np.concatenate([[own.sum()], rows.gather(k, each * (p - side)), rows.gather(k, each * p * (1 - p) * rows.width(k), absolute=True)])
         yield pa.RecordBatch.from_pydict({"v": [np.concatenate(list(total.values())).tobytes()]})
 
     found = added(others.mapInArrow(sums, "v binary"))
@@ -213,6 +253,19 @@ def exchanged(others: DataFrame, weights: dict[str, np.ndarray], share: float =
     return out
 
 
+def slope(scores: np.ndarray, y: np.ndarray) -> float:
+    """The factor, 0 or more and 1 where nothing speaks against it, that makes a view's scores log-odds where both classes
+    weigh the same."""
+    x = np.clip(scores, -SCORES, SCORES)
+    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
+    b = 1.0
+    for _ in range(50):
+        p = _probability(b * x)
+        step = ((weight * (y - p)) @ x - (b - 1)) / ((weight * p * (1 - p)) @ (x * x) + 1)
+        b = max(b + float(np.clip(step, -0.5, 0.5)), 0.0)
+    return b
+
+
 def _calibrated(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (one for each view's score, and a constant) that make the combined score a log-odds."""
     x = np.column_stack([np.clip(scores, -15, 15), np.ones(len(y))])
@@ -238,8 +291,9 @@ class Model:
         return text, meta, _probability(np.clip(text, -15, 15) * self.mix[0] + np.clip(meta, -15, 15) * self.mix[1] + self.mix[2])
 
 
-def co_trained(own: Rows, y: np.ndarray, exchange: Callable[[dict[str, np.ndarray]], dict[str, Bound | None]], rounds: int = ROUNDS) -> Model:
-    """Co-trains on labelled rows; ``exchange`` gives each view's bound on what the other labels. A quarter is held out."""
+def co_trained(own: Rows, y: np.ndarray, exchange: Callable[[dict[str, np.ndarray], dict[str, float]], dict[str, Bound | None]], rounds: int = ROUNDS) -> Model:
+    """Co-trains on labelled rows; ``exchange`` gives each view's bound on what the other labels, from the views' weights
+    and slopes. A quarter is held out."""
     common = np.bincount(own.buckets, minlength=1 << WORD_BITS) >= LEAST_DOCUMENTS
     use = common[own.buckets]
     kept = np.concatenate([[0], np.cumsum(use)])
@@ -252,7 +306,7 @@ def co_trained(own: Rows, y: np.ndarray, exchange: Callable[[dict[str, np.ndarra
     allowed = {"text": np.concatenate([np.ones(len(SHAPE), bool), common]), "meta": np.ones(META_SIZE, bool)}
     weights = {k: fitted(own, k, y, weight, np.zeros(n), STEPS) for k, n in SIZES.items()}
     for _ in range(rounds):
-        bounds = exchange(weights)
+        bounds = exchange(weights, {k: slope(own.score(k, w)[held], y[held]) for k, w in weights.items()})
         for k, bound in bounds.items():
             if bound is not None:
                 bound.gradient = bound.gradient * allowed[k]
@@ -277,7 +331,7 @@ def trained(viewed: DataFrame, labels: DataFrame, most: int = LABELLED, rounds:
         return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), np.array([0.0, 0.0, 1.0]))
     others = viewed.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("shape", "meta", "buckets")
     others = written(others, "unlabelled") if rounds else others
-    return co_trained(_loaded(sample), y, lambda weights: exchanged(others, weights), rounds)
+    return co_trained(_loaded(sample), y, lambda weights, slopes: exchanged(others, weights, slopes), rounds)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
