@@ -322,15 +322,16 @@ def co_trained(own: Rows, y: np.ndarray, exchange: Callable[[dict[str, np.ndarra
 
 
 def trained(viewed: DataFrame, labels: DataFrame, most: int = LABELLED, rounds: int = ROUNDS) -> Model:
-    """Co-trains on at most ``most`` labelled and all unlabelled documents, given by their ``features``. Of rows that
-    share a labelled doc_id one is fitted on. Without labels of both kinds the model accepts everything."""
+    """Co-trains on at most ``most`` labelled documents and all others, given by their ``features``: labelled ones beyond
+    the sample count as unlabelled. Of rows that share a labelled doc_id one is fitted on. Without labels of both kinds
+    the model accepts everything."""
     good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
     sample = labelled(viewed, labels, good, most).withColumn("id", F.col("doc_id").cast("string")).toArrow().sort_by("id")
     y = (sample.column("y").to_numpy() >= 0.5).astype(float)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), np.array([0.0, 0.0, 1.0]))
-    others = viewed.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("shape", "meta", "buckets")
-    others = written(others, "unlabelled") if rounds else others
+    known = viewed.sparkSession.createDataFrame(sample.select(["doc_id"]))
+    others = viewed.join(F.broadcast(known), "doc_id", "left_anti").select("shape", "meta", "buckets")  # ``most`` rows
     return co_trained(_loaded(sample), y, lambda weights, slopes: exchanged(others, weights, slopes), rounds)
 
 
