@@ -122,7 +122,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tup
     first = written(seeds.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "low")).alias("first")), "first-spans")
     seeds = written(seeds.join(first, ["anchor", "span"]).filter("first.doc_id < doc_id OR varied"), "extended")
     settled = seeds.filter("first.doc_id < doc_id").select("doc_id", "text_id", "low", (F.col("high") + length).alias("past"), "first")
-    spans = F.collect_list(F.when(F.col("first.doc_id") == F.col("doc_id"), F.struct("low", "high", "anchor")))
+    # Sets, because wholly equal rows of a document give equal spans and seeds: however many rows, they stay one.
+    spans = F.sort_array(F.collect_set(F.when(F.col("first.doc_id") == F.col("doc_id"), F.struct("low", "high", "anchor"))))
     wanted = seeds.groupBy("doc_id", "text_id").agg(spans.alias("spans"))
     texts = with_text_id(docs).join(wanted, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"])  # as the join has dealt them
     texts = written(texts.select("doc_id", "text_id", "text", "spans"), "repeating-texts")
@@ -131,7 +132,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tup
     held = written(held, "held-windows")
     again = windows.join(held, ["anchor", "window"]).filter("first.doc_id < doc_id").select("doc_id", "text_id", "low", "past", "first")
     seed = F.struct("low", "past", F.col("first.doc_id").alias("source"), F.col("first.low").alias("source_low"))
-    return texts.select("doc_id", "text_id", "text"), settled.union(again).groupBy("doc_id", "text_id").agg(F.collect_list(seed).alias("repeats"))
+    return texts.select("doc_id", "text_id", "text"), settled.union(again).groupBy("doc_id", "text_id").agg(F.collect_set(seed).alias("repeats"))
 
 
 def extended(low: np.ndarray, past: np.ndarray, source: np.ndarray, source_low: np.ndarray) -> list[tuple[int, int, object, int]]:

@@ -282,6 +282,16 @@ def test_op3_odd_rows(spark, odd):
     assert (9, "a b") in texts and (11, "end") in texts and not any(d in (8, 14) for d, _ in texts) and (3, None) in texts and (4, "") in texts
 
 
+def test_op3_many_equal_rows(spark):
+    passage = " ".join(f"v{x % 97}" for x in range(400))
+    rows = [(1, "a b " + passage)] + [(2, passage + " c")] * 600 + [(3, "d " + passage)]
+    found = substrings.substring_report(table(spark, rows)).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=repr) == brute_repeats(rows)
+    once = {r["doc_id"]: r["n"] for r in substrings.repeated(table(spark, rows[:2] + rows[-1:]))[1].select("doc_id", F.size("repeats").alias("n")).collect()}
+    many = {r["doc_id"]: r["n"] for r in substrings.repeated(table(spark, rows))[1].select("doc_id", F.size("repeats").alias("n")).collect()}
+    assert many == once and set(once) == {2, 3}
+
+
 def test_op3_random_repeats(spark):
     r = np.random.default_rng(3)
     pool = [[f"v{x}" for x in r.integers(0, 400, 90)] for _ in range(6)]
