@@ -86,3 +86,27 @@ def test_codes_return():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_pieces(name):
     assert len(bpe.pieces(queries.tokenizer(name))) == 50_257
+
+
+def test_marks_at_the_ends_of_words_are_words():
+    """A word before a full stop is no distinct word of its own; other marks and places stay as they were."""
+    data, offsets = utf8(bpe.pa.array(["end end. end, end", "an end.", "3. x.y .z a.<|endoftext|>. end.\n\nend é."]))
+    words, codes = bpe.word_list(data, bpe.bounds(data, offsets))
+    assert codes[1] == codes[3] == codes[5] == codes[7] and {b" end", b".", b",", b"3.", b" x.y", b" .z"} <= {*words.to_pylist()}
+    ids, n = bpe.word_ids(words, PATH)
+    assert bpe.gathered(ids, np.cumsum(n) - n, n, codes, step=3).tolist() == [i for a, b in zip(offsets, offsets[1:]) for i in LIBRARY.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids]
+
+
+def test_round_trip_needs_one_worker_a_task(spark):
+    """Workers that feed each other are held at the same time, with what each keeps."""
+    docs = spark.createDataFrame([(1, "a b. c"), (2, None)], "doc_id long, text string")
+    plan = bpe.round_trip(docs, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("FlatMapCoGroupsInArrow")]
+    assert "MapInArrow" not in above
+
+
+def test_decoding_in_slices():
+    texts = ["a b", "", "c. d é", "x" * 50]
+    ids = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    ends = np.cumsum([0, *map(len, ids)])
+    assert [*bpe._texts(bpe.pieces(PATH), bpe.pa.array(sum(ids, [])), ends, size=2)] == texts
