@@ -8,7 +8,6 @@ so a lost executor changes nothing.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,90 +19,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from starfield.llm.bpe import BLOCK, binaries, bounds, gathered, library, widths, word_ids
 from starfield.llm.words import FORGET, blocks
 from starfield.plans.materialize import written
 
 LENGTH = 1024
 END = 0
-#: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_500_000
 
 
 class Encoder:
-    """Encodes blocks of texts through a memory of chunks.
-
-    A piece of the tokenizer's first split never reaches over a blank that something visible follows, so the chunks
-    between such blanks are encoded apart, each distinct one once. Before bytes that may begin a Unicode blank no cut
-    is made.
-    """
+    """Encodes blocks of texts by their distinct words (see ``bpe``). Nothing is kept from block to block, since workers
+    live on: an executor has more of them than run at once, and each would hold its own words."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.width = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.forget()
-        self.open = np.ones(256, bool)
-        self.open[:0x21] = False
-        # Blanks before a special token stay together, since it is looked for before the split.
-        self.open[[ord("<"), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
-
-    def forget(self) -> None:
-        self.memory: dict[bytes, int] = {}
-        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.kind)
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        encode = lambda x: self.tokenizer.encode(x.decode(), add_special_tokens=False).ids
-        joined = [c for c in chunks if c[:1] == b" " and 1 < len(c) < 256 and self.open[c[1]] and b"<" not in c]
-        ids, lengths, order = [self.ids], [self.lengths], list(joined)
-        for at in range(0, len(joined), 2000):
-            part = joined[at : at + 2000]
-            ids.append(np.array(encode(b"".join(part)), self.kind))
-            cuts = np.searchsorted(np.cumsum(self.width[ids[-1]]), np.cumsum([len(c) for c in part])) + 1
-            lengths.append(np.diff(cuts, prepend=0))
-        if len(joined) < len(chunks):
-            alone = set(joined)
-            for c in chunks:
-                if c not in alone:
-                    order.append(c)
-                    ids.append(np.array(encode(c), self.kind))
-                    lengths.append(np.array([len(ids[-1])]))
-        self.memory.update(zip(order, range(len(self.memory), len(self.memory) + len(order)), strict=True))
-        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.path, self.tokenizer = path, library(path)
+        self.kind = np.uint16 if len(widths(path)) <= 1 << 16 else np.uint32
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, and how many each text has."""
-        cut = np.zeros(len(data) + 1, bool)
-        if len(data):
-            cut[: len(data) - 1] = (data[:-1] == 0x20) & self.open[data[1:]]
-        cut[offsets] = True
-        cut[-1] = True
-        bounds = np.flatnonzero(cut)
-        if bounds[0] != 0:
-            bounds = np.concatenate([[0], bounds])
-        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        if not len(chunks):
-            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
-        coded = chunks.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        new = [c for c in known if c not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.forget()
-            new = known
-        self._learn(new)
-        at = np.fromiter(map(self.memory.__getitem__, known), np.int64, len(known))
-        lengths, begins = self.lengths[at], self.begins[at]
+        at = bounds(data, offsets)
+        coded = binaries(data, at).dictionary_encode()
+        first, at = np.searchsorted(at, offsets), None
+        ids, lengths = word_ids(coded.dictionary, self.path)
         index = coded.indices.to_numpy()
-        n = lengths[index]
-        ends = np.cumsum(n)
-        out = self.ids[np.arange(ends[-1]) + np.repeat(begins[index] - (ends - n), n)]
-        upto = np.concatenate([[0], ends])[np.searchsorted(bounds, offsets)]
-        return out, np.diff(upto)
+        out = gathered(ids.astype(self.kind), np.cumsum(lengths, dtype=np.int64) - lengths, lengths, index)
+        return out, np.diff(np.concatenate([[0], np.cumsum(lengths[index], dtype=np.int64)])[first])
 
 
 @cache
@@ -121,7 +61,7 @@ def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for rows, data, offsets in blocks(batches, own="packing"):
+        for rows, data, offsets in blocks(batches, own="bpe", size=BLOCK):
             ids, counts = encoder(tokenizer).encode(data, offsets)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, END)

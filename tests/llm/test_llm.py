@@ -368,6 +368,14 @@ def test_op4_chunks_encode_as_whole_texts(text):
     assert ids.tolist() == own(text) + own(text + text) and n.tolist() == [len(own(text)), 0, len(own(text + text))]
 
 
+def test_op4_encodes_each_distinct_word_once(monkeypatch):
+    given, own = [], packing.word_ids
+    monkeypatch.setattr(packing, "word_ids", lambda words, path: given.extend(words.to_pylist()) or own(words, path))
+    ids, n = packing.encoder(PATH).encode(*utf8(pa.array(["a end. end, end", None, "a end."] * 1000)))
+    assert sorted(given) == [b" end", b",", b".", b"a"]
+    assert len(ids) == n.sum() and n[:3].tolist() == [6, 0, 3]
+
+
 # 5 SimHash
 
 
