@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from starfield.llm.bpe import BLOCK, binaries, bounds, gathered, library, widths, word_ids
-from starfield.llm.words import FORGET, blocks
+from starfield.llm.words import FORGET, blocks, release, thrifty
 from starfield.plans.materialize import written
 
 LENGTH = 1024
@@ -29,7 +29,7 @@ END = 0
 
 class Encoder:
     """Encodes blocks of texts by their distinct words (see ``bpe``). Nothing is kept from block to block, since workers
-    live on: an executor has more of them than run at once, and each would hold its own words."""
+    live on and each would hold its own words."""
 
     def __init__(self, path: str):
         self.path, self.tokenizer = path, library(path)
@@ -74,7 +74,7 @@ def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
             })
             before += int(ends[-1])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"part long, before long, doc_id {kind}, doc_tokens long, width int, ids binary")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(thrifty(encode, "bpe"), f"part long, before long, doc_id {kind}, doc_tokens long, width int, ids binary")
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,6 +92,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     rows = stored.join(F.broadcast(base), "part").select("doc_id", "doc_tokens", (F.col("_base") + F.col("before")).alias("at"), "width", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             doc, begins, lengths, crcs, at, kept = [], [], [], [], [], []
             for k, (n, first, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_tokens", "at", "width")), strict=True)):
@@ -113,7 +114,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if with_ids else {}))
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.mapInArrow(cut, schema + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(thrifty(cut), schema + ", ids array<int>" * with_ids)
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = END) -> DataFrame:

@@ -58,7 +58,7 @@ def release(own: str = "") -> None:
 
 
 def thrifty(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``f`` for mapInArrow, after which a worker gives back what its task has freed: more workers wait than run at once."""
+    """``f`` for mapInArrow, after which a worker gives back what its task has freed: it may wait long for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)

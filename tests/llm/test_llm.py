@@ -1,9 +1,11 @@
 """The corpus operators against brute-force versions, on the smallest tables and on odd rows: nulls in any column,
 empty and very long texts, ties and repeated rows, empty tables, clashing extra columns."""
 
+import gc
 import gzip
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -376,6 +378,19 @@ def test_op4_encodes_each_distinct_word_once(monkeypatch):
     assert len(ids) == n.sum() and n[:3].tolist() == [6, 0, 3]
 
 
+def test_op4_keeps_no_words_between_blocks():
+    """Workers live on between tasks: what each kept added up."""
+    e = packing.encoder(PATH)
+    e.encode(*utf8(pa.array(["a b"])))
+    many = utf8(pa.array([" ".join(f"w{k}q" for k in range(30_000))]))
+    tracemalloc.start()
+    e.encode(*many)
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 200_000
+
+
 # 5 SimHash
 
 
