@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from starfield import catalog
 from starfield.operators import spanning, topology
 
 NEAREST = spanning.knn
@@ -55,3 +56,11 @@ def test_h0_bars_keep_no_table_of_pairs(spark, monkeypatch):
     x = np.concatenate([far_groups(), [[np.nan] * 3]])
     found = sorted(r["death"] for r in topology.h0_bars(cloud(spark, x)).collect())
     assert asked == [16] and found[-2:] == [math.inf] * 2 and np.allclose(found[:-2], prim(x[:-1]), atol=1e-9)
+
+
+def test_islands_equal_those_of_prim_without_all_pairs(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(spanning, "knn", lambda p, k: asked.append(k) or NEAREST(p, k))
+    deaths = prim(np.array([r["features"] for r in catalog.vectors(spark, sf_dir).collect()], float))
+    found = catalog.h0_islands(spark, sf_dir).first()
+    assert asked == [16] and np.allclose([found["longest"], found["top_ratio"]], [deaths[-1], np.mean(deaths[-5:]) / np.median(deaths)], atol=1e-5)
