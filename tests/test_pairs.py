@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from starfield import catalog
-from starfield.operators import spanning, topology
+from starfield.operators import knn, spanning, topology
 
 NEAREST = spanning.knn
 POINTS = "id long, features array<double>, label int"
@@ -64,3 +64,20 @@ def test_islands_equal_those_of_prim_without_all_pairs(spark, sf_dir, monkeypatc
     deaths = prim(np.array([r["features"] for r in catalog.vectors(spark, sf_dir).collect()], float))
     found = catalog.h0_islands(spark, sf_dir).first()
     assert asked == [16] and np.allclose([found["longest"], found["top_ratio"]], [deaths[-1], np.mean(deaths[-5:]) / np.median(deaths)], atol=1e-5)
+
+
+@pytest.mark.parametrize("metric", [catalog.L1, "abs(x[0] - y[0]) + 2 * abs(x[1] - y[1])"])
+def test_expressions_equal_brute_force(spark, metric, monkeypatch):
+    """An expression that means a built-in metric is searched as that one; others keep a few rows of a task."""
+    x = np.concatenate([np.random.default_rng(3).normal(1e4, 1, (60, 3)), grid()[:, [0, 1, 1]]])
+    x = np.concatenate([x, x[:5]])
+    exact, fewer, used = knn._exact, knn._fewer, []
+    monkeypatch.setattr(knn, "_exact", lambda *a: used.append(a[2]) or exact(*a))
+    monkeypatch.setattr(knn, "_fewer", lambda found, k: used.append("pairs") or fewer(found, k, most=500))
+    d = np.abs(x[:, None] - x[None]) @ ([1, 1, 1] if metric == catalog.L1 else [1, 2, 0])
+    np.fill_diagonal(d, np.inf)
+    found = {(r["src"], r["rank"]): (r["dst"], r["dist"]) for r in knn.knn(cloud(spark, x), 4, metric, block=20).collect()}
+    assert used == ["manhattan" if metric == catalog.L1 else "pairs"] and len(found) == 4 * len(x)
+    for i, row in enumerate(d):
+        for rank, j in enumerate(np.lexsort((np.arange(len(x)), row.round(9)))[:4], 1):
+            assert math.isclose(found[3 * i + 1, rank][1], row[j], abs_tol=1e-9)
