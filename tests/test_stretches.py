@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starfield.functions.vectors import keyed_hash
-from starfield.operators import embedding, knn, stretches
+from starfield.operators import embedding, intrinsic, knn, quality, stretches
 from starfield.sources import generators
 
 
@@ -35,3 +35,20 @@ def test_spectral_equals_rounds_in_memory(spark, monkeypatch):
         if turn in (3, 5):
             v = v @ np.linalg.inv(np.linalg.cholesky(v.T @ v)).T
     assert np.allclose(got, v[:, 1:], atol=1e-8)
+
+
+def test_neighbours_are_found_once(spark, monkeypatch):
+    """A sweep, a search and a comparison look for the neighbours of the points themselves once; layouts have fewer dimensions."""
+    asked = []
+    for module in (embedding, intrinsic, quality):
+        monkeypatch.setattr(module, "auto_knn", lambda p, k, metric=None: asked.append(len(p.first()["features"])) or knn.knn(p, k, metric))
+    p, few = generators.gaussian(spark, 60, 5), embedding.Parameters(max_iter=1, n_neighbors=4)
+    assert intrinsic.sweep(p, range(1, 3), few).count() == 2
+    assert asked == [5, 1, 2]
+    asked.clear()
+    assert intrinsic.search(p, {"n_neighbors": (3, 20)}, 2, base=few, k=6).count() == 2
+    assert asked == [5, 2, 2]
+    asked.clear()
+    methods = {k: v for k, v in intrinsic.reducers().items() if k in ("pca", "random")}
+    rows = intrinsic.compare(spark, p, methods, ("distortion",)).collect()
+    assert [r["error"] for r in rows] == [None, None] and asked == [5, 2, 2]
