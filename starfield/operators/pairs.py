@@ -28,11 +28,11 @@ def _every(n: int) -> Column:
 
 
 def met(left: DataFrame, right: DataFrame, parts: tuple[int, int], meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``meet`` of each group of ``left`` with each group of ``right``, dealt by the hash of their ids to ``parts``. The columns of
-    ``left`` begin with q_ there. A side that is empty gives no rows."""
-    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))
-    own = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns], of(parts[0]).alias("q__a"), _every(parts[1]).alias("q__b"))
-    other = right.select("*", of(parts[1]).alias("_b"), _every(parts[0]).alias("_a"))
+    """``meet`` of each group of ``left`` with each group of ``right``, dealt by the hash of their ids to ``parts``, or by a column
+    ``_deal``. The columns of ``left`` begin with q_ there. ``meet`` may get a side that is empty."""
+    of = lambda df, n: F.col("_deal") if "_deal" in df.columns else F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))
+    own = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns], of(left, parts[0]).alias("q__a"), _every(parts[1]).alias("q__b"))
+    other = right.select("*", of(right, parts[1]).alias("_b"), _every(parts[0]).alias("_a"))
     return own.groupBy("q__a", "q__b").cogroup(other.groupBy("_a", "_b")).applyInArrow(meet, schema)
 
 
