@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from starfield import catalog
-from starfield.operators import knn, spanning, topology
+from starfield.operators import cluster, knn, quality, spanning, topology
 
 NEAREST = spanning.knn
 POINTS = "id long, features array<double>, label int"
@@ -81,3 +81,51 @@ def test_expressions_equal_brute_force(spark, metric, monkeypatch):
     for i, row in enumerate(d):
         for rank, j in enumerate(np.lexsort((np.arange(len(x)), row.round(9)))[:4], 1):
             assert math.isclose(found[3 * i + 1, rank][1], row[j], abs_tol=1e-9)
+
+
+def test_silhouette_equals_brute_force(spark, monkeypatch):
+    """Clusters that are whole, cut by groups, of one point, of copies, and points without one, in many groups."""
+    monkeypatch.setattr(cluster, "groups_for", lambda *_: 4)
+    x = np.concatenate([far_groups()[::4], np.zeros((4, 3))])
+    of = [*(i % 3 for i in range(30)), 7, *[8] * (len(x) - 33), None, None]
+    p = cloud(spark, x)
+    rows = [(i * 3 + 1, c) for i, c in enumerate(of)]
+    d, each = distances(x), []
+    for i, c in enumerate(of):
+        mean = {k: np.mean(own) for k in set(of) if (own := [d[i, j] for j in range(len(x)) if j != i and of[j] == k]) and k is not None}
+        a, b = mean.get(c), min((v for k, v in mean.items() if k != c), default=None)
+        each.append(0 if c is None or a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b))
+    found = cluster.silhouette(p, spark.createDataFrame(rows, "id long, cluster int")).first()[0]
+    assert math.isclose(found, np.mean(each), abs_tol=1e-9)
+
+
+def test_trustworthiness_equals_brute_force(spark, monkeypatch):
+    """Ranks with ties and copies, in many groups, without a table of all pairs."""
+    asked, k = [], 5
+    monkeypatch.setattr(quality, "groups_for", lambda *_: 2)
+    monkeypatch.setattr(quality, "knn", lambda p, k: asked.append(k) or NEAREST(p, k))
+    high = np.concatenate([grid(), grid()[:9] * 1.0])
+    low = np.random.default_rng(1).normal(0, 1, high.shape)
+    n, order = len(high), lambda x, i: [j for j in sorted(range(len(x)), key=lambda j: (distances(x)[i, j], j)) if j != i]
+    penalty = sum(max(order(high, i).index(j) + 1 - k, 0) for i in range(0, n) for j in order(low, i)[:k])
+    layout = cloud(spark, low).withColumnRenamed("features", "coords")
+    found = quality.trustworthiness(cloud(spark, high), layout, k)
+    assert math.isclose(found, 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * penalty) and asked == [k]
+
+
+@pytest.mark.parametrize("d, least", [(2, 4), (3, 3)])
+def test_dbscan_equals_brute_force_and_stores_no_pairs(spark, d, least, monkeypatch):
+    """Dense and sparse cells, cells in parts, borders between clusters, copies and noise."""
+    draw = np.random.default_rng(d)
+    x = np.concatenate([draw.normal(0, 0.35, (60, d)), draw.uniform(-2, 2, (90, d)), np.zeros((5, d)), np.arange(12)[:, None] * np.array([[0.25] + [0] * (d - 1)]) + 3])
+    eps, ids = 0.25, draw.permutation(len(x))
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= least
+    root = np.where(core, ids, 10**6)
+    for _ in range(len(x)):
+        root = np.where(core, np.where(near & core[None], root[None], 10**6).min(1), 10**6)
+    root = np.where(core, root, np.where(near & core[None], root[None], 10**6).min(1))
+    names = {r: k for k, r in enumerate(sorted(set(root[core])))}
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, coords array<double>")
+    found = {r["id"]: r["cluster"] for r in cluster.dbscan(rows, eps, least, block=7).collect()}
+    assert found == {int(i): names.get(r, -1) for i, r in zip(ids, root, strict=True)} and not hasattr(cluster, "within")
