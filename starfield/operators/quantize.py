@@ -1,9 +1,8 @@
 """Neighbours from inverted lists of coded points (product quantisation) with exact re-ranking.
 
 A point is stored as its cell and, for each slice of its residual from the cell's centre, the nearest entry of that
-slice's codebook: a byte a slice. A query meets the codes of its nearest cells through a table of distances from its own
-residual's slices to all entries, so a task adds up looked-up numbers instead of comparing features. The best ``refine``
-times ``k`` of these are joined with their features, and exact distances rank them.
+slice's codebook: a byte a slice. A query meets the codes of its nearest cells in groups, by products with the points that
+the codes stand for. The best ``refine`` times ``k`` of a group are ranked by exact distances in the same task.
 """
 
 from __future__ import annotations
@@ -15,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from starfield.functions.vectors import distance, finite
-from starfield.operators.knn import BLOCK, _matrix, default_cells, knn, lloyd, recall
+from starfield.functions.vectors import finite
+from starfield.operators.knn import _matrix, _ranked, cell_sizes, default_cells, exact_distances, knn, lloyd, met_by_cells, recall
 from starfield.operators.points import fixed_sample
 from starfield.plans.materialize import checkpoint, written
 
@@ -84,67 +82,43 @@ def coded(points: DataFrame, books: Codebooks) -> DataFrame:
     return written(usable.mapInArrow(code, "id long, cell long, code binary"), "pq-codes")
 
 
-def _candidates(index: DataFrame, queries: DataFrame, books: Codebooks, probes: int, most: int, block: int) -> DataFrame:
-    """src, dst of the ``most`` points of smallest coded distance of each query."""
-    kind = queries.schema["features"].dataType.simpleString()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = books.cells(_matrix(batch.column("features")), probes)
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_pydict({"src": batch.column("id").take(rows), "features": batch.column("features").take(rows), "cell": near.ravel().astype(np.int64)})
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        src, dst, dist = [], [], []
-        if len(left) and len(right):
-            ids, codes = np.asarray(right["id"]), np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(right), -1)
-            residual = _matrix(left["features"]) - books.centres[left["cell"][0].as_py()]
-            own = np.asarray(left["src"])
-            for at in range(0, len(own), 64):
-                tables = books.tables(residual[at : at + 64])
-                d = np.zeros((len(tables), len(ids)), np.float32)
-                for m in range(codes.shape[1]):
-                    d += tables[:, m, codes[:, m]]
-                d[own[at : at + 64, None] == ids[None]] = np.inf
-                keep = min(most, len(ids))
-                best = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                found = np.take_along_axis(d, best, 1)
-                row, col = np.nonzero(np.isfinite(found))
-                src.append(own[at + row])
-                dst.append(ids[best[row, col]])
-                dist.append(found[row, col])
-        whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        return pa.table({"src": whole(src, np.int64), "dst": whole(dst, np.int64), "dist": whole(dist, float)})
-
-    asked = queries.select("id", "features").mapInArrow(ask, f"src long, features {kind}, cell long")
-    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("_held")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("_asked")), "cell")
-    sent = F.broadcast(checkpoint(sizes))  # a row for each cell
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = asked.join(sent, "cell").withColumn("_a", part("src", "_asked")).withColumn("_b", every("_held"))
-    right = index.join(sent, "cell").withColumn("_b", part("id", "_held")).withColumn("_a", every("_asked"))
-    keys = ["cell", "_a", "_b"]
-    right = right.select(F.col("cell").alias("c"), F.col("_a").alias("a"), F.col("_b").alias("b"), "id", "code")
-    found = left.groupBy(*keys).cogroup(right.groupBy("c", "a", "b")).applyInArrow(scan, "src long, dst long, dist double")
-    order = Window.partitionBy("src").orderBy("dist", "dst")
-    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("src", "dst")
-
-
-def pq_knn(points: DataFrame, k: int, books: Codebooks | None = None, probes: int = 64, refine: int = 8, queries: DataFrame | None = None, block: int = BLOCK, index: DataFrame | None = None) -> DataFrame:
+def pq_knn(points: DataFrame, k: int, books: Codebooks | None = None, probes: int = 64, refine: int = 8, queries: DataFrame | None = None, block: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """Approximate Euclidean neighbours: src, dst, rank, dist, the distances being exact. ``index`` is a stored ``coded`` table
-    of the same ``books``, to be used again. Ties go to the smaller dst; a point is not its own neighbour by id."""
+    of the same ``books``, to be used again. Ties go to the smaller dst; a point is not its own neighbour by id.
+
+    A task holds a group of cells and ranks what ``refine`` times ``k`` points of smallest coded distance it has for a query, so no
+    fewer are ranked than of all groups together, and no candidates are shuffled."""
     if k < 1:
         raise ValueError("k must be positive")
     books = books or codebooks(points)
     usable = lambda df: df.select("id", "features").filter(F.forall("features", finite))
     points, queries = usable(points), usable(points if queries is None else queries)
     index = coded(points, books) if index is None else index
-    near = _candidates(index, queries, books, min(probes, len(books.centres)), refine * k, block)
-    rows = near.join(queries.select(F.col("id").alias("src"), F.col("features").alias("x")), "src").join(points.select(F.col("id").alias("dst"), F.col("features").alias("y")), "dst")
-    order = Window.partitionBy("src").orderBy("dist", "dst")
-    ranked = rows.select("src", "dst", distance("euclidean").alias("dist")).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("src", "dst", "rank", "dist")
+    probes, most = min(probes, len(books.centres)), refine * k
+
+    def meet(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, right: pa.Table) -> tuple:
+        others, y, cell = np.asarray(right["id"]), _matrix(right["features"]), np.asarray(right["cell"])
+        codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(others), -1)
+        # The coded distance is that of the point that the code stands for.
+        meant = np.column_stack([np.zeros((len(others), 0)), *(book[codes[:, m]] for m, (book, _, _) in enumerate(books.slices()))]) + books.centres[cell]
+        middle = meant.mean(0)
+        meant, z = (meant - middle).astype(np.float32), (x - middle).astype(np.float32)
+        half, keep, out = (meant * meant).sum(1) / 2, min(most, len(others)), []
+        for at in range(0, len(x), 128):
+            d = half - z[at : at + 128] @ meant.T
+            d[~asks[at : at + 128][:, cell] | (ids[at : at + 128, None] == others[None])] = np.inf
+            found = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+            row, col = np.nonzero(np.isfinite(np.take_along_axis(d, found, 1)))
+            col = found[row, col]
+            step = max(1, (1 << 21) // max(1, y.shape[1]))
+            exact = np.concatenate([np.zeros(0), *(exact_distances(x[at + row[i : i + step]], y[col[i : i + step]], "euclidean") for i in range(0, len(row), step))])
+            order = np.lexsort((others[col], exact, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            out.append((ids[at + row[order]], others[col[order]], exact[order]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    held = index.join(points, "id")
+    return _ranked(met_by_cells(queries, held, cell_sizes(index, len(books.centres)), lambda x: books.cells(x, probes), meet, block), k)
 
 
 def tuned(points: DataFrame, k: int, books: Codebooks, index: DataFrame, target: float = 0.95, every: int = 50) -> tuple[int, int, float]:

@@ -74,3 +74,17 @@ def test_descent_of_copies_and_hubs(spark):
     near = descent.descent_knn(p, 5).filter("src BETWEEN 1 AND 60").agg(F.max("dist")).first()[0]
     assert near == 0
     assert descent.descent_knn(p.limit(3), 5).count() <= 6
+
+
+def test_a_query_meets_a_group_of_cells_once(spark, monkeypatch):
+    """With all cells asked, a query is sent once for each group, not for each cell, and the neighbours are exact."""
+    rows = [(i * 3, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(2).normal(0, 1, (120, 4)))]
+    p = spark.createDataFrame(rows, "id long, features array<double>")
+    truth = sorted(map(tuple, knn.knn(p, 4).select("src", "dst", "rank").collect()))
+    found = knn.ivf_knn(p, 4, cells=12, probes=12, block=50)
+    assert sorted(map(tuple, found.select("src", "dst", "rank").collect())) == truth
+    first, parts = knn.cell_groups(np.array([30, 30, 5, 130, 20]), 50)
+    assert list(first) == [0, 1, 1, 2, 5] and list(parts) == [1, 1, 1, 3, 1]
+    books = quantize.codebooks(p, cells=12)
+    coded = quantize.pq_knn(p, 4, books, probes=12, refine=30, block=50)
+    assert sorted(map(tuple, coded.select("src", "dst", "rank").collect())) == truth
