@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from starfield import catalog
-from starfield.operators import cluster, knn, quality, spanning, topology
+from starfield.operators import cluster, embedding, knn, quality, spanning, topology
 
 NEAREST = spanning.knn
 POINTS = "id long, features array<double>, label int"
@@ -129,3 +129,14 @@ def test_dbscan_equals_brute_force_and_stores_no_pairs(spark, d, least, monkeypa
     rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, coords array<double>")
     found = {r["id"]: r["cluster"] for r in cluster.dbscan(rows, eps, least, block=7).collect()}
     assert found == {int(i): names.get(r, -1) for i, r in zip(ids, root, strict=True)} and not hasattr(cluster, "within")
+
+
+def test_kernel_rounds_are_as_wide_as_close_eigenvalues_ask(spark):
+    """Many values near the wanted ones make a round wide, a steep fall does not; a round equals the dense product."""
+    assert embedding._width(np.r_[np.linspace(1, 0.9, 20), np.full(80, 1e-3)], 2) >= 20
+    assert embedding._width(0.01 ** np.arange(100), 2) < 8
+    draw = np.random.default_rng(7)
+    x, r = draw.normal(0, 1, (90, 3)), draw.normal(0, 1, (90, 4))
+    table = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, r, strict=True))], "id long, features array<double>, r array<double>")
+    got = np.array([row["w"] for row in embedding._kernel_times(table, 0.3, 25).orderBy("id").collect()])
+    assert np.allclose(got, np.exp(-0.3 * distances(x) ** 2) @ r, atol=1e-9)
